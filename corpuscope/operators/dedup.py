@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from corpuscope.functions import text as T
 from corpuscope.functions.profiles import ScriptProfile
+from corpuscope.functions.rows import bind
 
 
 def exact_dedup(df: DataFrame, order_by: str, hash_col: str = "sha256") -> DataFrame:
@@ -43,7 +44,7 @@ def with_leading_shingle(
     ``min_tokens`` (default ``k``)."""
     shortest = k if min_tokens is None else min_tokens
     keep = [F.col(c) for c in df.columns]
-    cut = df.select(*keep, T.script_tokens(text_col, profile).alias("_t"))
+    cut = bind(df, _t=T.script_tokens(text_col, profile))
     shingle = F.when(F.size("_t") >= shortest, T.leading_shingle("_t", k))
     return cut.select(*keep, shingle.alias("shingle"))
 
@@ -52,20 +53,19 @@ def eligible_documents(
     df: DataFrame,
     label_col: str = "predicted_domain",
     hash_col: str = "sha256",
-    label_from_text: bool = False,
+    order_by: str | None = None,
 ) -> DataFrame:
     """Distinct documents that have a shingle, as ``(label, shingle)`` rows.
 
-    Copies of one text share the hash and the shingle. Where their labels differ the smallest
-    label stands for the document, so the result does not depend on row order; a null label
-    yields to any other. ``label_from_text`` says that labels cannot differ, which makes this a
-    plain distinct with one shuffle."""
-    narrow = df.filter(F.col("shingle").isNotNull()).select(
-        F.unhex(hash_col).alias("_hash"), "shingle", label_col
-    )
-    if label_from_text:
-        return narrow.distinct().select(label_col, "shingle")
-    kept = narrow.groupBy("_hash", "shingle").agg(F.min(label_col).alias(label_col))
+    Copies of one text share the hash and the shingle. With ``order_by`` the copy that has the
+    smallest value there lends its label. Without it labels must be a function of the text, as
+    inferred domains are, and this is a plain distinct."""
+    columns = [F.unhex(hash_col).alias("_hash"), "shingle", label_col]
+    narrow = df.filter(F.col("shingle").isNotNull())
+    if order_by is None:
+        return narrow.select(*columns).distinct().select(label_col, "shingle")
+    first = F.min_by(label_col, order_by).alias(label_col)
+    kept = narrow.select(*columns, order_by).groupBy("_hash", "shingle").agg(first)
     return kept.select(label_col, "shingle")
 
 

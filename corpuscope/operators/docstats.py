@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from corpuscope.functions import text as T
 from corpuscope.functions.profiles import ScriptProfile
+from corpuscope.functions.rows import bind
 
 
 def with_token_counts(df: DataFrame, profile: ScriptProfile, text_col: str = "text") -> DataFrame:
@@ -14,7 +15,7 @@ def with_token_counts(df: DataFrame, profile: ScriptProfile, text_col: str = "te
 
     The token array is built once and dropped again; three sizes are taken from it."""
     keep = [F.col(c) for c in df.columns]
-    counted = df.select(*keep, T.tokens(text_col).alias("_tokens")).select(
+    counted = bind(df, _tokens=T.tokens(text_col)).select(
         *keep,
         F.size("_tokens").alias("token_count"),
         F.size(T.primary_tokens("_tokens", profile)).alias("primary_token_count"),

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from corpuscope.functions import text as T
 from corpuscope.functions.profiles import ScriptProfile
+from corpuscope.functions.rows import bind
 from corpuscope.operators.docstats import with_token_counts
 
 UNKNOWN = "unknown"
@@ -190,9 +191,8 @@ def infer_domain(
     )
 
     score_names = [f"score_{d}" for d in model.domains]
-    scored = scored.select(
-        *out_cols,
-        *[(F.col(f"lex_{d}") + F.col(f"rule_{d}")).alias(f"score_{d}") for d in model.domains],
+    scored = bind(
+        scored, **{f"score_{d}": F.col(f"lex_{d}") + F.col(f"rule_{d}") for d in model.domains}
     )
     # greatest() needs two arguments at least
     best = F.greatest(F.lit(0), *[F.col(n) for n in score_names])

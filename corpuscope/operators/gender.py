@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpuscope.functions import text as T
+from corpuscope.functions.rows import bind
 
 ALL = "ALL"
 MALE_LEANING = "male-leaning"
@@ -106,7 +107,7 @@ def with_phrase_hits(
     df: DataFrame, entries: Sequence[str], text_col: str = "text", out_col: str = "hits"
 ) -> DataFrame:
     keep = [F.col(c) for c in df.columns]
-    cut = df.select(*keep, T.normalized_tokens(text_col).alias("_k"))
+    cut = bind(df, _k=T.normalized_tokens(text_col))
     return cut.select(*keep, _hits(F.col("_k"), F.size("_k"), phrases(entries)).alias(out_col))
 
 
@@ -159,11 +160,8 @@ def with_gender_evidence(
     keep = [F.col(c) for c in df.columns]
     text = F.col(text_col)
 
-    # Columns used more than once are projected first; Spark then evaluates them once.
-    cut = df.select(*keep, T.normalized_tokens(text_col).alias("_k"))
-    hits = cut.select(
-        *keep, "_k", _hits(F.col("_k"), F.size("_k"), lexicon.occupations).alias("_h")
-    )
+    cut = bind(df, _k=T.normalized_tokens(text_col))
+    hits = _hits(F.col("_k"), F.size("_k"), lexicon.occupations)
 
     def context(h: Column) -> Column:
         lo = F.greatest(h["start"] - window, F.lit(0))
@@ -207,9 +205,7 @@ def with_gender_evidence(
         )
 
     # One occurrence at a time: cut its context, weigh it, drop the context again.
-    weighed = hits.select(
-        *keep, F.transform(F.transform("_h", context), points).alias("_e")
-    )
+    weighed = bind(cut, _e=F.transform(F.transform(hits, context), points))
 
     def total(name: str, prefix: str, occupation: Column) -> Column:
         def step(acc: Column, e: Column) -> Column:
