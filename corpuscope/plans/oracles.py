@@ -248,31 +248,44 @@ GROUP BY term HAVING count(DISTINCT doc_id) >= 2"""
 # -- audits ---------------------------------------------------------------------------------
 
 WORDS = f"""
-SELECT doc_id, lang, k, CAST(len(k) AS BIGINT) AS size,
+SELECT doc_id, lang, CAST(len(k) AS BIGINT) AS size, unnest(k) AS t,
        CAST(unnest(range(len(k))) AS BIGINT) AS pos
 FROM (SELECT doc_id, lang, {norm_tokens('text')} AS k FROM documents)"""
 
 
+def grams(longest: int) -> str:
+    """At every position, the next words as phrases of 1 to ``longest`` words."""
+    ahead = ", ".join(
+        f"lead(t, {n}) OVER (PARTITION BY doc_id ORDER BY pos) AS t{n}" for n in range(1, longest)
+    )
+    parts = []
+    for n in range(1, longest + 1):
+        phrase = " || ' ' || ".join(["t", *[f"t{i}" for i in range(1, n)]])
+        parts.append(
+            f"SELECT doc_id, lang, size, pos AS start, {n} AS n, {phrase} AS phrase FROM w "
+            f"WHERE pos + {n} <= size"
+        )
+    words = f"SELECT *, {ahead} FROM words" if ahead else "SELECT * FROM words"
+    return f"WITH w AS MATERIALIZED ({words}) " + " UNION ALL ".join(parts)
+
+
 def hits(entries: Iterable[str]) -> str:
-    """Occurrences of phrases: at every position, the n words that start there as one string."""
     rows = [(p, len(p.split(" "))) for p in entries]
     longest = max(n for _, n in rows)
-    grams = " UNION ALL ".join(
-        f"SELECT doc_id, lang, size, pos AS start, {n} AS n, "
-        f"array_to_string(k[pos + 1:pos + {n}], ' ') AS phrase FROM words WHERE pos + {n} <= size"
-        for n in range(1, longest + 1)
+    return (
+        f"SELECT g.* FROM ({grams(longest)}) g "
+        f"SEMI JOIN {values(rows)} AS e(phrase, n) USING (phrase, n)"
     )
-    return f"SELECT g.* FROM ({grams}) g SEMI JOIN {values(rows)} AS e(phrase, n) USING (phrase, n)"
 
 
 ORACLES["phrase_hits"] = f"""
-WITH words AS ({WORDS}) SELECT doc_id, start, n, phrase FROM ({hits(X.PHRASES)})"""
+WITH words AS MATERIALIZED ({WORDS}) SELECT doc_id, start, n, phrase FROM ({hits(X.PHRASES)})"""
 
 
 def one_word_scores(lex) -> str:
     """With one-word lists every marker inside the window counts, the one on the occupation too."""
     return f"""
-WITH words AS (SELECT *, k[pos + 1] AS t FROM ({WORDS})),
+WITH words AS MATERIALIZED ({WORDS}),
 occ AS (SELECT *, lag(t) OVER (PARTITION BY doc_id ORDER BY pos) AS before FROM words
         QUALIFY t IN ({lits(lex.occupations)})),
 pts AS (
@@ -300,18 +313,15 @@ def phrase_scores(lex) -> str:
     sides = (("m", lex.male), ("f", lex.female))
     marker_rows = [(s, p, len(p.split(" "))) for s, ps in sides for p in ps]
     deepest = max(n for _, _, n in marker_rows)
-    grams = " UNION ALL ".join(
-        f"SELECT doc_id, pos, {n} AS n, array_to_string(k[pos + 1:pos + {n}], ' ') AS phrase "
-        f"FROM words WHERE pos + {n} <= size"
-        for n in range(1, deepest + 1)
-    )
     return f"""
-WITH RECURSIVE words AS ({WORDS}),
-occ AS (SELECT h.*, w.k[h.start] AS before, greatest(h.start - 10, 0) AS lo,
+WITH RECURSIVE words AS MATERIALIZED ({WORDS}),
+occ AS (SELECT h.*, w.before, greatest(h.start - 10, 0) AS lo,
                least(h.start + h.n + 10, h.size) AS hi
-        FROM ({hits(lex.occupations)}) h JOIN words w ON w.doc_id = h.doc_id AND w.pos = h.start),
-marks AS (SELECT g.doc_id, g.pos, g.n, e.side
-          FROM ({grams}) g JOIN {values(marker_rows)} AS e(side, phrase, n) USING (phrase, n)),
+        FROM ({hits(lex.occupations)}) h
+        JOIN (SELECT doc_id, pos, lag(t) OVER (PARTITION BY doc_id ORDER BY pos) AS before
+              FROM words) w ON w.doc_id = h.doc_id AND w.pos = h.start),
+marks AS (SELECT g.doc_id, g.start AS pos, g.n, e.side
+          FROM ({grams(deepest)}) g JOIN {values(marker_rows)} AS e(side, phrase, n) USING (phrase, n)),
 near AS (SELECT o.doc_id, o.start, o.n AS len, o.phrase, m.side, m.pos, m.n
          FROM occ o JOIN marks m ON o.doc_id = m.doc_id AND m.pos >= o.lo AND m.pos + m.n <= o.hi),
 longest AS (SELECT doc_id, start, len, phrase, side, pos, max(n) AS n FROM near
