@@ -57,7 +57,6 @@ SHOUTING = "[!?]{3,}"
 # (?d): only a line feed ends the reach of the dot.
 QUOTED = '(?d)[“"].+?[”"]'
 
-FIRST_PERSON_GUARD = ("আমার", "আমাদের", "আমি", "আমাকে")
 
 
 def bengali_rules(first_person: str = "compat") -> tuple[Rule, ...]:
@@ -65,7 +64,7 @@ def bengali_rules(first_person: str = "compat") -> tuple[Rule, ...]:
     return (
         Rule("news", 4, "any_of", phrases=NEWS_BYLINE),
         Rule("news", 6, "any_of", phrases=NEWS_METADATA),
-        Rule("news", 2, "matches", pattern=DATE, guard=MONTHS),
+        Rule("news", 2, "matches", pattern=DATE),
         Rule("encyclopedia", 6, "any_of", phrases=ENCYCLOPEDIA_SECTIONS),
         Rule("encyclopedia", 3, "any_of", phrases=BIOGRAPHY_WORDS),
         Rule("education", 4, "any_of", phrases=EDUCATION_WORDS),
@@ -75,7 +74,6 @@ def bengali_rules(first_person: str = "compat") -> tuple[Rule, ...]:
             "count_at_least",
             pattern=patterns[first_person],
             threshold=5,
-            guard=FIRST_PERSON_GUARD,
         ),
         Rule("social", 3, "matches", pattern=EMOJI),
         Rule("social", 4, "matches", pattern=HANDLE, guard=("@", "#")),

@@ -7,14 +7,14 @@ points is rejected.
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Mapping, Sequence
+from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
 from functools import reduce
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from corpuscope.functions import scan
 from corpuscope.functions import text as T
 from corpuscope.functions.profiles import ScriptProfile
 from corpuscope.functions.rows import bind
@@ -91,64 +91,46 @@ def _native_scores(text: Column, model: DomainModel) -> list[Column]:
     return out
 
 
-def _automaton_scores(text: Column, model: DomainModel) -> Column:
-    """One pass over the text for all seeds. Each distinct seed is counted without overlap from
-    the left, on its own, exactly as a literal count would; a seed of two domains counts for both."""
-    members: dict[str, list[int]] = {}
-    for i, d in enumerate(model.domains):
-        for w in model.seeds.get(d, ()):
-            members.setdefault(w, []).append(i)
-    width = len(model.domains)
-
-    def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        import ahocorasick
-
-        automaton = ahocorasick.Automaton()
-        for n, (w, doms) in enumerate(members.items()):
-            automaton.add_word(w, (n, len(w), doms))
-        automaton.make_automaton()
-
-        def one(text: str | None) -> list[int]:
-            totals = [0] * width
-            free_from: dict[int, int] = {}
-            for end, (n, length, doms) in automaton.iter(text or ""):
-                if end - length + 1 >= free_from.get(n, 0):
-                    free_from[n] = end + 1
-                    for d in doms:
-                        totals[d] += 1
-            return totals
-
-        for batch in batches:
-            yield batch.map(one, na_action=None)
-
-    return F.pandas_udf(score, "array<int>")(text)
+def _engine(model: DomainModel, engine: str) -> str:
+    if engine not in ("auto", "native", "automaton"):
+        raise ValueError(f"unknown engine {engine!r}")
+    if engine != "auto":
+        return engine
+    many = sum(len(v) for v in model.seeds.values()) > NATIVE_SEED_LIMIT
+    return "automaton" if many and scan.available() else "native"
 
 
-def _automaton_available() -> bool:
-    try:
-        import ahocorasick  # noqa: F401
-    except ImportError:
-        return False
-    return True
+def with_literal_columns(
+    df: DataFrame,
+    model: DomainModel,
+    text_col: str = "text",
+    flags: Mapping[str, Sequence[str]] | None = None,
+    engine: str = "auto",
+) -> DataFrame:
+    """Adds ``lex_<domain>`` integer columns, and a boolean column per entry of ``flags`` that
+    tells whether any of its phrases occurs. With the automaton all of it is one pass."""
+    keep = [F.col(c) for c in df.columns]
+    text = F.col(text_col)
+    names = [f"lex_{d}" for d in model.domains]
+    flags = flags or {}
+    if _engine(model, engine) == "native":
+        scores = [c.cast("int").alias(n) for c, n in zip(_native_scores(text, model), names)]
+        found = [T.contains_any(text, ws).alias(n) for n, ws in flags.items()]
+        return df.select(*keep, *scores, *found)
+    lists = [model.seeds.get(d, ()) for d in model.domains]
+    scanned = df.select(*keep, scan.literal_scan(text, lists, list(flags.values())).alias("_lit"))
+    scores = [F.get("_lit", F.lit(i)).alias(n) for i, n in enumerate(names)]
+    found = [
+        (F.get("_lit", F.lit(len(names) + i)) == 1).alias(n) for i, n in enumerate(flags)
+    ]
+    return scanned.select(*keep, *scores, *found)
 
 
 def with_lexicon_scores(
     df: DataFrame, model: DomainModel, text_col: str = "text", engine: str = "auto"
 ) -> DataFrame:
     """Adds ``lex_<domain>`` integer columns. ``engine``: ``auto``, ``native`` or ``automaton``."""
-    n_seeds = sum(len(v) for v in model.seeds.values())
-    if engine == "auto":
-        many = n_seeds > NATIVE_SEED_LIMIT
-        engine = "automaton" if many and _automaton_available() else "native"
-    keep = [F.col(c) for c in df.columns]
-    names = [f"lex_{d}" for d in model.domains]
-    if engine == "native":
-        cols = _native_scores(F.col(text_col), model)
-        return df.select(*keep, *[c.cast("int").alias(n) for c, n in zip(cols, names)])
-    if engine != "automaton":
-        raise ValueError(f"unknown engine {engine!r}")
-    scored = df.select(*keep, _automaton_scores(F.col(text_col), model).alias("_lex"))
-    return scored.select(*keep, *[F.get("_lex", F.lit(i)).alias(n) for i, n in enumerate(names)])
+    return with_literal_columns(df, model, text_col, engine=engine)
 
 
 def with_rule_scores(
@@ -157,13 +139,18 @@ def with_rule_scores(
     text_col: str = "text",
     token_count_col: str = "token_count",
     mix_rate_col: str = "mix_rate",
+    known: Mapping[Rule, str] | None = None,
 ) -> DataFrame:
-    """Adds ``rule_<domain>`` integer columns; the two count columns must be there."""
+    """Adds ``rule_<domain>`` integer columns; the two count columns must be there. ``known`` names
+    boolean columns for rules that have been settled already."""
+    known = known or {}
     text, n, rate = F.col(text_col), F.col(token_count_col), F.col(mix_rate_col)
     cols = []
     for d in model.domains:
         points = [
-            F.when(r.fires(text, n, rate), F.lit(r.points)).otherwise(F.lit(0))
+            F.when(
+                F.col(known[r]) if r in known else r.fires(text, n, rate), F.lit(r.points)
+            ).otherwise(F.lit(0))
             for r in model.rules
             if r.domain == d
         ]
@@ -179,16 +166,22 @@ def infer_domain(
     engine: str = "auto",
     label_col: str = "predicted_domain",
     keep_scores: bool = False,
+    flags: Mapping[str, Sequence[str]] | None = None,
 ) -> DataFrame:
     """Adds the label and its ``confidence`` (share of the winner in all points; null without any).
 
-    Token counts already on the frame are reused, otherwise they are made and dropped again."""
+    Token counts already on the frame are reused, otherwise they are made and dropped again.
+    ``flags`` asks for further boolean columns, true where one of the listed phrases occurs; they
+    ride on the pass that looks for the seeds."""
+    flags = dict(flags or {})
     out_cols = [c for c in df.columns if c != label_col]
+    carried = [*out_cols, *flags]
     have = {"token_count", "mix_rate"} <= set(df.columns)
     counted = df if have else with_token_counts(df, profile, text_col)
-    scored = with_rule_scores(
-        with_lexicon_scores(counted, model, text_col, engine), model, text_col
-    )
+    known = {r: f"_rule_{i}" for i, r in enumerate(model.rules) if r.kind == "any_of"}
+    wanted = {n: r.phrases for r, n in known.items()} | flags
+    found = with_literal_columns(counted, model, text_col, wanted, engine)
+    scored = with_rule_scores(found, model, text_col, known=known)
 
     score_names = [f"score_{d}" for d in model.domains]
     scored = bind(
@@ -210,7 +203,7 @@ def infer_domain(
     )
     extra = score_names if keep_scores else []
     return scored.select(
-        *out_cols,
+        *carried,
         *extra,
         label.alias(label_col),
         F.when(~empty, confidence).alias("confidence"),

@@ -25,20 +25,31 @@ def place_pattern(spellings: Sequence[str]) -> str:
     return "|".join(_literal_pattern(s) for s in spellings)
 
 
-def mention_count(text: Column | str, spellings: Sequence[str]) -> Column:
-    """Non-overlapping mentions. Most texts name no place at all; a byte search settles those."""
+def mention_count(
+    text: Column | str, spellings: Sequence[str], present: Column | None = None
+) -> Column:
+    """Non-overlapping mentions. Most texts name no place at all; a byte search settles those,
+    unless the caller knows already which texts name one."""
     col = F.col(text) if isinstance(text, str) else text
+    some = T.contains_any(col, spellings) if present is None else present
     counted = F.regexp_count(col, F.lit(place_pattern(spellings)))
-    return F.when(T.contains_any(col, spellings), counted).otherwise(F.lit(0))
+    return F.when(some, counted).otherwise(F.lit(0))
 
 
 def with_place_counts(
-    df: DataFrame, places: Mapping[str, Sequence[str]], text_col: str = "text"
+    df: DataFrame,
+    places: Mapping[str, Sequence[str]],
+    text_col: str = "text",
+    present: Mapping[str, str] | None = None,
 ) -> DataFrame:
-    """Adds ``place_counts``, an array in the order of ``places``."""
+    """Adds ``place_counts``, an array in the order of ``places``. ``present`` names, per place, a
+    boolean column that is true where one of its spellings occurs."""
     if sum(len(s) for s in places.values()) > MAX_SPELLINGS:
         raise ValueError(f"more than {MAX_SPELLINGS} place spellings")
-    counts = [mention_count(text_col, s) for s in places.values()]
+    counts = [
+        mention_count(text_col, s, F.col(present[p]) if present else None)
+        for p, s in places.items()
+    ]
     return df.withColumn("place_counts", F.array(*counts))
 
 

@@ -8,6 +8,7 @@ from dataclasses import dataclass
 from pyspark import StorageLevel
 from pyspark.ml.clustering import LDA, LDAModel
 from pyspark.ml.feature import CountVectorizer, CountVectorizerModel, StopWordsRemover
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -61,10 +62,20 @@ def document_frequency(tokens: DataFrame, min_df: int = 1, tokens_col: str = "to
 
 @dataclass(frozen=True)
 class TopicModel:
+    """A fitted model with the term vectors it was fitted on."""
+
     vectorizer: CountVectorizerModel
     lda: LDAModel
-    log_perplexity: float
-    log_likelihood: float
+    vectors: DataFrame
+
+    def fit_quality(self) -> tuple[float, float]:
+        """``(log_perplexity, log_likelihood)`` on the training documents.
+
+        The perplexity is the negative likelihood per token. Both are wanted, so the likelihood,
+        a pass of inference over all documents, is worked out once."""
+        likelihood = self.lda.logLikelihood(self.vectors)
+        per_term = self.vectors.select(Summarizer.normL1(F.col("features")).alias("n")).first().n
+        return -likelihood / float(per_term.toArray().sum()), likelihood
 
     def topics(self, n_terms: int = 15) -> DataFrame:
         """``(topic, rank, term, weight)``, rank 1 first."""
@@ -107,16 +118,15 @@ def fit_topics(
     vectorizer = CountVectorizer(
         inputCol="tokens", outputCol="features", vocabSize=vocabulary_size, minDF=float(min_df)
     ).fit(kept)
-    vectors = vectorizer.transform(kept).select("features").persist(StorageLevel.MEMORY_AND_DISK)
+    vectors = vectorizer.transform(kept).select("features")
+    vectors.persist(StorageLevel.MEMORY_AND_DISK)
     try:
         lda = LDA(
             k=k, maxIter=max_iter, featuresCol="features", optimizer="online", seed=seed
         ).fit(vectors)
-        return TopicModel(
-            vectorizer, lda, lda.logPerplexity(vectors), lda.logLikelihood(vectors)
-        )
     finally:
         vectors.unpersist()
+    return TopicModel(vectorizer, lda, vectors)
 
 
 def topics_wide(topics: DataFrame) -> DataFrame:

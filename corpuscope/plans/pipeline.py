@@ -91,9 +91,15 @@ def label_stage(
     places: Mapping[str, Sequence[str]] = PLACES,
 ) -> None:
     cfg = job.config
-    labelled = infer_domain(_read(job, cfg.parsed), model, job.profile)
+    present = {p: f"_place_{i}" for i, p in enumerate(places)}
+    labelled = infer_domain(
+        _read(job, cfg.parsed),
+        model,
+        job.profile,
+        flags={column: places[p] for p, column in present.items()},
+    )
+    labelled = geo.with_place_counts(labelled, places, present=present).drop(*present.values())
     labelled = dedup.with_leading_shingle(labelled, job.profile, cfg.shingle_size, cfg.min_tokens)
-    labelled = geo.with_place_counts(labelled, places)
     labelled = gender.with_gender_evidence(labelled, lexicon)
     writers.write_parquet(_renamed(labelled, TABLE_NAMES), job.path(cfg.labelled))
     writers.write_csv(
@@ -143,7 +149,8 @@ def duplicate_stage(job: Job) -> None:
     writers.write_json_report(report, job.output("dedup_stats"))
 
 
-def topic_stage(job: Job) -> topics.TopicModel:
+def topic_stage(job: Job) -> float:
+    """Writes topics and model; returns the log perplexity."""
     cfg = job.config
     stopwords = load_lexicon(job.spark, job.path(cfg.stopwords))
     sample = keyed_sample(_read(job, cfg.labelled), "doc_id", cfg.lda_fraction, SEED)
@@ -158,16 +165,17 @@ def topic_stage(job: Job) -> topics.TopicModel:
         wide.select("topic", F.split("top_words", ", ").alias("terms")), job.output("topics_json")
     )
     writers.write_parquet(long, job.output("topic_terms"))
+    log_perplexity, log_likelihood = model.fit_quality()
     fit = job.spark.range(1).select(
-        F.lit(round(model.log_perplexity, 4)).alias("log_perplexity"),
-        F.lit(round(model.log_likelihood, 4)).alias("log_likelihood"),
+        F.lit(round(log_perplexity, 4)).alias("log_perplexity"),
+        F.lit(round(log_likelihood, 4)).alias("log_likelihood"),
         F.lit(cfg.topics).alias("num_topics"),
         F.lit(cfg.max_iterations).alias("max_iterations"),
         F.lit(len(model.vectorizer.vocabulary)).alias("vocabulary_size"),
     )
     writers.write_json_report(fit, job.output("topics_fit"))
     model.save(job.path(cfg.models))
-    return model
+    return log_perplexity
 
 
 def audit_stage(
@@ -226,6 +234,6 @@ def run_pipeline(job: Job, separator: str = "\n\n") -> None:
     statistics_stage(job)
     vocabulary_stage(job)
     duplicate_stage(job)
-    model = topic_stage(job)
-    totals_stage(job, model.log_perplexity, time.monotonic() - start)
+    log_perplexity = topic_stage(job)
+    totals_stage(job, log_perplexity, time.monotonic() - start)
     audit_stage(job, lexicon)
