@@ -13,6 +13,9 @@ from corpuscope.functions import text as T
 from corpuscope.functions.profiles import ScriptProfile
 from corpuscope.functions.rows import bind
 
+# Bounds the broadcast in near_dup_members.
+HOT_CLUSTERS = 1000
+
 
 def exact_dedup(df: DataFrame, order_by: str, hash_col: str = "sha256") -> DataFrame:
     """One row per hash: the one with the smallest ``order_by``, which should be unique."""
@@ -49,53 +52,69 @@ def with_leading_shingle(
     return cut.select(*keep, shingle.alias("shingle"))
 
 
-def eligible_documents(
+def distinct_documents(
     df: DataFrame,
     label_col: str = "predicted_domain",
     hash_col: str = "sha256",
     order_by: str | None = None,
+    digest: bool = False,
 ) -> DataFrame:
-    """Distinct documents that have a shingle, as ``(label, shingle)`` rows.
+    """``(label, shingle)`` of every distinct text; the shingle is null for short ones.
 
     Copies of one text share the hash and the shingle. With ``order_by`` the copy that has the
     smallest value there lends its label. Without it labels must be a function of the text, as
-    inferred domains are, and this is a plain distinct."""
-    columns = [F.unhex(hash_col).alias("_hash"), "shingle", label_col]
-    narrow = df.filter(F.col("shingle").isNotNull())
+    inferred domains are, and this is a plain distinct. ``digest`` replaces the shingle by its
+    SHA-256 before anything is shuffled: 32 bytes, whatever the script."""
+    key = F.unhex(F.sha2("shingle", 256)) if digest else F.col("shingle")
+    columns = [F.unhex(hash_col).alias("_hash"), key.alias("shingle"), label_col]
     if order_by is None:
-        return narrow.select(*columns).distinct().select(label_col, "shingle")
+        return df.select(*columns).distinct().select(label_col, "shingle")
     first = F.min_by(label_col, order_by).alias(label_col)
-    kept = narrow.select(*columns, order_by).groupBy("_hash", "shingle").agg(first)
+    kept = df.select(*columns, order_by).groupBy("_hash", "shingle").agg(first)
     return kept.select(label_col, "shingle")
 
 
-def shingle_label_counts(
-    eligible: DataFrame, label_col: str = "predicted_domain", digest: bool = False
-) -> DataFrame:
-    """``(shingle, label, n)``: the one table behind every near-duplicate report. With ``digest``
-    the shingle is replaced by its SHA-256, a fixed 32 bytes whatever the script."""
-    key = F.unhex(F.sha2("shingle", 256)) if digest else F.col("shingle")
-    rows = eligible.select(key.alias("shingle"), label_col)
-    return rows.groupBy("shingle", label_col).agg(F.count(F.lit(1)).alias("n"))
+def shingle_label_counts(distinct: DataFrame, label_col: str = "predicted_domain") -> DataFrame:
+    """``(shingle, label, n)``: the one table behind every duplicate report. Rows without a shingle
+    stand for the short texts, which are distinct documents but in no near-duplicate group."""
+    return distinct.groupBy("shingle", label_col).agg(F.count(F.lit(1)).alias("n"))
+
+
+def _grouped(counts: DataFrame) -> DataFrame:
+    return counts.filter(F.col("shingle").isNotNull())
 
 
 def near_dup_clusters(counts: DataFrame, label_col: str = "predicted_domain") -> DataFrame:
     """Shingles shared by two or more documents. ``doc_count`` leaves out null labels."""
     labelled = F.when(F.col(label_col).isNotNull(), F.col("n")).otherwise(F.lit(0))
-    clusters = counts.groupBy("shingle").agg(
-        F.sum("n").alias("cluster_size"), F.sum(labelled).alias("doc_count")
+    clusters = (
+        _grouped(counts)
+        .groupBy("shingle")
+        .agg(F.sum("n").alias("cluster_size"), F.sum(labelled).alias("doc_count"))
     )
     return clusters.filter(F.col("cluster_size") > 1)
 
 
 def top_dup_clusters(clusters: DataFrame, n: int = 50) -> DataFrame:
+    """The largest clusters, ties in the order of their key."""
     return clusters.orderBy(F.desc("cluster_size"), F.asc("shingle")).limit(n)
 
 
+def with_shingle_text(top: DataFrame, docs: DataFrame) -> DataFrame:
+    """Puts the text back in place of the digests of a few clusters, which are broadcast: ``top``
+    has to come from ``top_dup_clusters``. One scan of the shingle column, and of a cluster's
+    copies each task passes on a single row."""
+    texts = docs.select("shingle").filter(F.col("shingle").isNotNull())
+    texts = texts.withColumn("_digest", F.unhex(F.sha2("shingle", 256)))
+    keys = F.broadcast(top.withColumnRenamed("shingle", "_digest"))
+    found = texts.join(keys, "_digest").select("shingle", "cluster_size", "doc_count").distinct()
+    return found.orderBy(F.desc("cluster_size"), F.asc("shingle"))
+
+
 def near_dup_summary(counts: DataFrame) -> DataFrame:
     """One row: eligible documents, clusters, redundant documents (all but one per cluster) and
     their share in the eligible ones."""
-    sizes = counts.groupBy("shingle").agg(F.sum("n").alias("size"))
+    sizes = _grouped(counts).groupBy("shingle").agg(F.sum("n").alias("size"))
     dup = F.col("size") > 1
     totals = sizes.agg(
         F.coalesce(F.sum("size"), F.lit(0)).alias("eligible_documents"),
@@ -111,9 +130,11 @@ def near_dup_summary(counts: DataFrame) -> DataFrame:
 def near_dup_by_domain(counts: DataFrame, label_col: str = "predicted_domain") -> DataFrame:
     """Documents taking part in a cluster, per label. The window sees one row per label and
     shingle, so its groups are as small as the label set."""
-    sized = counts.withColumn("_size", F.sum("n").over(Window.partitionBy("shingle")))
+    size = F.sum("n").over(Window.partitionBy("shingle"))
     per_label = (
-        sized.filter(F.col("_size") > 1)
+        _grouped(counts)
+        .withColumn("_size", size)
+        .filter(F.col("_size") > 1)
         .groupBy(label_col)
         .agg(F.sum("n").alias("near_dup_doc_count"))
     )
@@ -121,6 +142,17 @@ def near_dup_by_domain(counts: DataFrame, label_col: str = "predicted_domain") -
 
 
 def near_dup_members(docs: DataFrame, clusters: DataFrame) -> DataFrame:
-    """Rows of ``docs`` whose shingle is shared. Shingles are unique in ``clusters``, so the semi
-    join spreads a hot shingle by AQE's skew handling without ever emitting pairs."""
-    return docs.join(clusters.select("shingle"), "shingle", "left_semi")
+    """Rows of ``docs`` whose shingle is shared.
+
+    The ``HOT_CLUSTERS`` largest clusters are broadcast. Their documents are members already and
+    go on under keys of their own, spread evenly; any other cluster is smaller than one
+    ``HOT_CLUSTERS``-th of the documents, so the join by shingle has no heavy key left."""
+    hot = clusters.orderBy(F.desc("cluster_size")).limit(HOT_CLUSTERS)
+    hot = hot.select("shingle", F.lit(True).alias("_hot"))
+    own = F.concat("shingle", F.lit("\x00"), F.xxhash64(*docs.columns).cast("string"))
+    keyed = docs.join(F.broadcast(hot), "shingle", "left").withColumn(
+        "_key", F.when(F.col("_hot"), own).otherwise(F.col("shingle"))
+    )
+    shared = clusters.select(F.col("shingle").alias("_key"), F.lit(True).alias("_shared"))
+    joined = keyed.join(shared, "_key", "left")
+    return joined.filter(F.col("_hot") | F.col("_shared")).select(*docs.columns)

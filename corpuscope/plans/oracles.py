@@ -235,6 +235,9 @@ SELECT lang, count(*) AS near_dup_doc_count FROM ({MEMBERS}) GROUP BY lang"""
 ORACLES["top_dup_clusters"] = f"""
 SELECT * FROM ({CLUSTERS}) ORDER BY cluster_size DESC, shingle LIMIT 50"""
 
+ORACLES["dup_cluster_texts"] = f"""
+SELECT * FROM ({CLUSTERS}) ORDER BY cluster_size DESC, sha256(shingle) LIMIT 3"""
+
 # -- topics ---------------------------------------------------------------------------------
 
 _content = (

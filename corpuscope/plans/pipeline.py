@@ -61,11 +61,16 @@ def _read(job: Job, part: str) -> DataFrame:
     return _renamed(job.spark.read.parquet(job.path(part)), back)
 
 
-def parse_stage(job: Job, separator: str = "\n\n") -> None:
+def parsed_corpus(job: Job, separator: str = "\n\n") -> DataFrame:
     raw = job.path(job.config.raw)
     check_script(job.spark, raw, job.profile)
-    parsed = parse_documents(job.spark, raw, job.profile, separator, with_id=True)
+    return parse_documents(job.spark, raw, job.profile, separator, with_id=True)
+
+
+def parse_stage(job: Job, separator: str = "\n\n") -> DataFrame:
+    parsed = parsed_corpus(job, separator)
     writers.write_parquet(_renamed(parsed, TABLE_NAMES), job.path(job.config.parsed))
+    return _read(job, job.config.parsed)
 
 
 def load_model(job: Job) -> DomainModel:
@@ -86,6 +91,7 @@ def load_gender_lexicon(job: Job) -> gender.GenderLexicon:
 
 def label_stage(
     job: Job,
+    parsed: DataFrame,
     model: DomainModel,
     lexicon: gender.GenderLexicon,
     places: Mapping[str, Sequence[str]] = PLACES,
@@ -93,7 +99,7 @@ def label_stage(
     cfg = job.config
     present = {p: f"_place_{i}" for i, p in enumerate(places)}
     labelled = infer_domain(
-        _read(job, cfg.parsed),
+        parsed,
         model,
         job.profile,
         flags={column: places[p] for p, column in present.items()},
@@ -124,20 +130,20 @@ def vocabulary_stage(job: Job) -> None:
 def duplicate_stage(job: Job) -> None:
     k = job.config.shingle_size
     docs = _read(job, job.config.labelled)
-    counts = materialize(
-        dedup.shingle_label_counts(dedup.eligible_documents(docs)), "shingle-counts"
-    )
+    distinct = dedup.distinct_documents(docs, digest=True)
+    counts = materialize(dedup.shingle_label_counts(distinct), "shingle-counts")
     writers.write_csv(dedup.near_dup_by_domain(counts), job.output("domain_dup_breakdown"))
-    clusters = dedup.near_dup_clusters(counts)
-    writers.write_csv(dedup.top_dup_clusters(clusters, 50), job.output("top_dup_clusters"))
-    # One row each.
-    exact = dedup.exact_dup_summary(docs).first()
+    top = materialize(dedup.top_dup_clusters(dedup.near_dup_clusters(counts), 50), "top-clusters")
+    writers.write_csv(dedup.with_shingle_text(top, docs), job.output("top_dup_clusters"))
+    # One row each. The distinct documents have been counted with their shingles.
+    before = docs.count()
+    after = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first().n
     near = dedup.near_dup_summary(counts).first()
     report = job.spark.range(1).select(
-        F.lit(exact.documents_before).alias("documents_before_exact_deduplication"),
-        F.lit(exact.documents_after).alias("documents_after_exact_deduplication"),
-        F.lit(exact.exact_duplicates).alias("exact_duplicates"),
-        F.lit(round(exact.exact_duplicate_rate, 4)).alias("exact_duplicate_rate"),
+        F.lit(before).alias("documents_before_exact_deduplication"),
+        F.lit(after).alias("documents_after_exact_deduplication"),
+        F.lit(before - after).alias("exact_duplicates"),
+        F.lit(round((before - after) / before, 4) if before else 0.0).alias("exact_duplicate_rate"),
         F.lit("shingle_fingerprinting").alias("method"),
         F.lit(k).alias("shingle_size"),
         F.lit(near.eligible_documents).alias("docs_with_enough_tokens"),
@@ -224,12 +230,14 @@ def totals_stage(job: Job, log_perplexity: float, seconds: float) -> None:
     writers.write_json_report(report, job.output("benchmark"))
 
 
-def run_pipeline(job: Job, separator: str = "\n\n") -> None:
+def run_pipeline(job: Job, separator: str = "\n\n", keep_parsed: bool = True) -> None:
+    """``keep_parsed=False`` labels while parsing and never writes the parsed table, which spares
+    one write and one read of the whole corpus."""
     if job.config.shuffle_partitions:
         job.spark.conf.set("spark.sql.shuffle.partitions", str(job.config.shuffle_partitions))
     lexicon = load_gender_lexicon(job)
-    parse_stage(job, separator)
-    label_stage(job, load_model(job), lexicon)
+    parsed = parse_stage(job, separator) if keep_parsed else parsed_corpus(job, separator)
+    label_stage(job, parsed, load_model(job), lexicon)
     start = time.monotonic()
     statistics_stage(job)
     vocabulary_stage(job)

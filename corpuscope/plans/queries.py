@@ -214,8 +214,10 @@ def _shingled(spark, sf_dir):
 
 
 def _shingle_counts(spark, sf_dir, digest=False):
-    eligible = dedup.eligible_documents(_shingled(spark, sf_dir), LABEL, order_by="doc_id")
-    return dedup.shingle_label_counts(eligible, LABEL, digest)
+    distinct = dedup.distinct_documents(
+        _shingled(spark, sf_dir), LABEL, order_by="doc_id", digest=digest
+    )
+    return dedup.shingle_label_counts(distinct, LABEL)
 
 
 @query
@@ -247,6 +249,14 @@ def top_dup_clusters(spark, sf_dir):
     return dedup.top_dup_clusters(near_dup_clusters(spark, sf_dir), 50)
 
 
+@query
+def dup_cluster_texts(spark, sf_dir):
+    """Three digests and the texts they stand for."""
+    clusters = dedup.near_dup_clusters(_shingle_counts(spark, sf_dir, digest=True), LABEL)
+    top = dedup.top_dup_clusters(clusters, 3)
+    return dedup.with_shingle_text(top, _shingled(spark, sf_dir))
+
+
 # -- topics ---------------------------------------------------------------------------------
 
 

@@ -52,7 +52,7 @@ def test_near_duplicates(corpus, parts):
     cut = dedup.with_leading_shingle(df, LATIN, k)
     for digest in (False, True):
         counts = dedup.shingle_label_counts(
-            dedup.eligible_documents(cut, order_by="id"), digest=digest
+            dedup.distinct_documents(cut, order_by="id", digest=digest)
         )
         summary = dedup.near_dup_summary(counts).first()
         assert summary.eligible_documents == len(eligible)
@@ -64,7 +64,7 @@ def test_near_duplicates(corpus, parts):
         by = {r.predicted_domain: r.near_dup_doc_count for r in dedup.near_dup_by_domain(counts).collect()}
         assert by == Counter(lab for _, s, lab in eligible if s in dup)
         assert sum(by.values()) - len(dup) == summary.near_duplicate_documents
-    counts = dedup.shingle_label_counts(dedup.eligible_documents(cut, order_by="id"))
+    counts = dedup.shingle_label_counts(dedup.distinct_documents(cut, order_by="id"))
     clusters = dedup.near_dup_clusters(counts)
     assert {r.shingle: r.cluster_size for r in clusters.collect()} == dup
     labelled = Counter(s for _, s, lab in eligible if s in dup and lab)
@@ -76,13 +76,31 @@ def test_near_duplicates(corpus, parts):
     assert {r.id for r in members.collect()} == {i for i, s, _ in eligible if s in dup}
 
 
-def test_eligible_without_order_is_a_distinct(corpus):
+def test_distinct_without_order(corpus):
     rows, df = corpus
     # label as a function of the text
     cut = dedup.with_leading_shingle(
         df.withColumn("predicted_domain", F.substring("text", 1, 1)), LATIN, 4
     )
-    assert dedup.eligible_documents(cut).count() == len(shingles(rows, 4))
+    got = dedup.distinct_documents(cut)
+    assert got.count() == len(survivors(rows))
+    assert got.filter("shingle is not null").count() == len(shingles(rows, 4))
+
+
+def test_texts_of_digests_and_members_of_many_clusters(corpus, monkeypatch):
+    rows, df = corpus
+    cut = dedup.with_leading_shingle(df, LATIN, 4)
+    sizes = Counter(s for _, s, _ in shingles(rows, 4))
+    counts = dedup.shingle_label_counts(dedup.distinct_documents(cut, order_by="id", digest=True))
+    top = dedup.top_dup_clusters(dedup.near_dup_clusters(counts), 100)
+    got = {r.shingle: r.cluster_size for r in dedup.with_shingle_text(top, cut).collect()}
+    assert got == {s: n for s, n in sizes.items() if n > 1}
+    # fewer hot clusters than clusters: both ways into the result are taken
+    monkeypatch.setattr(dedup, "HOT_CLUSTERS", 2)
+    counts = dedup.shingle_label_counts(dedup.distinct_documents(cut, order_by="id"))
+    members = dedup.near_dup_members(cut.select("id", "shingle"), dedup.near_dup_clusters(counts))
+    want = [i for i, text, _ in rows for s in [" ".join(text.split()[:4])] if sizes.get(s, 0) > 1]
+    assert sorted(r.id for r in members.collect()) == want
 
 
 def test_exact_duplicates(corpus):

@@ -9,7 +9,14 @@ from pyspark.ml.feature import CountVectorizerModel
 
 from corpuscope.operators import topics
 from corpuscope.operators.bengali import DOMAINS
-from corpuscope.plans.pipeline import Job, run_pipeline
+from corpuscope.plans.pipeline import (
+    Job,
+    label_stage,
+    load_gender_lexicon,
+    load_model,
+    parsed_corpus,
+    run_pipeline,
+)
 from corpuscope.sources.config import JobConfig
 
 WORDS = ["কথা", "নদী", "আকাশ", "বই", "মানুষ", "সময়", "গান", "পাখি", "ফুল", "ঘর"]
@@ -161,3 +168,20 @@ def test_topic_model_quality(spark):
 def test_stopwords_ignore_case_and_keep_glued_words(spark):
     df = spark.createDataFrame([(["The", "the,", "cat"],)], "raw_tokens array<string>")
     assert topics.remove_stopwords(df, ["the"]).first().tokens == ["the,", "cat"]
+
+
+def test_labelling_without_the_parsed_table(job, tmp_path):
+    job, docs = job
+    for part in ("domain_resources", "bias_resources"):
+        os.symlink(job.path(part), tmp_path / part)
+    os.makedirs(tmp_path / "corpus")
+    os.symlink(job.path("corpus/raw"), tmp_path / "corpus/raw")
+    other = Job(job.spark, str(tmp_path), job.config)
+    label_stage(other, parsed_corpus(other), load_model(other), load_gender_lexicon(other))
+    columns = ["text", "predicted_domain", "shingle", "place_counts", "gender_evidence", "token_count"]
+    both = [
+        sorted(map(str, j.spark.read.parquet(j.path("corpus/labelled/")).select(columns).collect()))
+        for j in (job, other)
+    ]
+    assert both[0] == both[1] and len(both[0]) == len(docs)
+    assert not os.path.exists(other.path("corpus/parsed"))
