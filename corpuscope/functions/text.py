@@ -93,10 +93,14 @@ def secondary_tokens(tokens_col: Column | str, profile: ScriptProfile) -> Column
     return F.filter(_c(tokens_col), lambda t: t.rlike(profile.secondary))
 
 
+def is_script_token(token: Column | str, profile: ScriptProfile) -> Column:
+    """Long enough and holding a primary-script character; punctuation stays attached."""
+    t = _c(token)
+    return (F.length(t) >= profile.min_token_length) & t.rlike(profile.primary_class)
+
+
 def script_tokens(col: Column | str, profile: ScriptProfile) -> Column:
-    """Tokens long enough and holding a primary-script character; punctuation stays attached."""
-    cls, shortest = profile.primary_class, profile.min_token_length
-    return F.filter(tokens(col), lambda t: (F.length(t) >= shortest) & t.rlike(cls))
+    return F.filter(tokens(col), lambda t: is_script_token(t, profile))
 
 
 def content_hash(col: Column | str) -> Column:

@@ -138,13 +138,15 @@ def with_rule_scores(
     model: DomainModel,
     text_col: str = "text",
     token_count_col: str = "token_count",
-    mix_rate_col: str = "mix_rate",
+    latin_count_col: str = "latin_token_count",
     known: Mapping[Rule, str] | None = None,
 ) -> DataFrame:
-    """Adds ``rule_<domain>`` integer columns; the two count columns must be there. ``known`` names
-    boolean columns for rules that have been settled already."""
+    """Adds ``rule_<domain>`` integer columns; the two count columns must be there. The mixing rate
+    is taken from them, since a stored rate may have been rounded. ``known`` names boolean columns
+    for rules that have been settled already."""
     known = known or {}
-    text, n, rate = F.col(text_col), F.col(token_count_col), F.col(mix_rate_col)
+    text, n = F.col(text_col), F.col(token_count_col)
+    rate = T.safe_ratio(F.col(latin_count_col), n)
     cols = []
     for d in model.domains:
         points = [
@@ -176,7 +178,7 @@ def infer_domain(
     flags = dict(flags or {})
     out_cols = [c for c in df.columns if c != label_col]
     carried = [*out_cols, *flags]
-    have = {"token_count", "mix_rate"} <= set(df.columns)
+    have = {"token_count", "latin_token_count"} <= set(df.columns)
     counted = df if have else with_token_counts(df, profile, text_col)
     known = {r: f"_rule_{i}" for i, r in enumerate(model.rules) if r.kind == "any_of"}
     wanted = {n: r.phrases for r, n in known.items()} | flags

@@ -24,7 +24,7 @@ FEMALE_LEANING = "female-leaning"
 INSUFFICIENT = "insufficient data"
 WINDOW = 10
 # Phrases become literals of the plan, so the lists have to stay configuration-sized.
-MAX_PHRASES = 100_000
+MAX_PHRASES = 20_000
 
 
 def phrase(entry: str) -> str:

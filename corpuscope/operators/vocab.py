@@ -19,8 +19,10 @@ def token_rows(
     text_col: str = "text",
     label_col: str = "predicted_domain",
 ) -> DataFrame:
-    """One row per token occurrence."""
-    return df.select(label_col, F.explode(T.script_tokens(text_col, profile)).alias("token"))
+    """One row per occurrence of a script token. Filtering the rows keeps the test of each token
+    in generated code, which an array filter would not."""
+    rows = df.select(label_col, F.explode(T.tokens(text_col)).alias("token"))
+    return rows.filter(T.is_script_token("token", profile))
 
 
 def token_counts(token_df: DataFrame, label_col: str = "predicted_domain") -> DataFrame:

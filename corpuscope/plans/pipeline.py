@@ -14,6 +14,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corpuscope.functions import text as T
 from corpuscope.functions.profiles import BENGALI, ScriptProfile
 from corpuscope.operators import aggregates, dedup, gender, geo, topics, vocab
 from corpuscope.operators.bengali import (
@@ -38,12 +39,22 @@ SEED = "42:"
 
 @dataclass(frozen=True)
 class Job:
-    """One corpus under one storage root."""
+    """One corpus under one storage root.
+
+    ``decompose`` compares texts and word lists in the form that writes nukta letters as two code
+    points. Without it a word only matches a text that happens to use the same form."""
 
     spark: SparkSession
     root: str
     config: JobConfig = JobConfig()
     profile: ScriptProfile = BENGALI
+    decompose: bool = False
+
+    def lists(self, paths: Mapping[str, str]) -> dict[str, tuple[str, ...]]:
+        loaded = load_lexicons(self.spark, paths)
+        if not self.decompose:
+            return loaded
+        return {n: tuple(dict.fromkeys(map(T.decompose_nukta_str, ws))) for n, ws in loaded.items()}
 
     def path(self, part: str) -> str:
         return f"{self.root.rstrip('/')}/{part}"
@@ -75,13 +86,13 @@ def parse_stage(job: Job, separator: str = "\n\n") -> DataFrame:
 
 def load_model(job: Job) -> DomainModel:
     folder = job.path(job.config.lexicon_dir.rstrip("/"))
-    return bengali_model(load_lexicons(job.spark, {d: f"{folder}/{d}.txt" for d in DOMAINS}))
+    return bengali_model(job.lists({d: f"{folder}/{d}.txt" for d in DOMAINS}))
 
 
 def load_gender_lexicon(job: Job) -> gender.GenderLexicon:
     folder = job.path(job.config.bias_dir.rstrip("/"))
     names = ("occupation_markers", "male_markers", "female_markers")
-    lists = load_lexicons(job.spark, {n: f"{folder}/{n}.txt" for n in names})
+    lists = job.lists({n: f"{folder}/{n}.txt" for n in names})
     return gender.GenderLexicon.of(
         *(lists[n] for n in names),
         male_prefixes=MALE_PREFIXES,
@@ -97,16 +108,18 @@ def label_stage(
     places: Mapping[str, Sequence[str]] = PLACES,
 ) -> None:
     cfg = job.config
+    text = T.decompose_nukta("text") if job.decompose else F.col("text")
     present = {p: f"_place_{i}" for i, p in enumerate(places)}
     labelled = infer_domain(
-        parsed,
+        parsed.withColumn("_text", text),
         model,
         job.profile,
+        text_col="_text",
         flags={column: places[p] for p, column in present.items()},
     )
-    labelled = geo.with_place_counts(labelled, places, present=present).drop(*present.values())
+    labelled = geo.with_place_counts(labelled, places, "_text", present).drop(*present.values())
+    labelled = gender.with_gender_evidence(labelled, lexicon, text_col="_text").drop("_text")
     labelled = dedup.with_leading_shingle(labelled, job.profile, cfg.shingle_size, cfg.min_tokens)
-    labelled = gender.with_gender_evidence(labelled, lexicon)
     writers.write_parquet(_renamed(labelled, TABLE_NAMES), job.path(cfg.labelled))
     writers.write_csv(
         domain_distribution(_read(job, cfg.labelled)), job.output("domain_distribution")

@@ -133,6 +133,14 @@ def test_mix_rate_rule_is_strict(frame):
     assert label(frame, model, at, above) == [("unknown", None), ("s", 1.0)]
 
 
+def test_rounded_rates_are_not_trusted(frame):
+    model = D.DomainModel(("s",), {}, (D.Rule("s", 2, "mix_rate_above", threshold=0.15),))
+    df = frame("x").withColumns(
+        {"token_count": F.lit(20001), "latin_token_count": F.lit(3001), "mix_rate": F.lit(0.15)}
+    )
+    assert D.infer_domain(df, model, BENGALI).first().predicted_domain == "s"
+
+
 def test_distribution(spark):
     df = spark.createDataFrame([("a",), ("b",), ("b",), ("c",)], "predicted_domain string")
     got = [tuple(r) for r in D.domain_distribution(df).collect()]

@@ -8,7 +8,7 @@ from pyspark.ml.clustering import LocalLDAModel
 from pyspark.ml.feature import CountVectorizerModel
 
 from corpuscope.operators import topics
-from corpuscope.operators.bengali import DOMAINS
+from corpuscope.operators.bengali import DOMAINS, bengali_model
 from corpuscope.plans.pipeline import (
     Job,
     label_stage,
@@ -185,3 +185,17 @@ def test_labelling_without_the_parsed_table(job, tmp_path):
     ]
     assert both[0] == both[1] and len(both[0]) == len(docs)
     assert not os.path.exists(other.path("corpus/parsed"))
+
+
+def test_decomposed_comparison(spark, tmp_path):
+    folder = tmp_path / "bias_resources"
+    folder.mkdir()
+    whole, parts = "প\u09dcু\u09dfা", "প\u09a1\u09bcু\u09af\u09bcা"
+    for name, words in (("occupation", whole), ("male", "ভাই"), ("female", "বোন")):
+        (folder / f"{name}_markers.txt").write_text(f"{words}\n", encoding="utf-8")
+    for decompose, want in ((False, []), (True, [parts])):
+        job = Job(spark, str(tmp_path), decompose=decompose)
+        parsed = spark.createDataFrame([(f"ভাই {parts}", 2, 0)], "text string, token_count int, latin_token_count int")
+        label_stage(job, parsed, bengali_model({}), load_gender_lexicon(job))
+        row = spark.read.parquet(job.path("corpus/labelled/")).first()
+        assert [e.occupation for e in row.gender_evidence] == want
