@@ -54,9 +54,10 @@ FIRST_PERSON_WORD = r"(?<![\p{L}\p{M}\p{N}_])(?:আমি|আমার|আমা
 EMOJI = r"[\x{1F300}-\x{1FAFF}]"
 HANDLE = "[@#][A-Za-z0-9_]+"
 SHOUTING = "[!?]{3,}"
-# (?d): only a line feed ends the reach of the dot.
-QUOTED = '(?d)[“"].+?[”"]'
-
+# A quote: an opening mark, one or more characters of the same line, the nearest closing mark. Only
+# a match with group 1 is a quote. The other branch swallows the rest of a line in which nothing
+# closes any more; a lazy dot would search that rest again from every further opening mark.
+QUOTED = '[“"](?:[^\\n][^”"\\n]*+([”"])|[^\\n]*+)'
 
 
 def bengali_rules(first_person: str = "compat") -> tuple[Rule, ...]:
@@ -80,7 +81,15 @@ def bengali_rules(first_person: str = "compat") -> tuple[Rule, ...]:
         Rule("social", 2, "matches", pattern=SHOUTING, guard=("!", "?")),
         Rule("social", 2, "mix_rate_above", threshold=0.15),
         Rule("social", 1, "tokens_below", threshold=30),
-        Rule("literature", 4, "count_at_least", pattern=QUOTED, threshold=5, guard=("“", '"')),
+        Rule(
+            "literature",
+            4,
+            "count_at_least",
+            pattern=QUOTED,
+            group=1,
+            threshold=5,
+            guard=("“", '"'),
+        ),
     )
 
 

@@ -35,24 +35,32 @@ class Rule:
 
     kind ``any_of``: one of ``phrases`` occurs; ``matches``: ``pattern`` is found; ``count_at_least``:
     ``pattern`` is found ``threshold`` times or more; ``mix_rate_above`` and ``tokens_below`` compare
-    the document's counts with ``threshold``. ``guard`` lists literals of which every match of
+    the document's counts with ``threshold``. With ``group``, only matches in which that group of
+    the pattern holds something are counted. ``guard`` lists literals of which every match of
     ``pattern`` contains at least one; a text with none of them skips the regex."""
 
     domain: str
     points: int
     kind: str
     pattern: str | None = None
+    group: int = 0
     phrases: tuple[str, ...] = ()
     threshold: float | None = None
     guard: tuple[str, ...] = ()
 
+    def count(self, text: Column) -> Column:
+        if not self.group:
+            return F.regexp_count(text, F.lit(self.pattern))
+        found = F.regexp_extract_all(text, F.lit(self.pattern), self.group)
+        return F.size(F.array_remove(found, ""))
+
     def fires(self, text: Column, token_count: Column, mix_rate: Column) -> Column:
         if self.kind == "any_of":
             return T.contains_any(text, self.phrases)
         if self.kind == "matches":
             cond = text.rlike(self.pattern)
         elif self.kind == "count_at_least":
-            cond = F.regexp_count(text, F.lit(self.pattern)) >= int(self.threshold)
+            cond = self.count(text) >= int(self.threshold)
         elif self.kind == "mix_rate_above":
             return (token_count > 0) & (mix_rate > self.threshold)
         elif self.kind == "tokens_below":

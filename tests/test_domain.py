@@ -1,4 +1,5 @@
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -104,9 +105,20 @@ def test_first_person(frame):
 
 
 def test_quotes(frame):
-    assert matches(frame, B.QUOTED, "“ক খ”", "“ক\nখ”", '"a" "b"', '""') == [1, 0, 2, 0]
     rule = by_pattern(B.QUOTED)
-    assert fired(frame, rule, '"a" ' * 5, '"a" ' * 4) == [True, False]
+    rng = random.Random(4)
+    texts = ["“ক\u2028খ”", "“ক\nখ”", '"a" "b"', '""', '"a" ' * 5, '"a" ' * 4]
+    texts += ["".join(rng.choice('“”"ab\n') for _ in range(rng.randint(0, 25))) for _ in range(400)]
+    df = frame(*texts).select("id", rule.count(F.col("text")).alias("n")).orderBy("id")
+    # the plain way to say it
+    want = [len(re.findall('[“"].+?[”"]', t)) for t in texts]
+    assert [r.n for r in df.collect()] == want and want[:4] == [1, 0, 2, 0]
+    assert fired(frame, rule, *texts[4:6]) == [True, False]
+
+
+def test_many_open_quotes_take_linear_time(frame):
+    text = " ".join(["“কথা"] * 200_000)
+    assert fired(frame, by_pattern(B.QUOTED), text, text + "”") == [False, False]
 
 
 def test_social_rules(frame):
