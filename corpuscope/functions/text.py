@@ -85,18 +85,17 @@ def tokens(col: Column | str) -> Column:
 
 
 def primary_tokens(tokens_col: Column | str, profile: ScriptProfile) -> Column:
-    cls = profile.primary_class
-    return F.filter(_c(tokens_col), lambda t: t.rlike(cls))
+    return F.filter(_c(tokens_col), profile.is_primary)
 
 
 def secondary_tokens(tokens_col: Column | str, profile: ScriptProfile) -> Column:
-    return F.filter(_c(tokens_col), lambda t: t.rlike(profile.secondary))
+    return F.filter(_c(tokens_col), profile.is_secondary)
 
 
 def is_script_token(token: Column | str, profile: ScriptProfile) -> Column:
     """Long enough and holding a primary-script character; punctuation stays attached."""
     t = _c(token)
-    return (F.length(t) >= profile.min_token_length) & t.rlike(profile.primary_class)
+    return (F.length(t) >= profile.min_token_length) & profile.is_primary(t)
 
 
 def script_tokens(col: Column | str, profile: ScriptProfile) -> Column:

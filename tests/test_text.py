@@ -1,5 +1,6 @@
 import hashlib
 import re
+from dataclasses import replace
 
 import pytest
 from pyspark.sql import functions as F
@@ -111,3 +112,17 @@ def test_keyed_sample_ignores_layout(spark):
     assert keyed_sample(df, "k", 1.0).count() == 2000
     with pytest.raises(ValueError):
         keyed_sample(df, "k", 1.5)
+
+
+def test_start_ranges_change_nothing(spark):
+    points = [c for c in range(1, 0x3000) if not 0xD800 <= c < 0xE000]
+    rows = [(p + chr(c) + q,) for c in points for p, q in (("", ""), ("", "b"), ("1", ""), ("", "1"))]
+    df = spark.createDataFrame(rows, "t string")
+    for profile in (BENGALI, LATIN):
+        plain = replace(profile, primary_start=None, secondary_start=None)
+        t = F.col("t")
+        differ = df.filter(
+            (profile.is_primary(t) != plain.is_primary(t))
+            | (profile.is_secondary(t) != plain.is_secondary(t))
+        )
+        assert differ.count() == 0
