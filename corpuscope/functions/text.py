@@ -42,7 +42,8 @@ WS_CLASS = (
 
 # The punctuation marks that the normaliser sets apart from words.
 PUNCTUATION = ",।!?;:()[]{}\"“”‘’"
-PUNCT_CLASS = "[" + "".join("\\" + c if c in "()[]{}" else c for c in PUNCTUATION) + "]"
+# Shaped like WS_CLASS, for the same reason.
+PUNCT_CLASS = r'[,!?;:\(\)\[\]\{\}"।[\x{2018}-\x{201d}&&[“”‘’]]]'
 
 # Letters that exist both precomposed and as letter + nukta; canonical composition excludes the
 # precomposed forms, so NFC text holds the two-code-point form.
@@ -117,13 +118,13 @@ def leading_shingle(tokens_col: Column | str, k: int) -> Column:
 def normalize_text(col: Column | str) -> Column:
     """Whitespace runs become one space, listed punctuation gets a space on both sides."""
     collapsed = F.regexp_replace(_c(col), WS_CLASS + "+", " ")
-    spaced = F.regexp_replace(collapsed, "(" + PUNCT_CLASS + ")", " $1 ")
+    spaced = F.regexp_replace(collapsed, PUNCT_CLASS, " $0 ")
     return F.coalesce(strip(spaced), F.lit(""))
 
 
 def normalized_tokens(col: Column | str) -> Column:
     """``tokens(normalize_text(..))`` without the collapse, which splitting makes superfluous."""
-    return tokens(F.regexp_replace(_c(col), "(" + PUNCT_CLASS + ")", " $1 "))
+    return tokens(F.regexp_replace(_c(col), PUNCT_CLASS, " $0 "))
 
 
 def match_count(col: Column | str, pattern: str) -> Column:

@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
-from corpuscope.functions.text import PUNCT_CLASS, WHITESPACE
+from corpuscope.functions.text import PUNCTUATION, WHITESPACE
 from corpuscope.operators.domain import UNKNOWN
 from corpuscope.plans import fixture as X
 
 WS_CLASS = "[" + "".join(f"\\x{{{ord(c):x}}}" for c in WHITESPACE) + "]"
 
+PUNCT_CLASS = "[" + "".join(f"\\x{{{ord(c):x}}}" for c in PUNCTUATION) + "]"
+
 
 def lit(s: str) -> str:
     return "'" + s.replace("'", "''") + "'"

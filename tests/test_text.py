@@ -26,7 +26,7 @@ def values(df, *cols):
     return [tuple(r) if len(cols) > 1 else r[0] for r in df.select(*cols).collect()]
 
 
-def test_whitespace_is_unicode_whitespace(spark):
+def test_character_classes(spark):
     every = [chr(c) for c in range(0x10000) if chr(c).isspace()]
     assert set(T.WHITESPACE) == set(every)
     # every code point of the basic plane, in a frame: the class matches the same ones
@@ -34,6 +34,8 @@ def test_whitespace_is_unicode_whitespace(spark):
     df = spark.createDataFrame([(chr(c),) for (c,) in points], "ch string")
     hit = {r.ch for r in df.filter(F.col("ch").rlike(T.WS_CLASS)).collect()}
     assert hit == set(every)
+    hit = {r.ch for r in df.filter(F.col("ch").rlike(T.PUNCT_CLASS)).collect()}
+    assert hit == set(T.PUNCTUATION)
 
 
 def test_tokens_and_strip_follow_python(frame):
