@@ -78,10 +78,9 @@ def parsed_corpus(job: Job, separator: str = "\n\n") -> DataFrame:
     return parse_documents(job.spark, raw, job.profile, separator, with_id=True)
 
 
-def parse_stage(job: Job, separator: str = "\n\n") -> DataFrame:
+def parse_stage(job: Job, separator: str = "\n\n") -> None:
     parsed = parsed_corpus(job, separator)
     writers.write_parquet(_renamed(parsed, TABLE_NAMES), job.path(job.config.parsed))
-    return _read(job, job.config.parsed)
 
 
 def load_model(job: Job) -> DomainModel:
@@ -100,30 +99,39 @@ def load_gender_lexicon(job: Job) -> gender.GenderLexicon:
     )
 
 
-def label_stage(
+def labelled_corpus(
     job: Job,
     parsed: DataFrame,
     model: DomainModel,
     lexicon: gender.GenderLexicon,
     places: Mapping[str, Sequence[str]] = PLACES,
-) -> None:
+) -> DataFrame:
+    """One narrow pass: the label, and what later steps want to know about the text."""
     cfg = job.config
-    text = T.decompose_nukta("text") if job.decompose else F.col("text")
+    column = "_text" if job.decompose else "text"
+    if job.decompose:
+        parsed = parsed.withColumn(column, T.decompose_nukta("text"))
     present = {p: f"_place_{i}" for i, p in enumerate(places)}
     labelled = infer_domain(
-        parsed.withColumn("_text", text),
-        model,
-        job.profile,
-        text_col="_text",
-        flags={column: places[p] for p, column in present.items()},
+        parsed, model, job.profile, column, flags={present[p]: places[p] for p in places}
     )
-    labelled = geo.with_place_counts(labelled, places, "_text", present).drop(*present.values())
-    labelled = gender.with_gender_evidence(labelled, lexicon, text_col="_text").drop("_text")
+    labelled = geo.with_place_counts(labelled, places, column, present).drop(*present.values())
+    labelled = gender.with_gender_evidence(labelled, lexicon, text_col=column).drop("_text")
     labelled = dedup.with_leading_shingle(labelled, job.profile, cfg.shingle_size, cfg.min_tokens)
-    writers.write_parquet(_renamed(labelled, TABLE_NAMES), job.path(cfg.labelled))
-    writers.write_csv(
-        domain_distribution(_read(job, cfg.labelled)), job.output("domain_distribution")
-    )
+    return labelled
+
+
+def label_stage(
+    job: Job,
+    parsed: DataFrame,
+    model: DomainModel,
+    lexicon: gender.GenderLexicon,
+    places: Mapping[str, Sequence[str]] = PLACES,
+) -> None:
+    table = job.config.labelled
+    labelled = labelled_corpus(job, parsed, model, lexicon, places)
+    writers.write_parquet(_renamed(labelled, TABLE_NAMES), job.path(table))
+    writers.write_csv(domain_distribution(_read(job, table)), job.output("domain_distribution"))
 
 
 def statistics_stage(job: Job) -> None:
@@ -180,9 +188,6 @@ def topic_stage(job: Job) -> float:
     long = model.topics(15)
     wide = topics.topics_wide(long)
     writers.write_csv(wide.orderBy("topic"), job.output("topics_csv"))
-    writers.write_json_lines(
-        wide.select("topic", F.split("top_words", ", ").alias("terms")), job.output("topics_json")
-    )
     writers.write_parquet(long, job.output("topic_terms"))
     log_perplexity, log_likelihood = model.fit_quality()
     fit = job.spark.range(1).select(
@@ -192,7 +197,12 @@ def topic_stage(job: Job) -> float:
         F.lit(cfg.max_iterations).alias("max_iterations"),
         F.lit(len(model.vectorizer.vocabulary)).alias("vocabulary_size"),
     )
-    writers.write_json_report(fit, job.output("topics_fit"))
+    # A line per topic, and one about the fit.
+    terms = F.split("top_words", ", ").alias("terms")
+    report = wide.select(F.to_json(F.struct("topic", terms))).union(
+        fit.select(F.to_json(F.struct("*")))
+    )
+    report.write.mode("overwrite").text(job.output("topics_json"))
     model.save(job.path(cfg.models))
     return log_perplexity
 
@@ -243,18 +253,35 @@ def totals_stage(job: Job, log_perplexity: float, seconds: float) -> None:
     writers.write_json_report(report, job.output("benchmark"))
 
 
-def run_pipeline(job: Job, separator: str = "\n\n", keep_parsed: bool = True) -> None:
-    """``keep_parsed=False`` labels while parsing and never writes the parsed table, which spares
-    one write and one read of the whole corpus."""
-    if job.config.shuffle_partitions:
-        job.spark.conf.set("spark.sql.shuffle.partitions", str(job.config.shuffle_partitions))
-    lexicon = load_gender_lexicon(job)
-    parsed = parse_stage(job, separator) if keep_parsed else parsed_corpus(job, separator)
-    label_stage(job, parsed, load_model(job), lexicon)
+def analytics(job: Job) -> None:
     start = time.monotonic()
     statistics_stage(job)
     vocabulary_stage(job)
     duplicate_stage(job)
     log_perplexity = topic_stage(job)
     totals_stage(job, log_perplexity, time.monotonic() - start)
-    audit_stage(job, lexicon)
+
+
+STAGES = ("parse", "label", "analytics", "audit")
+
+
+def run_pipeline(
+    job: Job, separator: str = "\n\n", keep_parsed: bool = True, stages: Sequence[str] = STAGES
+) -> None:
+    """Runs the stages asked for, in their order; each picks up the tables of the ones before.
+
+    ``keep_parsed=False`` labels while parsing and never writes the parsed table, which spares
+    one write and one read of the whole corpus."""
+    if set(stages) - set(STAGES):
+        raise ValueError(f"unknown stages: {sorted(set(stages) - set(STAGES))}")
+    if job.config.shuffle_partitions:
+        job.spark.conf.set("spark.sql.shuffle.partitions", str(job.config.shuffle_partitions))
+    if "parse" in stages and keep_parsed:
+        parse_stage(job, separator)
+    if "label" in stages:
+        parsed = _read(job, job.config.parsed) if keep_parsed else parsed_corpus(job, separator)
+        label_stage(job, parsed, load_model(job), load_gender_lexicon(job))
+    if "analytics" in stages:
+        analytics(job)
+    if "audit" in stages:
+        audit_stage(job, load_gender_lexicon(job))

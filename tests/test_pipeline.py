@@ -2,16 +2,19 @@ import glob
 import json
 import os
 import random
+import shutil
 
 import pytest
 from pyspark.ml.clustering import LocalLDAModel
 from pyspark.ml.feature import CountVectorizerModel
 
-from corpuscope.operators import topics
+from corpuscope.__main__ import main
+from corpuscope.operators import gender, topics
 from corpuscope.operators.bengali import DOMAINS, bengali_model
 from corpuscope.plans.pipeline import (
     Job,
     label_stage,
+    labelled_corpus,
     load_gender_lexicon,
     load_model,
     parsed_corpus,
@@ -114,10 +117,11 @@ def test_topics(job):
     job, _ = job
     wide = table(job, "topics_csv")
     assert wide.columns == ["topic", "top_words"] and wide.count() == 2
-    rows = [json.loads(x) for x in lines(job, "topics_json")]
-    assert sorted(r["topic"] for r in rows) == [0, 1]
+    report = [json.loads(x) for x in lines(job, "topics_json")]
+    rows = [r for r in report if "topic" in r]
+    assert sorted(r["topic"] for r in rows) == [0, 1] and len(report) == 3
     assert not {"কথা", "বই"} & {t for r in rows for t in r["terms"]}
-    fit = json.loads("\n".join(lines(job, "topics_fit")))
+    fit = next(r for r in report if "num_topics" in r)
     assert fit["num_topics"] == 2 and fit["log_perplexity"] > 0 > fit["log_likelihood"]
     lda = LocalLDAModel.load(job.path("models/lda_model"))
     cv = CountVectorizerModel.load(job.path("models/count_vectorizer"))
@@ -170,21 +174,24 @@ def test_stopwords_ignore_case_and_keep_glued_words(spark):
     assert topics.remove_stopwords(df, ["the"]).first().tokens == ["the,", "cat"]
 
 
-def test_labelling_without_the_parsed_table(job, tmp_path):
+def test_command_line_without_the_parsed_table(job, tmp_path):
     job, docs = job
     for part in ("domain_resources", "bias_resources"):
-        os.symlink(job.path(part), tmp_path / part)
-    os.makedirs(tmp_path / "corpus")
-    os.symlink(job.path("corpus/raw"), tmp_path / "corpus/raw")
-    other = Job(job.spark, str(tmp_path), job.config)
-    label_stage(other, parsed_corpus(other), load_model(other), load_gender_lexicon(other))
+        shutil.copytree(job.path(part), tmp_path / part)
+    shutil.copytree(job.path("corpus/raw"), tmp_path / "corpus/raw")
+    (tmp_path / "domain_resources/config.json").write_text('{"duplicate_detection": {"shingle_size": 8}}')
+    other = Job(job.spark, str(tmp_path))
+    main(["--root", str(tmp_path), "--no-parsed", "--stages", "parse", "label", "audit"])
     columns = ["text", "predicted_domain", "shingle", "place_counts", "gender_evidence", "token_count"]
     both = [
         sorted(map(str, j.spark.read.parquet(j.path("corpus/labelled/")).select(columns).collect()))
         for j in (job, other)
     ]
     assert both[0] == both[1] and len(both[0]) == len(docs)
+    assert sorted(lines(job, "bias/gender_bias")) == sorted(lines(other, "bias/gender_bias"))
     assert not os.path.exists(other.path("corpus/parsed"))
+    with pytest.raises(ValueError):
+        run_pipeline(other, stages=["nonsense"])
 
 
 def test_decomposed_comparison(spark, tmp_path):
@@ -199,3 +206,18 @@ def test_decomposed_comparison(spark, tmp_path):
         label_stage(job, parsed, bengali_model({}), load_gender_lexicon(job))
         row = spark.read.parquet(job.path("corpus/labelled/")).first()
         assert [e.occupation for e in row.gender_evidence] == want
+
+
+def test_labelling_is_one_narrow_pass(job):
+    job, _ = job
+    model, lexicon = load_model(job), load_gender_lexicon(job)
+    df = labelled_corpus(job, parsed_corpus(job), model, lexicon)
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and plan.count("FileScan") == 1
+    # tokens for the counts, tokens for the shingle, normalised tokens, and two splits into lines
+    assert plan.count("split(") <= 6
+    assert plan.count("ArrowEvalPython") <= 1 and "BatchEvalPython" not in plan
+    # the audits never see the text again
+    labelled = job.spark.read.parquet(job.path("corpus/labelled/"))
+    scores = gender.gender_scores(labelled)
+    assert "text" not in scores._jdf.queryExecution().executedPlan().toString().split("ReadSchema")[1]
