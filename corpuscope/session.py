@@ -8,18 +8,22 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+_own: dict = {}
+
+
 def scratch_root(spark: SparkSession) -> str:
     """The folder all executors share: ``spark.checkpoint.dir``. Only a local session, which has
-    no other machine to share with, may do without and gets a temporary folder."""
+    no other machine to share with, may do without; it gets one temporary folder, which goes when
+    the driver ends."""
     sc = spark.sparkContext
     shared = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if shared:
         return shared.rstrip("/")
-    if not sc.master.startswith("local"):
+    if sc.master != "local" and not sc.master.startswith("local["):
         raise RuntimeError("set spark.checkpoint.dir to a folder that every executor can reach")
-    made = tempfile.mkdtemp(prefix="corpuscope-")
-    sc.setCheckpointDir(made)
-    return sc.getCheckpointDir().rstrip("/")
+    if _own.get("app") != sc.applicationId:
+        _own.update(app=sc.applicationId, folder=tempfile.TemporaryDirectory(prefix="corpuscope-"))
+    return f"file://{_own['folder'].name}"
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
