@@ -9,11 +9,11 @@ WITH t AS (
   FROM documents
 ), counts AS (
   SELECT r, doc_id, source, len(w) AS n_words,
-         coalesce(list_sum(list_transform(w, x -> length(x))), 0)::BIGINT AS word_chars,
+         coalesce(list_sum(list_transform(w, lambda x: length(x))), 0)::BIGINT AS word_chars,
          length(regexp_replace(t, '[^#*$%&|<>]+', '', 'g')) AS n_symbols,
-         list_filter(string_split(t, chr(10)), x -> regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines,
+         list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines,
          CASE WHEN len(w) >= 3 THEN list_transform(range(1, len(w) - 1),
-           i -> w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]) ELSE [] END AS wins
+           lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]) ELSE [] END AS wins
   FROM t
 ), wins AS (
   SELECT r, unnest(wins) AS win, unnest(range(1, len(wins) + 1)) AS i FROM counts
