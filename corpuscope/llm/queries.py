@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from corpuscope.llm import near_duplicates, packing, quality_rules
+from corpuscope.llm import near_duplicates, packing, quality_rules, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
@@ -33,8 +33,20 @@ def op7_retrieval_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"), with_ids=False)
 
 
+def _crc(divisor: int):
+    return F.crc32(F.col("doc_id").cast("string").cast("binary")) % divisor
+
+
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents", "doc_id", "text")
+    labels = _table(spark, sf_dir, "labels", "doc_id", "toxic")
+    scored = toxicity.toxicity(docs, labels, _crc(5) != 0)
+    return scored.select("doc_id", (_crc(5) == 0).alias("held_out"), "score", "predicted")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
     "op7_retrieval_packing": op7_retrieval_packing,
     "op8_minhash_near_duplicates": op8_minhash_near_duplicates,
+    "op10_toxicity": op10_toxicity,
 }
