@@ -26,7 +26,11 @@ WINDOW, STRIDE = 32, 16
 SLOTS, WIDTH, HIDDEN = 1 << 14, 8, 8
 #: Training documents per class at most (in expectation; the draw is by hash), and their longest text.
 PER_CLASS, MAX_TRAIN_CHARS = 1200, 20_000
-EPOCHS, RATE, BATCH = 6, 0.02, 64
+EPOCHS, RATE, BATCH = 8, 0.01, 64
+#: Windows by which a text that isn't toxic teaches in each round.
+HARD_WINDOWS = 3
+#: Words and n-grams of fewer training texts have no embedding, so that none is learnt by heart.
+MIN_TEXTS = 6
 _SEED = 7
 
 
@@ -179,10 +183,10 @@ def gradients(p: Params, x: np.ndarray, rows: np.ndarray, mask: np.ndarray, d_lo
 
 
 class Adam:
-    """Adam; of the embedding tables only the rows in use move."""
+    """Adam; of the embedding tables only the known rows in use move."""
 
-    def __init__(self, p: Params):
-        self.p, self.t = p, 0
+    def __init__(self, p: Params, known: dict[str, np.ndarray]):
+        self.p, self.known, self.t = p, known, 0
         self.m = {k: np.zeros_like(v) for k, v in p.items()}
         self.v = {k: np.zeros_like(v) for k, v in p.items()}
 
@@ -191,6 +195,8 @@ class Adam:
         rate = RATE * np.sqrt(1 - 0.999**self.t) / (1 - 0.9**self.t)
         for k, d in g.items():
             at = rows.get(k, slice(None))
+            if k in rows:
+                at, d = at[self.known[k][at]], d[self.known[k][at]]
             self.m[k][at] = m = 0.9 * self.m[k][at] + 0.1 * d
             self.v[k][at] = v = 0.999 * self.v[k][at] + 0.001 * d * d
             self.p[k][at] -= (rate * m / (np.sqrt(v) + 1e-8)).astype(np.float32)
@@ -203,22 +209,25 @@ def _sums(rows: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return distinct, out
 
 
-def log_odds(rows: list[np.ndarray], toxic: np.ndarray) -> np.ndarray:
-    """Smoothed log odds of the classes for each table row, by the documents it occurs in."""
+def log_odds(rows: list[np.ndarray], toxic: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Smoothed log odds of the classes for each table row, by the texts it occurs in, and whether
+    these are enough; if not, 0."""
     seen = np.zeros((2, SLOTS))
     for r, y in zip(rows, toxic):
         seen[int(y), np.unique(r)] += 1
-    rates = (seen + 0.5) / (np.array([[np.sum(toxic == 0)], [np.sum(toxic == 1)]]) + 1)
-    return np.log(rates[1] / rates[0]).astype(np.float32)
+    rates = (seen + 1) / (np.array([[np.sum(toxic == 0)], [np.sum(toxic == 1)]]) + 2)
+    known = seen.sum(axis=0) >= MIN_TEXTS
+    return (np.log(rates[1] / rates[0]) * known).astype(np.float32), known
 
 
-def fit(texts: list[str], labels: list[int]) -> Params | None:
+def fit(texts: list[str], labels: list[int], clean_weight: float = 1.0) -> Params | None:
     """Weights from labelled texts; None unless both classes are there.
 
     A label belongs to a text, not to a window: in every round each toxic text teaches by the window
-    that looks worst so far, each other text by its worst one and one drawn at random. What looks
+    that looks worst so far, each other text by its worst ones; some are drawn at random from these texts. What looks
     worst at first goes by the log odds of words and n-grams, which also seed the embeddings. A
-    fifth of the texts is left out of training to place the threshold."""
+    fifth of the texts is left out of training to place the threshold, where an error on a text that
+    isn't toxic weighs ``clean_weight``."""
     y = np.array(labels)
     if len(set(labels)) < 2:
         return None
@@ -232,20 +241,21 @@ def fit(texts: list[str], labels: list[int]) -> Params | None:
     grams = np.split(coded.grams, coded.gram_bounds[1:-1]) if len(coded.row) else []
     own = [np.unique(coded.word[s:e]) for s, e in zip(coded.bounds[:-1], coded.bounds[1:])]
     use = np.flatnonzero(~held)
-    by_word = log_odds([coded.row[own[i]] for i in use], y[use])
-    by_gram = log_odds([np.concatenate([grams[w] for w in own[i]] or [np.zeros(0, np.int64)]) for i in use], y[use])
-    p["word"][:, 0] = 0.3 * by_word
-    p["gram"][:, 0] = 0.3 * by_gram
+    by_word, known_words = log_odds([coded.row[own[i]] for i in use], y[use])
+    by_gram, known_grams = log_odds([np.concatenate([grams[w] for w in own[i]] or [np.zeros(0, np.int64)]) for i in use], y[use])
+    p["word"][:, 0], p["gram"][:, 0] = 0.3 * by_word, 0.3 * by_gram
+    p["word"][~known_words], p["gram"][~known_grams] = 0, 0
     hint = by_word[coded.row] + _mean_rows(by_gram[:, None], coded.grams, coded.gram_bounds)[:, 0]
     rows, mask = places(coded, first, owner)
     worst = np.append(hint, -9.0)[rows].max(axis=0)
-    opt = Adam(p)
+    opt = Adam(p, {"word": known_words, "gram": known_grams})
     train_windows = ~held[owner]
     for epoch in range(EPOCHS):
         if epoch > 1:
             worst = score_windows(p, coded, first, owner)
         order = np.lexsort((-worst, owner))
-        top = order[np.unique(owner[order], return_index=True)[1]]
+        place = ragged(np.zeros(len(y), np.int64), np.bincount(owner, minlength=len(y)))
+        top = order[place < np.where(y[owner[order]] == 1, 1, HARD_WINDOWS)]
         top = top[train_windows[top]]
         spare = np.flatnonzero(train_windows & (y[owner] == 0))
         spare = rng.choice(spare, size=min(len(spare), len(top)), replace=False) if len(spare) else spare
@@ -254,7 +264,7 @@ def fit(texts: list[str], labels: list[int]) -> Params | None:
             _step(p, opt, coded, rows[:, chosen[i : i + BATCH]], mask[:, chosen[i : i + BATCH]], y[owner[chosen[i : i + BATCH]]])
     scores = np.full(len(y), -20.0)
     np.maximum.at(scores, owner, score_windows(p, coded, first, owner))
-    p["shift"] = np.array([_threshold(scores[held], y[held])], np.float32)
+    p["shift"] = np.array([_threshold(scores[held], y[held], clean_weight)], np.float32)
     return p
 
 
@@ -276,16 +286,17 @@ def _step(p: Params, opt: Adam, coded: Coded, rows: np.ndarray, mask: np.ndarray
     opt.step(g, at)
 
 
-def _threshold(logits: np.ndarray, y: np.ndarray) -> float:
-    """The middle of the widest gap among the cuts with the fewest errors, each class weighing the same."""
+def _threshold(logits: np.ndarray, y: np.ndarray, clean_weight: float) -> float:
+    """The middle of the widest gap among the cuts with the least weight of errors."""
     if len(set(y.tolist())) < 2:
         return 0.0
     order = np.argsort(logits)
-    s, t = logits[order], y[order]
-    wrong = np.append(0, np.cumsum(t == 1)) / max(t.sum(), 1) + (np.sum(t == 0) - np.append(0, np.cumsum(t == 0))) / max(np.sum(t == 0), 1)
+    s, toxic = logits[order], y[order] == 1
+    missed = np.append(0, np.cumsum(toxic))
+    refused = clean_weight * (np.sum(~toxic) - np.append(0, np.cumsum(~toxic)))
     edges = np.concatenate([[s[0] - 1], (s[1:] + s[:-1]) / 2, [s[-1] + 1]])
     gaps = np.concatenate([[0], s[1:] - s[:-1], [0]])
-    best = np.flatnonzero(wrong <= wrong.min() + 1e-9)
+    best = np.flatnonzero(missed + refused <= (missed + refused).min() + 1e-9)
     return float(edges[best[np.argmax(gaps[best])]])
 
 
@@ -307,8 +318,11 @@ def score_texts(p: Params | None, texts: pa.Array) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(out, -60, 60))) * (out > -np.inf)
 
 
-def training_sample(docs: DataFrame, labels: DataFrame, trainable: Column, per_class: int = PER_CLASS) -> tuple[list[str], list[int]]:
-    """Texts and labels of some ``per_class`` documents of either class, drawn by a hash of the id.
+def training_sample(
+    docs: DataFrame, labels: DataFrame, trainable: Column, per_class: int = PER_CLASS
+) -> tuple[list[str], list[int], float]:
+    """Texts and labels of some ``per_class`` documents of either class, drawn by a hash of the id,
+    and how many times as many clean documents stand for one that is drawn as toxic ones do.
 
     ``trainable`` says, in terms of ``doc_id``, which labels may be used. A document with several
     labels has the largest."""
@@ -322,13 +336,14 @@ def training_sample(docs: DataFrame, labels: DataFrame, trainable: Column, per_c
     # Bounded by the draw, so its rows may come to the driver and be broadcast.
     drawn = known.where(draw < limit).select("doc_id", "toxic").toPandas()
     if not len(drawn):
-        return [], []
+        return [], [], 1.0
     small = F.broadcast(docs.sparkSession.createDataFrame(drawn, "doc_id bigint, toxic int"))
     found = docs.select("doc_id", "text").join(small, "doc_id").where(F.length("text") <= MAX_TRAIN_CHARS)
     rows: pd.DataFrame = found.toPandas().sort_values(["doc_id", "text"]).reset_index(drop=True)
     order = np.argsort(mix(np.arange(len(rows), dtype=np.uint64) + np.uint64(1)), kind="stable")
     rows = rows.iloc[order]
-    return rows["text"].tolist(), rows["toxic"].astype(int).tolist()
+    weight = max(counts.get(0, 0) / per_class, 1.0) / max(counts.get(1, 0) / per_class, 1.0)
+    return rows["text"].tolist(), rows["toxic"].astype(int).tolist(), weight
 
 
 def score(docs: DataFrame, params: Params | None) -> DataFrame:
