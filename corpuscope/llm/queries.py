@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from corpuscope.llm import near_duplicates, packing, quality_rules, toxicity
+from corpuscope.llm import near_duplicates, packing, pii, quality_rules, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
@@ -28,6 +28,16 @@ def op8_minhash_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates.near_duplicates(_table(spark, sf_dir, "documents", "doc_id", "text"))
 
 
+def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.find(_table(spark, sf_dir, "documents", "doc_id", "text"))
+    return found.select(
+        "doc_id",
+        *[pii.count_of(k, F.col("base_spans")).alias(f"n_{k}") for k in pii.KINDS],
+        F.sha2(pii.spelled(F.col("base_spans")).cast("binary"), 256).alias("base_sha256"),
+        pii.spelled(F.col("spans")).alias("spans"),
+    )
+
+
 def op7_retrieval_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents", "doc_id", "text")
     return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"), with_ids=False)
@@ -46,6 +56,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
+    "op2_pii": op2_pii,
     "op7_retrieval_packing": op7_retrieval_packing,
     "op8_minhash_near_duplicates": op8_minhash_near_duplicates,
     "op10_toxicity": op10_toxicity,
