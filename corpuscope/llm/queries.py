@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from corpuscope.llm import near_duplicates, packing, pii, quality_rules, toxicity
+from corpuscope.llm import byte_bpe, language_id, lm_scoring, near_duplicates, packing, pii, quality_rules, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
@@ -38,6 +38,26 @@ def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents", "doc_id", "text")
+    good = _table(spark, sf_dir, "labels", "doc_id", "quality").where("quality = 1").select("doc_id").distinct()
+    docs = docs.join(good.withColumn("good", F.lit(True)), "doc_id", "left")
+    return lm_scoring.cross_entropy_difference(docs, F.col("good")).drop("good")
+
+
+def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ranks = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    docs = _table(spark, sf_dir, "documents", "doc_id", "text")
+    coded = byte_bpe.decode(byte_bpe.encode(docs, ranks, offsets=False), ranks, text=False)
+    listed = F.array_join(F.col("ids").cast("array<string>"), ",")
+    return coded.select(
+        "doc_id",
+        F.size("ids").cast("bigint").alias("n_tokens"),
+        F.sha2(listed.cast("binary"), 256).alias("ids_sha256"),
+        F.sha2("bytes", 256).alias("decoded_sha256"),
+    )
+
+
 def op7_retrieval_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents", "doc_id", "text")
     return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"), with_ids=False)
@@ -47,6 +67,13 @@ def _crc(divisor: int):
     return F.crc32(F.col("doc_id").cast("string").cast("binary")) % divisor
 
 
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents", "doc_id", "text", "lang")
+    model = language_id.fit(docs, _crc(4) != 2)
+    found = language_id.identify(docs.select("doc_id", "text"), model)
+    return found.select("doc_id", (_crc(4) == 2).alias("held_out"), "lang_pred", "score")
+
+
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents", "doc_id", "text")
     labels = _table(spark, sf_dir, "labels", "doc_id", "toxic")
@@ -57,7 +84,10 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
     "op2_pii": op2_pii,
+    "op4_lm_scoring": op4_lm_scoring,
+    "op6_byte_bpe": op6_byte_bpe,
     "op7_retrieval_packing": op7_retrieval_packing,
     "op8_minhash_near_duplicates": op8_minhash_near_duplicates,
+    "op9_language_id": op9_language_id,
     "op10_toxicity": op10_toxicity,
 }
