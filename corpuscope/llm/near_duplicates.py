@@ -10,9 +10,11 @@ of their union, and the share of that sketch which lies in both sets estimates t
    rarest values of either; the more frequent values of a node, where passages common to many
    documents end up, are not listed. Lists are also split by set size, since similar sets are of
    similar size.
-3. A list names pairs without naming all of them: every member is first paired with one hub per
-   list, and what turns out to be linked needs no further pairs among itself. Only members that
-   stay outside the component of the hub are paired with the rest of the list.
+3. A list names pairs without naming all of them: every member is first paired with a few hubs of
+   the list, those most typical of it, and what turns out to be linked needs no further pairs among
+   itself. Documents that stay outside in lists of the others, as those do that share no more than
+   a long passage, are listed anew by wider sketches, which few of them survive; those that do are
+   paired with all others of their list.
 4. Pairs pass the union-sketch estimate and then the exact comparison of the full sets.
 5. Components of the links.
 """
@@ -32,16 +34,17 @@ from corpuscope.llm.graph import components
 from corpuscope.llm.textarrays import chunks, lists, mix, split_words, text_buffer
 from corpuscope.session import materialize
 
-#: Retained values of a set, and the share of them that two linked sets have in common at least.
-#: With 96 values and a true similarity of 0.75 fewer than 42 shared ones have a chance under 1e-9.
-K = 96
-OVERLAP = 0.4375
+#: Retained values of a set, and the share of them that two linked sets have in common at least: with
+#: a true similarity of 0.75 fewer shared ones have a chance under 1e-9. The second pair serves the
+#: documents that the first leaves undecided.
+K, OVERLAP = 96, 0.4375
+WIDE_K, WIDE_OVERLAP = 512, 0.6
 #: Pairs with a lower estimate are dropped unseen; the chance to drop a link is under 1e-8.
 MIN_ESTIMATE = 0.45
 #: A little over 4/3: sets within a similarity of 0.75 lie in the same or the next size class.
 SIZE_STEP = 1.34
-#: Rounds with one hub per list before the remaining pairs are compared one by one.
-HUB_ROUNDS = 3
+#: Hubs per list in each round before the remaining pairs are compared one by one.
+HUBS = (4, 16)
 #: At most so many bits tell which documents' sets are needed (16 MB).
 MAX_FILTER_BITS = 1 << 27
 
@@ -144,24 +147,7 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.75, width: int = 5, k:
     sketches = rows.join(nodes.select(F.col("node").alias("row")), "row", "left_semi")
     sketches = sketches.select(F.col("row").alias("node"), "doc_id", "n", "values")
 
-    inverted = sketches.select("node", "n", F.explode("values").alias("v"))
-    shared = inverted.groupBy("v").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
-    listed = inverted.join(shared, "v")
-    by_node = Window.partitionBy("node")
-    needed = F.greatest(F.lit(1), F.ceil(F.lit(OVERLAP) * F.least("n", F.lit(k))))
-    listed = (
-        listed.withColumn("seen", F.count(F.lit(1)).over(by_node))
-        .withColumn("rank", F.row_number().over(by_node.orderBy("df", "v")))
-        .where(F.col("rank") <= F.col("seen") - needed + 1)
-    )
-    size_class = F.floor(F.log("n") / math.log(SIZE_STEP))
-    listed = listed.select("node", "n", "v", F.explode(F.array(size_class, size_class + 1)).alias("c"))
-    # A shuffle key of one column: the value and the size class in one hash.
-    members = materialize(listed.select(F.xxhash64("v", "c").alias("list"), "node", "n"), "lists")
-    heads = members.groupBy("list").agg(F.count(F.lit(1)).alias("size"), F.min("node").alias("hub"))
-    heads = heads.where("size > 1")
-    members = materialize(members.join(heads.select("list"), "list", "left_semi"), "lists")
-
+    members = _lists(sketches, k, OVERLAP, threshold)
     wanted = members.select("node").distinct()
     candidates = materialize(sketches.join(wanted, "node", "left_semi").select("node", "doc_id", "values"), "sketches")
     sets = _full_sets(source, candidates, nodes, width)
@@ -172,27 +158,24 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.75, width: int = 5, k:
         exact = exact.where(F.col("i") * 100 >= F.lit(round(threshold * 100)) * (F.col("s") - F.col("i")))
         return exact.select("a", "b")
 
-    size_fits = (F.col("n") >= F.lit(threshold) * F.col("hub_n")) & (F.col("hub_n") >= F.lit(threshold) * F.col("n"))
     links, roots, tried = None, None, None
-    for turn in range(HUB_ROUNDS + 1):
-        if roots is None:
-            state = members.withColumn("root", F.col("node"))
-        else:
-            state = members.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-        first = state.groupBy("list").agg(F.min(F.struct("root", "node", "n")).alias("first"), F.max("root").alias("last"))
-        first = first.where("first.root <> last").select("list", F.col("first.root").alias("first_root"))
-        state = state.join(first, "list")
-        outside = state.where("root <> first_root")
-        if turn == HUB_ROUNDS:
-            hubs = outside
-        elif turn == 0:
-            hubs = state.where("root = first_root")
-        else:
-            draw = F.xxhash64("node", F.lit(turn))
-            picked = outside.groupBy("list").agg(F.min(F.struct(draw, "node", "n", "root")).alias("p"))
-            hubs = picked.select("list", "p.*")
-        hubs = hubs.select("list", F.col("node").alias("hub"), F.col("n").alias("hub_n"), F.col("root").alias("hub_root"))
-        pairs = state.join(hubs, "list").where((F.col("root") != F.col("hub_root")) & size_fits)
+    for hubs_per_list in (*HUBS, None):
+        if hubs_per_list is None:
+            undecided = _undecided(members, roots).select("node").distinct()
+            wide = sets.join(undecided, "node", "left_semi").withColumn("n", F.size("values").cast("bigint"))
+            wide = wide.withColumn("values", F.slice("values", 1, WIDE_K))
+            members = _lists(wide, WIDE_K, WIDE_OVERLAP, threshold)
+        state = _undecided(members, roots)
+        hubs = state if roots is None else state.where("root <> top_root")
+        if hubs_per_list:
+            share = F.pmod(F.xxhash64("node"), F.lit(hubs_per_list))
+            hubs = hubs.groupBy("list", share.alias("share")).agg(
+                F.max(F.struct("typical", "node", "n", "root", "place", "leads")).alias("p")
+            )
+            hubs = hubs.select("list", "p.*")
+        hubs = hubs.select("list", *[F.col(c).alias(f"hub_{c}") for c in ("node", "n", "root", "place", "leads")])
+        pairs = state.join(hubs, "list").where(_may_link(threshold, WIDE_K if hubs_per_list is None else k))
+        pairs = pairs.withColumnRenamed("hub_node", "hub")
         pairs = pairs.select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct()
         if tried is not None:
             pairs = pairs.join(tried, ["a", "b"], "left_anti")
@@ -204,6 +187,68 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.75, width: int = 5, k:
     return _verdicts(rows, nodes, roots)
 
 
+def _lists(sketches: DataFrame, k: int, overlap: float, threshold: float) -> DataFrame:
+    """``(list, node, n, typical, place, leads)``: which nodes meet in which inverted list.
+
+    Two linked nodes share a number of retained values that is certain where both sketches hold the
+    whole sets, and all but certain otherwise; so the first value they share, by rarity, is among
+    the rarest of either: all values but that number, and one. ``place`` is the value's place by
+    rarity in its set. Of two sets the smaller shares more of its values, so the first they share
+    comes early enough in it to have ``leads``."""
+    inverted = sketches.select("node", "n", F.explode("values").alias("v"))
+    shared = inverted.groupBy("v").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
+    by_node = Window.partitionBy("node")
+    certain = F.ceil(F.lit(round(threshold * 100)) * F.col("n") / 100)
+    size = F.least("n", F.lit(k))
+    likely = F.greatest(F.lit(1), F.ceil(F.lit(overlap) * size))
+    whole = F.col("n") <= F.lit(threshold * k)
+    needed = F.when(whole, certain).otherwise(likely)
+    as_smaller = F.when(whole, F.ceil(F.lit(2 * threshold / (1 + threshold) - 1e-9) * F.col("n"))).otherwise(likely)
+    listed = (
+        inverted.join(shared, "v")
+        .withColumn("seen", F.count(F.lit(1)).over(by_node))
+        .withColumn("rank", F.row_number().over(by_node.orderBy("df", "v")))
+        # The more of its values a node has in common with many others, the more typical it is.
+        .withColumn("typical", F.sum("df").over(by_node) / size)
+        .withColumn("place", size - F.col("seen") + F.col("rank"))
+        .where(F.col("place") <= size - needed + 1)
+        .withColumn("leads", F.col("place") <= size - as_smaller + 1)
+    )
+    size_class = F.floor(F.log("n") / math.log(SIZE_STEP))
+    row = ["node", "n", "typical", "place", "leads"]
+    listed = listed.select(*row, "v", F.explode(F.array(size_class, size_class + 1)).alias("c"))
+    # A shuffle key of one column: the value and the size class in one hash.
+    members = materialize(listed.select(F.xxhash64("v", "c").alias("list"), *row), "lists")
+    several = members.groupBy("list").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
+    return materialize(members.join(several, "list", "left_semi"), "lists")
+
+
+def _may_link(threshold: float, k: int) -> Column:
+    """Whether a member and a hub of a list may be linked and meet here first, by their components,
+    their sizes and the value's places in them."""
+    n, m = F.col("n"), F.col("hub_n")
+    smaller = (n < m) | ((n == m) & (F.col("node") < F.col("hub_node")))
+    # They share at most what comes before the value in one of them, the value, and what comes after.
+    most = F.least("place", "hub_place") + F.least(n - F.col("place"), m - F.col("hub_place"))
+    room = (n > k) | (m > k) | (most * (1 + threshold) >= (n + m) * threshold - 1e-6)
+    sizes = (n >= threshold * m) & (m >= threshold * n)
+    return (F.col("root") != F.col("hub_root")) & sizes & F.when(smaller, F.col("leads")).otherwise(F.col("hub_leads")) & room
+
+
+def _undecided(members: DataFrame, roots: DataFrame | None) -> DataFrame:
+    """Members of lists that hold several components, with ``root`` and the root of the list's most
+    typical member: what is in the same component needs no pairs among itself."""
+    if roots is None:
+        state = members.withColumn("root", F.col("node"))
+    else:
+        state = members.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    several = state.groupBy("list").agg(
+        F.max(F.struct("typical", "root")).alias("top"), F.min("root").alias("low"), F.max("root").alias("high")
+    )
+    several = several.where("low <> high").select("list", F.col("top.root").alias("top_root"))
+    return state.join(several, "list")
+
+
 def _full_sets(source: DataFrame, candidates: DataFrame, nodes: DataFrame, width: int) -> DataFrame:
     """Full sets of the candidate nodes, from one more pass over the texts that reads the words of
     those documents only that a bitmap of bounded size names."""
