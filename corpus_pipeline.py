@@ -1,10 +1,71 @@
-"""From raw documents to packed training sequences."""
+"""From raw documents to packed training sequences.
+
+Every stage works on all that the one before kept, and each but the last returns the columns of
+``documents``.
+"""
 
 from __future__ import annotations
 
-STAGES: list = []
+from collections.abc import Callable
+
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from corpuscope.llm import near_duplicates, packing, pii, quality_rules
+from corpuscope.llm import toxicity as toxic
+from corpuscope.session import materialize
+
+
+def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents with a score of 0.5 or more. The model learns from four fifths of the labels."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "toxic")
+    fold = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5
+    params = toxic.fit(*toxic.training_sample(docs, labels, fold != 0))
+    return toxic.score(docs.drop("score"), params).where("score < 0.5").select([c for c in docs.columns if c != "score"])
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents that break a base rule or come from a refused host."""
+    return quality_rules.quality_rules(docs).where("kept").select(docs.columns)
+
+
+def duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps the document with the smallest id of each group. An id stays if one of its rows does, and
+    rows without an id stay."""
+    found = near_duplicates.near_duplicates(docs)
+    gone = found.groupBy("doc_id").agg(F.bool_or("kept").alias("kept")).where("NOT kept").select("doc_id")
+    # The table of ids is broadcast where its file is small, and shuffled with the documents otherwise.
+    return docs.join(materialize(gone, "duplicates"), "doc_id", "left_anti").select(docs.columns)
+
+
+def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Replaces personal data by its kind; ``n_chars`` is that of the new text."""
+    out = pii.redact(docs)
+    if "n_chars" in docs.columns:
+        out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    return out.select(docs.columns)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Packs what is left into sequences."""
+    return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"))
+
+
+STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("toxicity", toxicity),
+    ("quality rules", quality),
+    ("near duplicates", duplicates),
+    ("personal data", personal_data),
+    ("packing", pack),
+]
+#: A network's scores and a retrieval order are beyond SQL.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    return None
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The packed pieces of ``documents``."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES[:-1]:
+        docs = materialize(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+    return STAGES[-1][1](spark, docs, sf_dir)

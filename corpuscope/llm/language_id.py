@@ -124,7 +124,7 @@ def best_temperature(logits: np.ndarray, y: np.ndarray) -> float:
     if not len(y):
         return 1.0
     loss = lambda t: -np.log(_softmax(logits / np.exp(t))[np.arange(len(y)), y] + 1e-12).mean()
-    low, high, ratio = -4.0, 4.0, (5**0.5 - 1) / 2
+    low, high, ratio = -2.0, 3.0, (5**0.5 - 1) / 2
     for _ in range(40):
         a, b = high - ratio * (high - low), low + ratio * (high - low)
         low, high = (low, b) if loss(a) < loss(b) else (a, high)
