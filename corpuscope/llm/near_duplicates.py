@@ -44,7 +44,7 @@ MIN_ESTIMATE = 0.45
 #: A little over 4/3: sets within a similarity of 0.75 lie in the same or the next size class.
 SIZE_STEP = 1.34
 #: Hubs per list in each round before the remaining pairs are compared one by one.
-HUBS = (4, 16)
+HUBS = (4, 4)
 #: At most so many bits tell which documents' sets are needed (16 MB).
 MAX_FILTER_BITS = 1 << 27
 
@@ -228,8 +228,8 @@ def _may_link(threshold: float, k: int) -> Column:
     their sizes and the value's places in them."""
     n, m = F.col("n"), F.col("hub_n")
     smaller = (n < m) | ((n == m) & (F.col("node") < F.col("hub_node")))
-    # They share at most what comes before the value in one of them, the value, and what comes after.
-    most = F.least("place", "hub_place") + F.least(n - F.col("place"), m - F.col("hub_place"))
+    # If this is the first value that they share, the others come after it in both.
+    most = 1 + F.least(n - F.col("place"), m - F.col("hub_place"))
     room = (n > k) | (m > k) | (most * (1 + threshold) >= (n + m) * threshold - 1e-6)
     sizes = (n >= threshold * m) & (m >= threshold * n)
     return (F.col("root") != F.col("hub_root")) & sizes & F.when(smaller, F.col("leads")).otherwise(F.col("hub_leads")) & room
