@@ -24,7 +24,8 @@ PARAGRAPH = r"\n+|(?<=[.!?])\x20+"
 PRINT_PART = 4
 #: Digests of both versions per slice on average, and the cells per part in the first try and the last.
 SLICE, FIRST_PART, LAST_PART = 12, 8, 1024
-_ROUNDS = 24
+#: Rounds of peeling before a table counts as failed; what can be peeled takes fewer.
+_ROUNDS = 10
 #: Documents per range of ids when neighbours are looked up, and ranges at most.
 RANGE, MAX_RANGES = 2000, 20_000
 
@@ -49,8 +50,8 @@ def _items(keys: Column, part: Column) -> Column:
 
     def item(k: Column) -> Column:
         h = F.xxhash64(k, part)
-        cells = [part * i + F.pmod(F.shiftrightunsigned(h, 21 * i), part) for i in range(3)]
-        return F.struct(k.alias("key"), _check(k).alias("chk"), *[c.cast("int").alias(f"c{i}") for i, c in enumerate(cells)])
+        cells = [F.pmod(F.shiftrightunsigned(h, 21 * i), part).cast("int").alias(f"c{i}") for i in range(3)]
+        return F.struct(k.alias("key"), _check(k).alias("chk"), *cells)
 
     return F.transform(keys, item)
 
@@ -59,19 +60,21 @@ def _cell(cnt: Column, key: Column, chk: Column) -> Column:
     return F.struct(cnt.alias("cnt"), key.alias("key"), chk.alias("chk"))
 
 
-def _in_cell(x: Column, j: Column) -> Column:
-    return (x["c0"] == j) | (x["c1"] == j) | (x["c2"] == j)
+def _in_cell(items: Column, i: int, j: Column) -> Column:
+    """Items whose cell in part ``i`` is the ``j``-th of it."""
+    return F.filter(items, lambda x: x[f"c{i}"] == j)
 
 
 def table(items: Column, part: Column) -> Column:
     """The cells of a table with ``part`` cells in each of its three parts."""
     zero = F.lit(0).cast("bigint")
 
-    def cell(some: Column, j: Column) -> Column:
+    def cells(some: Column, i: int) -> Column:
         add = lambda c, x: _cell(c["cnt"] + 1, c["key"].bitwiseXOR(x["key"]), c["chk"].bitwiseXOR(x["chk"]))
-        return F.aggregate(F.filter(some, lambda x: _in_cell(x, j)), _cell(zero, zero, zero), add)
+        one = lambda j: F.aggregate(_in_cell(some, i, j), _cell(zero, zero, zero), add)
+        return F.transform(F.sequence(F.lit(0), part - 1), one)
 
-    return _let(items, lambda some: F.transform(F.sequence(F.lit(0), part * 3 - 1), lambda j: cell(some, j)))
+    return _let(items, lambda some: F.concat(*[cells(some, i) for i in range(3)]))
 
 
 def subtract(a: Column, b: Column) -> Column:
@@ -88,16 +91,18 @@ def peel(cells: Column, part: Column) -> Column:
     none = F.array().cast(_LONGS)
 
     def take(s: Column) -> Column:
-        alone = F.filter(s["cells"], lambda c: (F.abs(c["cnt"]) == 1) & (c["chk"] == _check(c["key"])))
-        signed = F.array_distinct(F.transform(alone, lambda c: F.struct(c["key"].alias("key"), c["cnt"].alias("cnt"))))
-        return F.transform(
-            signed,
-            lambda x: F.struct(x["cnt"].alias("cnt"), F.get(_items(F.array(x["key"]), part), F.lit(0)).alias("i")),
-        )
+        def alone(sign: int) -> Column:
+            single = F.filter(s["cells"], lambda c: (c["cnt"] == sign) & (c["chk"] == _check(c["key"])))
+            keys = F.array_distinct(F.transform(single, lambda c: c["key"]))
+            return F.transform(_items(keys, part), lambda i: F.struct(F.lit(sign).alias("cnt"), i.alias("i")))
+
+        return F.concat(alone(1), alone(-1))
 
     def cleared(cells: Column, taken: Column) -> Column:
         out = lambda c, x: _cell(c["cnt"] - x["cnt"], c["key"].bitwiseXOR(x["i"]["key"]), c["chk"].bitwiseXOR(x["i"]["chk"]))
-        return F.transform(cells, lambda c, j: F.aggregate(F.filter(taken, lambda x: _in_cell(x["i"], j)), c, out))
+        hit = lambda i, c, j: F.aggregate(F.filter(taken, lambda x: x["i"][f"c{i}"] == j), c, out)
+        third = lambda i: F.transform(F.slice(cells, part * i + 1, part), lambda c, j: hit(i, c, j))
+        return F.concat(third(0), third(1), third(2))
 
     def side(taken: Column, sign: int) -> Column:
         return F.transform(F.filter(taken, lambda x: x["cnt"] == sign), lambda x: x["i"]["key"])
