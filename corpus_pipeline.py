@@ -21,7 +21,7 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents with a score of 0.5 or more. The model learns from four fifths of the labels."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "toxic")
     fold = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5
-    params = toxic.fit(*toxic.training_sample(docs, labels, fold != 0))
+    params = toxic.train(docs, labels, fold != 0)
     return toxic.score(docs.drop("score"), params).where("score < 0.5").select([c for c in docs.columns if c != "score"])
 
 

@@ -3,12 +3,14 @@
 The network reads windows of words. A word's input is an embedding of the word next to the mean
 embedding of its character n-grams, both in hashed tables of fixed size; attention pools the states
 of both directions. A document's score is that of its worst window, over all overlapping windows of
-the whole text. Everything is numpy: training on a bounded sample of labelled documents, scoring in
-Arrow batches wherever the documents are.
+the whole text. Everything is numpy: training on a bounded sample of labelled documents in one
+task, scoring in Arrow batches wherever the documents are.
 """
 
 from __future__ import annotations
 
+import hashlib
+import pickle
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,7 +20,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpuscope.llm.bpe import ragged
-from corpuscope.llm.textarrays import FOLD, PUNCTUATION, Words, chunks, mix, split_words, text_buffer
+from corpuscope.llm.textarrays import BLOCK, FOLD, PUNCTUATION, Words, chunks, mix, split_words, text_buffer
 
 #: Words in a window and between the beginnings of two windows.
 WINDOW, STRIDE = 32, 16
@@ -32,6 +34,8 @@ HARD_WINDOWS = 3
 #: Words and n-grams of fewer training texts have no embedding, so that none is learnt by heart.
 MIN_TEXTS = 6
 _SEED = 7
+#: Bytes of text that are scored at a time.
+_CHUNK = 1 << 18
 
 
 class Coded:
@@ -246,8 +250,9 @@ def fit(texts: list[str], labels: list[int], clean_weight: float = 1.0) -> Param
     p["word"][:, 0], p["gram"][:, 0] = 0.3 * by_word, 0.3 * by_gram
     p["word"][~known_words], p["gram"][~known_grams] = 0, 0
     hint = by_word[coded.row] + _mean_rows(by_gram[:, None], coded.grams, coded.gram_bounds)[:, 0]
-    rows, mask = places(coded, first, owner)
-    worst = np.append(hint, -9.0)[rows].max(axis=0)
+    worst = np.concatenate(
+        [np.append(hint, -9.0)[places(coded, first[i : i + BLOCK], owner[i : i + BLOCK])[0]].max(axis=0) for i in range(0, len(first), BLOCK)]
+    )
     opt = Adam(p, {"word": known_words, "gram": known_grams})
     train_windows = ~held[owner]
     for epoch in range(EPOCHS):
@@ -261,7 +266,8 @@ def fit(texts: list[str], labels: list[int], clean_weight: float = 1.0) -> Param
         spare = rng.choice(spare, size=min(len(spare), len(top)), replace=False) if len(spare) else spare
         chosen = rng.permutation(np.concatenate([top, spare]))
         for i in range(0, len(chosen), BATCH):
-            _step(p, opt, coded, rows[:, chosen[i : i + BATCH]], mask[:, chosen[i : i + BATCH]], y[owner[chosen[i : i + BATCH]]])
+            some = chosen[i : i + BATCH]
+            _step(p, opt, coded, *places(coded, first[some], owner[some]), y[owner[some]])
     scores = np.full(len(y), -20.0)
     np.maximum.at(scores, owner, score_windows(p, coded, first, owner))
     p["shift"] = np.array([_threshold(scores[held], y[held], clean_weight)], np.float32)
@@ -318,11 +324,9 @@ def score_texts(p: Params | None, texts: pa.Array) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(out, -60, 60))) * (out > -np.inf)
 
 
-def training_sample(
-    docs: DataFrame, labels: DataFrame, trainable: Column, per_class: int = PER_CLASS
-) -> tuple[list[str], list[int], float]:
-    """Texts and labels of some ``per_class`` documents of either class, drawn by a hash of the id,
-    and how many times as many clean documents stand for one that is drawn as toxic ones do.
+def training_sample(docs: DataFrame, labels: DataFrame, trainable: Column, per_class: int = PER_CLASS) -> tuple[DataFrame, float]:
+    """``(text, toxic)`` of some ``per_class`` documents of either class, drawn by a hash of the id, and
+    how many times as many clean documents stand for one that is drawn as toxic ones do.
 
     ``trainable`` says, in terms of ``doc_id``, which labels may be used. A document with several
     labels has the largest."""
@@ -333,17 +337,31 @@ def training_sample(
     limit = F.lit(0)
     for kind, n in counts.items():
         limit = F.when(F.col("toxic") == kind, round(1_000_000 * min(1.0, per_class / n))).otherwise(limit)
-    # Bounded by the draw, so its rows may come to the driver and be broadcast.
-    drawn = known.where(draw < limit).select("doc_id", "toxic").toPandas()
-    if not len(drawn):
-        return [], [], 1.0
+    # Bounded by the draw, so its ids may come to the driver and be broadcast.
+    drawn = [tuple(r) for r in known.where(draw < limit).select("doc_id", "toxic").collect()]
     small = F.broadcast(docs.sparkSession.createDataFrame(drawn, "doc_id bigint, toxic int"))
-    found = docs.select("doc_id", "text").join(small, "doc_id").where(F.length("text") <= MAX_TRAIN_CHARS)
-    rows: pd.DataFrame = found.toPandas().sort_values(["doc_id", "text"]).reset_index(drop=True)
-    order = np.argsort(mix(np.arange(len(rows), dtype=np.uint64) + np.uint64(1)), kind="stable")
-    rows = rows.iloc[order]
+    found = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(small, "doc_id")
     weight = max(counts.get(0, 0) / per_class, 1.0) / max(counts.get(1, 0) / per_class, 1.0)
-    return rows["text"].tolist(), rows["toxic"].astype(int).tolist(), weight
+    return found.where(F.length("text") <= MAX_TRAIN_CHARS).select("text", "toxic"), weight
+
+
+def train(docs: DataFrame, labels: DataFrame, trainable: Column) -> Params | None:
+    """``fit`` on the training sample, in one task, which is all that such a sample needs."""
+    sample, weight = training_sample(docs, labels, trainable)
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rows = pd.concat([pd.DataFrame({"text": [], "toxic": []}), *frames])
+        # In an order that depends on the texts alone, and mixes the classes.
+        texts = sorted(zip(map(_order, rows["text"]), rows["text"], rows["toxic"].astype(int)))
+        made = fit([t for _, t, _ in texts], [y for _, _, y in texts], weight)
+        yield pd.DataFrame({"params": [pickle.dumps(made)]})
+
+    rows = sample.repartition(1).mapInPandas(run, "params binary").collect()
+    return pickle.loads(bytes(rows[0].params)) if rows else None
+
+
+def _order(text: str) -> bytes:
+    return hashlib.blake2b(text.encode(), digest_size=8).digest()
 
 
 def score(docs: DataFrame, params: Params | None) -> DataFrame:
@@ -356,7 +374,7 @@ def score(docs: DataFrame, params: Params | None) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in chunks(batch, "text"):
+            for part in chunks(batch, "text", _CHUNK):
                 values = pa.array(score_texts(shared.value, part.column("text")), pa.float64())
                 yield pa.RecordBatch.from_arrays([*part.columns, values], [*part.schema.names, "score"])
 
@@ -367,6 +385,5 @@ def toxicity(docs: DataFrame, labels: DataFrame, trainable: Column) -> DataFrame
     """``docs`` with ``score`` and ``predicted`` (1 from a score of 0.5), by a model that learns from
     the rows of ``labels`` (``doc_id``, ``toxic``) that are ``trainable``. Repeated rows are scored
     each; an empty table gives no rows."""
-    params = fit(*training_sample(docs, labels, trainable))
-    scored = score(docs, params)
+    scored = score(docs, train(docs, labels, trainable))
     return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
