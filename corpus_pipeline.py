@@ -22,12 +22,14 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "toxic")
     fold = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5
     params = toxic.train(docs, labels, fold != 0)
-    return toxic.score(docs.drop("score"), params).where("score < 0.5").select([c for c in docs.columns if c != "score"])
+    return toxic.score(docs, params, "_toxicity").where("_toxicity < 0.5").drop("_toxicity")
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that break a base rule or come from a refused host."""
-    return quality_rules.quality_rules(docs).where("kept").select(docs.columns)
+    # The whole row travels in one column, so that none of its names can be taken for a rule's.
+    rows = docs.select(F.struct("*").alias("_row"), "text", "source")
+    return quality_rules.quality_rules(rows, carry_text=False).where("kept").select("_row.*")
 
 
 def duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -153,8 +153,10 @@ def cross_entropy_difference(docs: DataFrame, is_target: Column) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for words, part in _parts(batches):
             n = np.diff(words.bounds)
-            sums = np.append(np.zeros((2, 1)), np.cumsum(losses(shared.value, words), axis=1), axis=1)[:, words.bounds]
-            background, target = np.diff(sums, axis=1) / np.maximum(n, 1)
+            each = losses(shared.value, words)
+            # Text by text, so that equal texts have equal sums.
+            sums = np.array([each[:, s:e].sum(axis=1) for s, e in zip(words.bounds[:-1], words.bounds[1:])])
+            background, target = sums.T / np.maximum(n, 1)
             columns = [*part.columns[: len(kept)], *map(pa.array, (n, target, background, target - background))]
             yield pa.RecordBatch.from_arrays(columns, [*kept, *new])
 

@@ -319,6 +319,8 @@ def find(docs: DataFrame) -> DataFrame:
 
 
 def redact(docs: DataFrame) -> DataFrame:
-    """``docs`` with all spans in ``text`` replaced."""
-    columns = docs.columns
-    return find(docs).withColumn("text", redacted(F.col("text"), F.col("spans"))).select(columns)
+    """``docs`` with all spans in ``text`` replaced, and its other columns as they are."""
+    others = [F.col(c) for c in docs.columns if c != "text"]
+    found = find(docs.select("text", F.struct(*others).alias("_others") if others else F.lit(1).alias("_others")))
+    text = redacted(F.col("text"), F.col("spans")).alias("text")
+    return found.select(*[text if c == "text" else F.col("_others")[c].alias(c) for c in docs.columns])

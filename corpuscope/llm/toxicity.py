@@ -364,19 +364,19 @@ def _order(text: str) -> bytes:
     return hashlib.blake2b(text.encode(), digest_size=8).digest()
 
 
-def score(docs: DataFrame, params: Params | None) -> DataFrame:
-    """``docs`` with ``score``, from its ``text`` alone. A null, empty or wordless text, and any text
-    without a model, has 0; an own column ``score`` is replaced."""
+def score(docs: DataFrame, params: Params | None, name: str = "score") -> DataFrame:
+    """``docs`` with its score as ``name``, from its ``text`` alone. A null, empty or wordless text, and
+    any text without a model, has 0; an own column of that name is replaced."""
     spark: SparkSession = docs.sparkSession
     shared = spark.sparkContext.broadcast(params)
-    docs = docs.drop("score")
-    schema = docs.select("*", F.lit(0.0).alias("score")).schema
+    docs = docs.drop(name)
+    schema = docs.select("*", F.lit(0.0).alias(name)).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in chunks(batch, "text", _CHUNK):
                 values = pa.array(score_texts(shared.value, part.column("text")), pa.float64())
-                yield pa.RecordBatch.from_arrays([*part.columns, values], [*part.schema.names, "score"])
+                yield pa.RecordBatch.from_arrays([*part.columns, values], [*part.schema.names, name])
 
     return docs.mapInArrow(run, schema)
 

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 import public_tokenizers
+from tests.llm.conftest import PROSE
 from corpuscope.llm import byte_bpe, fingerprints, language_id, lm_scoring, near_duplicates, packing, pii, quality_rules, toxicity
 
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -45,7 +46,8 @@ def rows_of(df, *columns):
 def test_quality(hard):
     got = rows_of(OPERATORS["quality"](hard), "n_words", "word_chars", "n_repeat_words", "base_failed", "kept")
     assert got[1] == got[2] == got[3] == [(0, 0, 0, True, False)]
-    assert got[5] == [(54, 237, 54, True, False)] * 2 == got[None] * 2
+    chars = len("".join(PROSE.split())) * 3
+    assert got[5] == [(54, chars, 54, True, False)] * 2 == got[None] * 2
     assert got[7] == [(1, 200_000, 0, True, False)]
     assert got[8] == [(120_000, 540_000, 120_000, True, False)]
 
@@ -115,5 +117,12 @@ def test_stages(spark, tables, hard, nothing, name, stage):
     assert stage(spark, nothing, tables).count() == 0
     out = stage(spark, hard, tables)
     if stage is not corpus_pipeline.STAGES[-1][1]:
-        assert out.columns == hard.columns
+        assert out.dtypes == hard.dtypes
+        assert all(r[c] is None for r in out.collect() for c in ("score", "kept", "spans", "n_words"))
     assert out.count() >= 0
+
+
+def test_quality_stage_keeps_own_columns(spark, tables, hard):
+    fine = hard.where("doc_id = 4").withColumns({"text": F.lit(" ".join(f"w{i}" for i in range(60))), "kept": F.lit("mine")})
+    row = corpus_pipeline.quality(spark, fine, tables).first()
+    assert row.kept == "mine" and row.n_words is None and row.text.startswith("w0 w1")
