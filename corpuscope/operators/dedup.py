@@ -13,14 +13,15 @@ from corpuscope.functions import text as T
 from corpuscope.functions.profiles import ScriptProfile
 from corpuscope.functions.rows import bind
 
-# Bounds the broadcast in near_dup_members.
-HOT_CLUSTERS = 1000
-
 
 def exact_dedup(df: DataFrame, order_by: str, hash_col: str = "sha256") -> DataFrame:
-    """One row per hash: the one with the smallest ``order_by``, which should be unique."""
-    kept = F.min_by(F.struct(*df.columns), F.col(order_by)).alias("_row")
-    return df.groupBy(F.col(hash_col).alias("_hash")).agg(kept).select("_row.*")
+    """One row per hash: the one with the smallest ``order_by``, which should be unique.
+
+    What is grouped is hashes and keys; rows are only joined to the keys that survive, with Spark
+    splitting whatever hash has more copies than a task should take."""
+    first = df.groupBy(F.col(hash_col).alias("_hash")).agg(F.min(order_by).alias("_first"))
+    same = F.col(hash_col).eqNullSafe(F.col("_hash")) & F.col(order_by).eqNullSafe(F.col("_first"))
+    return df.join(first, same, "left_semi")
 
 
 def exact_dup_summary(df: DataFrame, hash_col: str = "sha256") -> DataFrame:
@@ -144,15 +145,9 @@ def near_dup_by_domain(counts: DataFrame, label_col: str = "predicted_domain") -
 def near_dup_members(docs: DataFrame, clusters: DataFrame) -> DataFrame:
     """Rows of ``docs`` whose shingle is shared.
 
-    The ``HOT_CLUSTERS`` largest clusters are broadcast. Their documents are members already and
-    go on under keys of their own, spread evenly; any other cluster is smaller than one
-    ``HOT_CLUSTERS``-th of the documents, so the join by shingle has no heavy key left."""
-    hot = clusters.orderBy(F.desc("cluster_size")).limit(HOT_CLUSTERS)
-    hot = hot.select("shingle", F.lit(True).alias("_hot"))
-    own = F.concat("shingle", F.lit("\x00"), F.xxhash64(*docs.columns).cast("string"))
-    keyed = docs.join(F.broadcast(hot), "shingle", "left").withColumn(
-        "_key", F.when(F.col("_hot"), own).otherwise(F.col("shingle"))
-    )
-    shared = clusters.select(F.col("shingle").alias("_key"), F.lit(True).alias("_shared"))
-    joined = keyed.join(shared, "_key", "left")
-    return joined.filter(F.col("_hot") | F.col("_shared")).select(*docs.columns)
+    Joined by the digests of the shingles, 32 bytes each. A cluster has one row on its side, so a
+    cluster of any size may be cut into as many tasks as Spark's handling of skew sees fit."""
+    digest = F.unhex(F.sha2("shingle", 256))
+    shared = clusters.select(digest.alias("_digest"))
+    keyed = docs.withColumn("_digest", digest)
+    return keyed.join(shared, "_digest", "left_semi").select(*docs.columns)

@@ -23,11 +23,6 @@ from corpuscope.operators.docstats import with_token_counts
 UNKNOWN = "unknown"
 MIN_CONFIDENCE = 0.35
 
-# Up to this many seeds the JVM-side expression is the faster one, beyond it one automaton pass is.
-NATIVE_SEED_LIMIT = 24
-# Lexicons travel inside the plan, so they have to stay configuration-sized.
-MAX_SEEDS = 100_000
-
 
 @dataclass(frozen=True)
 class Rule:
@@ -84,47 +79,23 @@ class DomainModel:
         stray = {r.domain for r in self.rules} | set(self.seeds)
         if stray - known:
             raise ValueError(f"seeds or rules for unlisted domains: {sorted(stray - known)}")
-        total = sum(len(v) for v in self.seeds.values())
-        if total > MAX_SEEDS:
-            raise ValueError(f"{total} seeds; a lexicon may hold at most {MAX_SEEDS}")
         if any(not w for v in self.seeds.values() for w in v):
             raise ValueError("empty seed")
 
 
-def _native_scores(text: Column, model: DomainModel) -> list[Column]:
-    out = []
-    for d in model.domains:
-        counts = [T.literal_count(text, w) for w in model.seeds.get(d, ())]
-        out.append(reduce(lambda a, b: a + b, counts, F.lit(0)))
-    return out
-
-
-def _engine(model: DomainModel, engine: str) -> str:
-    if engine not in ("auto", "native", "automaton"):
-        raise ValueError(f"unknown engine {engine!r}")
-    if engine != "auto":
-        return engine
-    many = sum(len(v) for v in model.seeds.values()) > NATIVE_SEED_LIMIT
-    return "automaton" if many and scan.available() else "native"
-
-
 def with_literal_columns(
     df: DataFrame,
     model: DomainModel,
     text_col: str = "text",
     flags: Mapping[str, Sequence[str]] | None = None,
-    engine: str = "auto",
 ) -> DataFrame:
     """Adds ``lex_<domain>`` integer columns, and a boolean column per entry of ``flags`` that
-    tells whether any of its phrases occurs. With the automaton all of it is one pass."""
+    tells whether any of its phrases occurs: one pass over the text, whatever the lists' length.
+    A null text has zeros and false."""
     keep = [F.col(c) for c in df.columns]
     text = F.col(text_col)
     names = [f"lex_{d}" for d in model.domains]
     flags = flags or {}
-    if _engine(model, engine) == "native":
-        scores = [c.cast("int").alias(n) for c, n in zip(_native_scores(text, model), names)]
-        found = [T.contains_any(text, ws).alias(n) for n, ws in flags.items()]
-        return df.select(*keep, *scores, *found)
     lists = [model.seeds.get(d, ()) for d in model.domains]
     scanned = df.select(*keep, scan.literal_scan(text, lists, list(flags.values())).alias("_lit"))
     scores = [F.get("_lit", F.lit(i)).alias(n) for i, n in enumerate(names)]
@@ -134,11 +105,9 @@ def with_literal_columns(
     return scanned.select(*keep, *scores, *found)
 
 
-def with_lexicon_scores(
-    df: DataFrame, model: DomainModel, text_col: str = "text", engine: str = "auto"
-) -> DataFrame:
-    """Adds ``lex_<domain>`` integer columns. ``engine``: ``auto``, ``native`` or ``automaton``."""
-    return with_literal_columns(df, model, text_col, engine=engine)
+def with_lexicon_scores(df: DataFrame, model: DomainModel, text_col: str = "text") -> DataFrame:
+    """Adds ``lex_<domain>`` integer columns."""
+    return with_literal_columns(df, model, text_col)
 
 
 def with_rule_scores(
@@ -173,7 +142,6 @@ def infer_domain(
     model: DomainModel,
     profile: ScriptProfile,
     text_col: str = "text",
-    engine: str = "auto",
     label_col: str = "predicted_domain",
     keep_scores: bool = False,
     flags: Mapping[str, Sequence[str]] | None = None,
@@ -190,7 +158,7 @@ def infer_domain(
     counted = df if have else with_token_counts(df, profile, text_col)
     known = {r: f"_rule_{i}" for i, r in enumerate(model.rules) if r.kind == "any_of"}
     wanted = {n: r.phrases for r, n in known.items()} | flags
-    found = with_literal_columns(counted, model, text_col, wanted, engine)
+    found = with_literal_columns(counted, model, text_col, wanted)
     scored = with_rule_scores(found, model, text_col, known=known)
 
     score_names = [f"score_{d}" for d in model.domains]

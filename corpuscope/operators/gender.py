@@ -23,8 +23,6 @@ MALE_LEANING = "male-leaning"
 FEMALE_LEANING = "female-leaning"
 INSUFFICIENT = "insufficient data"
 WINDOW = 10
-# Phrases become literals of the plan, so the lists have to stay configuration-sized.
-MAX_PHRASES = 20_000
 
 
 def phrase(entry: str) -> str:
@@ -34,10 +32,7 @@ def phrase(entry: str) -> str:
 
 def phrases(entries: Iterable[str]) -> tuple[str, ...]:
     """Cleaned entries without blanks and repeats, in their first order."""
-    out = tuple(dict.fromkeys(p for p in map(phrase, entries) if p))
-    if len(out) > MAX_PHRASES:
-        raise ValueError(f"{len(out)} phrases; a list may hold at most {MAX_PHRASES}")
-    return out
+    return tuple(dict.fromkeys(p for p in map(phrase, entries) if p))
 
 
 @dataclass(frozen=True)

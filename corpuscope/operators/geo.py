@@ -10,8 +10,6 @@ from pyspark.sql import functions as F
 from corpuscope.functions import text as T
 
 ALL = "ALL"
-# Spellings become literals of the plan, so the gazetteer has to stay configuration-sized.
-MAX_SPELLINGS = 20_000
 
 _REGEX_SPECIAL = set("\\^$.|?*+()[]{}")
 
@@ -44,8 +42,6 @@ def with_place_counts(
 ) -> DataFrame:
     """Adds ``place_counts``, an array in the order of ``places``. ``present`` names, per place, a
     boolean column that is true where one of its spellings occurs."""
-    if sum(len(s) for s in places.values()) > MAX_SPELLINGS:
-        raise ValueError(f"more than {MAX_SPELLINGS} place spellings")
     counts = [
         mention_count(text_col, s, F.col(present[p]) if present else None)
         for p, s in places.items()

@@ -7,18 +7,16 @@ from dataclasses import dataclass
 
 from pyspark import StorageLevel
 from pyspark.ml.clustering import LDA, LDAModel
-from pyspark.ml.feature import CountVectorizer, CountVectorizerModel, StopWordsRemover
+from pyspark.ml.feature import CountVectorizerModel, StopWordsRemover
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpuscope.functions import text as T
 from corpuscope.functions.profiles import ScriptProfile
+from corpuscope.functions.rows import bind
 from corpuscope.session import materialize
 
-# The vocabulary is held by the driver and, times the number of topics, by every LDA update.
-MAX_VOCABULARY = 1_000_000
-
 
 def remove_stopwords(
     df: DataFrame, stopwords: Sequence[str], tokens_col: str = "raw_tokens", out_col: str = "tokens"
@@ -40,26 +38,27 @@ def topic_tokens(
 def document_frequency(tokens: DataFrame, min_df: int = 1, tokens_col: str = "tokens") -> DataFrame:
     """``(term, document_frequency, term_count)``: what a vocabulary is chosen from.
 
-    Each document contributes its tokens once for the count and its distinct tokens once for the
-    frequency, as weighted rows of one aggregate; documents need no key for it."""
-    one, none = F.lit(1), F.lit(0)
-    weighted = F.concat(
-        F.transform(
-            F.array_distinct(tokens_col),
-            lambda t: F.struct(t.alias("term"), one.alias("d"), none.alias("c")),
-        ),
-        F.transform(
-            tokens_col, lambda t: F.struct(t.alias("term"), none.alias("d"), one.alias("c"))
-        ),
+    One row per token: in the sorted tokens of a document the first of each run counts for the
+    frequency; documents need no key for it."""
+    sorted_once = bind(tokens.select(tokens_col), _sorted=F.sort_array(tokens_col))
+    runs = F.transform(
+        "_sorted",
+        lambda t, i: F.struct(t.alias("term"), F.when(F.get("_sorted", i - 1) == t, 0).otherwise(1).alias("first")),
     )
     terms = (
-        tokens.select(F.inline(weighted))
+        sorted_once.select(F.inline(runs))
         .groupBy("term")
-        .agg(F.sum("d").alias("document_frequency"), F.sum("c").alias("term_count"))
+        .agg(F.sum("first").alias("document_frequency"), F.count(F.lit(1)).alias("term_count"))
     )
     return terms.filter(F.col("document_frequency") >= min_df)
 
 
+def vocabulary(tokens: DataFrame, size: int, min_df: int = 1) -> list[str]:
+    """The ``size`` most frequent terms of ``min_df`` documents or more, ties in the order of terms."""
+    terms = document_frequency(tokens, min_df)
+    return [r.term for r in terms.orderBy(F.desc("term_count"), "term").limit(size).select("term").collect()]
+
+
 @dataclass(frozen=True)
 class TopicModel:
     """A fitted model with the term vectors it was fitted on."""
@@ -80,10 +79,10 @@ class TopicModel:
     def topics(self, n_terms: int = 15) -> DataFrame:
         """``(topic, rank, term, weight)``, rank 1 first."""
         described = self.lda.describeTopics(n_terms)
-        spark = described.sparkSession
-        words = spark.createDataFrame(
-            list(enumerate(self.vectorizer.vocabulary)), "i int, term string"
-        )
+        # Only the terms that are described are named: topics x n_terms of them at most.
+        used = sorted({i for r in described.select("termIndices").collect() for i in r[0]})
+        terms = self.vectorizer.vocabulary
+        words = described.sparkSession.createDataFrame([(i, terms[i]) for i in used], "i int, term string")
         pairs = F.posexplode(F.arrays_zip("termIndices", "termWeights")).alias("r", "x")
         long = described.select("topic", pairs).select(
             "topic",
@@ -91,7 +90,6 @@ class TopicModel:
             F.col("x.termIndices").alias("i"),
             F.col("x.termWeights").alias("weight"),
         )
-        # MAX_VOCABULARY bounds the broadcast side.
         return long.join(F.broadcast(words), "i").select("topic", "rank", "term", "weight")
 
     def save(self, path: str) -> None:
@@ -111,13 +109,13 @@ def fit_topics(
     """Term counts and online LDA over a frame with a ``tokens`` array.
 
     Training reads its input once per iteration. The tokens are therefore written out first, so a
-    lost executor costs a read and a count instead of another pass over the corpus."""
-    if vocabulary_size > MAX_VOCABULARY:
-        raise ValueError(f"vocabulary_size may be at most {MAX_VOCABULARY}")
+    lost executor costs a read and a count instead of another pass over the corpus. ``min_df`` is a
+    number of documents. The driver holds the vocabulary, and every update of the topics ``k`` times
+    as many numbers: that is what ``vocabulary_size`` is for."""
     kept = materialize(tokens.select("tokens"), "topic-tokens")
-    vectorizer = CountVectorizer(
-        inputCol="tokens", outputCol="features", vocabSize=vocabulary_size, minDF=float(min_df)
-    ).fit(kept)
+    vectorizer = CountVectorizerModel.from_vocabulary(
+        vocabulary(kept, vocabulary_size, int(min_df)), inputCol="tokens", outputCol="features"
+    )
     vectors = vectorizer.transform(kept).select("features")
     vectors.persist(StorageLevel.MEMORY_AND_DISK)
     try:

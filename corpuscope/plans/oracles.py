@@ -252,6 +252,25 @@ SELECT term, count(DISTINCT doc_id) AS document_frequency, count(*) AS term_coun
 FROM (SELECT doc_id, unnest({_content}) AS term FROM documents)
 GROUP BY term HAVING count(DISTINCT doc_id) >= 2"""
 
+_VOCABULARY = f"""
+SELECT term FROM (SELECT doc_id, unnest({_content}) AS term FROM documents)
+GROUP BY term HAVING count(DISTINCT doc_id) >= 2 ORDER BY count(*) DESC, term LIMIT 1000"""
+
+ORACLES["term_vectors"] = f"""
+SELECT doc_id, term, count(*) AS n FROM (SELECT doc_id, unnest({_content}) AS term FROM documents)
+WHERE term IN ({_VOCABULARY}) GROUP BY doc_id, term"""
+
+# What holds of any topics that were fitted; the weights themselves are drawn.
+ORACLES["lda_topics"] = """
+SELECT CAST(t.topic AS INTEGER) AS topic, CAST(r.rank AS INTEGER) AS rank, true AS orderly,
+       true AS in_vocabulary
+FROM range(3) t(topic), range(1, 16) r(rank)"""
+
+ORACLES["fit_quality"] = f"""
+SELECT count(*) AS vocabulary_tokens, true AS perplexity_is_loss_per_token,
+       true AS likelihood_is_negative
+FROM (SELECT unnest({_content}) AS term FROM documents) WHERE term IN ({_VOCABULARY})"""
+
 # -- audits ---------------------------------------------------------------------------------
 
 WORDS = f"""
@@ -413,7 +432,7 @@ FROM ({MENTIONS}) WHERE domain = 'ALL'"""
 
 ORACLES["parsed_documents"] = f"""
 SELECT sha256 AS doc_id, text, sentence_count, token_count, char_count, primary_token_count,
-       latin_token_count, sha256, '{UNKNOWN}' AS predicted_domain
+       latin_token_count, round_even(mix_rate, 4) AS mix_rate, sha256, '{UNKNOWN}' AS predicted_domain
 FROM (SELECT s.* EXCLUDE (sentence_count), n AS sentence_count FROM (
         SELECT * FROM ({stats(X.ACCENTED).replace(
             'FROM documents',

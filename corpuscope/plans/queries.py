@@ -8,14 +8,15 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.ml.functions import vector_to_array
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corpuscope.functions import text as T
 from corpuscope.operators import aggregates, dedup, docstats, domain, gender, geo, topics, vocab
 from corpuscope.operators.sampling import keyed_sample
 from corpuscope.plans import fixture as X
-from corpuscope.session import scratch_path
+from corpuscope.session import materialize, scratch_path
 from corpuscope.sources.lexicons import lexicon_entries
 from corpuscope.sources.shards import parse_documents
 from corpuscope.sources.tables import read_table
@@ -279,12 +280,49 @@ def vocab_df(spark, sf_dir):
     return topics.document_frequency(_topic_tokens(spark, sf_dir), 2)
 
 
+@query
+def term_vectors(spark, sf_dir):
+    """How often each vocabulary term occurs in a document."""
+    raw = documents(spark, sf_dir).select("doc_id", T.script_tokens("text", X.PROFILE).alias("raw_tokens"))
+    tokens = materialize(topics.remove_stopwords(raw, X.STOPWORDS).select("doc_id", "tokens"), "tokens")
+    terms = topics.vocabulary(tokens, 1000, 2)
+    model = topics.CountVectorizerModel.from_vocabulary(terms, inputCol="tokens", outputCol="v")
+    counts = F.posexplode(vector_to_array("v")).alias("i", "n")
+    long = model.transform(tokens).select("doc_id", counts).where("n > 0")
+    named = F.array(*[F.lit(t) for t in terms])
+    return long.select("doc_id", F.get(named, F.col("i")).alias("term"), F.col("n").cast("bigint").alias("n"))
+
+
 @query
 def lda_topics(spark, sf_dir):
+    """What must hold of any fitted topics: per topic and rank, whether the weight is a share that
+    falls with the rank, and whether the term is of the vocabulary."""
+    tokens = materialize(_topic_tokens(spark, sf_dir), "tokens")
+    model = topics.fit_topics(tokens, k=3, max_iter=5, vocabulary_size=1000, min_df=2)
+    terms = topics.document_frequency(tokens, 2).orderBy(F.desc("term_count"), "term").limit(1000)
+    found = model.topics(15).join(terms.select("term", F.lit(True).alias("known")), "term", "left")
+    falls = F.coalesce(F.col("weight") <= F.lag("weight").over(Window.partitionBy("topic").orderBy("rank")), F.lit(True))
+    share = (F.col("weight") > 0) & (F.col("weight") <= 1)
+    return found.select(
+        "topic", "rank", (falls & share).alias("orderly"), F.coalesce("known", F.lit(False)).alias("in_vocabulary")
+    )
+
+
+@query
+def fit_quality(spark, sf_dir):
+    """Perplexity is the negative likelihood per token of the vocabulary, and positive."""
     model = topics.fit_topics(
         _topic_tokens(spark, sf_dir), k=3, max_iter=5, vocabulary_size=1000, min_df=2
     )
-    return rounded(model.topics(15), "weight")
+    perplexity, likelihood = model.fit_quality()
+    length = F.aggregate(vector_to_array("features"), F.lit(0.0), lambda a, x: a + x)
+    n = model.vectors.agg(F.sum(length).cast("bigint").alias("vocabulary_tokens"))
+    per_token = F.abs(F.lit(perplexity) * F.col("vocabulary_tokens") + F.lit(likelihood))
+    return n.select(
+        "vocabulary_tokens",
+        (per_token <= 1e-6 * abs(likelihood)).alias("perplexity_is_loss_per_token"),
+        F.lit(likelihood < 0).alias("likelihood_is_negative"),
+    )
 
 
 # -- audits ---------------------------------------------------------------------------------
@@ -347,7 +385,7 @@ def parsed_documents(spark, sf_dir):
     """The documents written as blank-line separated shards and parsed back."""
     shards = scratch_path(spark, "shards")
     documents(spark, sf_dir).select("text").write.text(shards, lineSep="\n\n")
-    return parse_documents(spark, shards, X.ACCENTED).drop("mix_rate")
+    return parse_documents(spark, shards, X.ACCENTED)
 
 
 @query

@@ -9,9 +9,6 @@ from pyspark.sql import functions as F
 
 from corpuscope.functions import text as T
 
-# Lists become part of query plans. Anything near this size is data and belongs in a join.
-MAX_BYTES = 16 << 20
-
 
 def lexicon_entries(df: DataFrame, list_col: str, text_col: str) -> DataFrame:
     """``(list, ord, entry, n_words)`` from one text per list: stripped lines without blanks and
@@ -34,11 +31,8 @@ def read_lexicons(spark: SparkSession, paths: Mapping[str, str]) -> DataFrame:
 
 
 def load_lexicons(spark: SparkSession, paths: Mapping[str, str]) -> dict[str, tuple[str, ...]]:
-    """The lists on the driver, after a check that they are as small as configuration should be."""
-    sizes = spark.read.format("binaryFile").load(list(paths.values())).agg(F.sum("length"))
-    total = sizes.first()[0] or 0
-    if total > MAX_BYTES:
-        raise ValueError(f"lexicons of {total} bytes; {MAX_BYTES} is the most a plan should carry")
+    """The lists on the driver. Lists are configuration, written by hand; what they cost grows with
+    their own length only."""
     out: dict[str, list[tuple[int, str]]] = {name: [] for name in paths}
     for r in read_lexicons(spark, paths).collect():
         out[r["list"]].append((r["ord"], r["entry"]))

@@ -20,9 +20,11 @@ def _listed(paths: Paths) -> list[str]:
 
 
 def check_script(spark: SparkSession, paths: Paths, profile: ScriptProfile, n: int = 200) -> int:
-    """How many of the first ``n`` lines hold the primary script; none at all is an error."""
-    head = spark.read.text(_listed(paths)).limit(n)
-    hits = head.agg(F.count_if(F.col("value").rlike(profile.primary_class))).first()[0]
+    """How many of the first ``n`` lines hold the primary script; none at all is an error.
+
+    The lines come from the first splits, as many as it takes; no other split is opened."""
+    found = F.col("value").rlike(profile.primary_class)
+    hits = sum(bool(r[0]) for r in spark.read.text(_listed(paths)).select(found).take(n))
     if not hits:
         raise ValueError(f"no {profile.name} character in the first {n} lines: wrong encoding?")
     return hits

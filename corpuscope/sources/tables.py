@@ -10,12 +10,11 @@ def read_table(
 ) -> DataFrame:
     """A Parquet table, optionally some columns of it.
 
-    ``spread_by`` names a key by which to redistribute a table that comes in fewer pieces than
-    there are cores, as one small file does. A table of many files is left as it is."""
+    ``spread_by`` names a key by which to redistribute a table that comes in one piece, as one small
+    file does. Any other table is left as it is, whatever the cluster."""
     df = spark.read.parquet(path)
     if columns:
         df = df.select(*columns)
-    cores = spark.sparkContext.defaultParallelism
-    if spread_by and df.rdd.getNumPartitions() < cores:
-        df = df.repartition(cores, spread_by)
+    if spread_by and df.rdd.getNumPartitions() == 1:
+        df = df.repartition(spark.sparkContext.defaultParallelism, spread_by)
     return df

@@ -87,7 +87,7 @@ def test_distinct_without_order(corpus):
     assert got.filter("shingle is not null").count() == len(shingles(rows, 4))
 
 
-def test_texts_of_digests_and_members_of_many_clusters(corpus, monkeypatch):
+def test_texts_of_digests_and_members_of_many_clusters(corpus):
     rows, df = corpus
     cut = dedup.with_leading_shingle(df, LATIN, 4)
     sizes = Counter(s for _, s, _ in shingles(rows, 4))
@@ -95,14 +95,21 @@ def test_texts_of_digests_and_members_of_many_clusters(corpus, monkeypatch):
     top = dedup.top_dup_clusters(dedup.near_dup_clusters(counts), 100)
     got = {r.shingle: r.cluster_size for r in dedup.with_shingle_text(top, cut).collect()}
     assert got == {s: n for s, n in sizes.items() if n > 1}
-    # fewer hot clusters than clusters: both ways into the result are taken
-    monkeypatch.setattr(dedup, "HOT_CLUSTERS", 2)
     counts = dedup.shingle_label_counts(dedup.distinct_documents(cut, order_by="id"))
     members = dedup.near_dup_members(cut.select("id", "shingle"), dedup.near_dup_clusters(counts))
     want = [i for i, text, _ in rows for s in [" ".join(text.split()[:4])] if sizes.get(s, 0) > 1]
     assert sorted(r.id for r in members.collect()) == want
 
 
+def test_members_of_one_large_cluster(spark):
+    rows = [(i, "same first words " + str(i) if i % 2 else f"other {i} words {i}") for i in range(400)]
+    df = dedup.with_leading_shingle(spark.createDataFrame(rows, "id int, text string"), LATIN, 3)
+    df = df.withColumn("label", F.lit("x")).withColumn("sha256", F.sha2("text", 256))
+    counts = dedup.shingle_label_counts(dedup.distinct_documents(df, "label", order_by="id"), "label")
+    members = dedup.near_dup_members(df.select("id", "shingle"), dedup.near_dup_clusters(counts, "label"))
+    assert sorted(r.id for r in members.collect()) == list(range(1, 400, 2))
+
+
 def test_exact_duplicates(corpus):
     rows, df = corpus
     kept = survivors(rows)

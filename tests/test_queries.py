@@ -24,8 +24,7 @@ def duck():
 
 
 def test_sql_belongs_to_queries():
-    assert set(SQL) <= set(QUERIES)
-    assert set(QUERIES) - set(SQL) == {"lda_topics"}
+    assert set(SQL) == set(QUERIES)
 
 
 @pytest.mark.parametrize("name", sorted(SQL))

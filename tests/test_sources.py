@@ -72,13 +72,6 @@ def test_lexicons(spark, tmp_path):
     assert [(r["list"], r["ord"], r.n_words) for r in rows] == [("a", 0, 2), ("a", 1, 1), ("a", 2, 3)]
 
 
-def test_oversized_lexicon_is_refused(spark, tmp_path, monkeypatch):
-    path = put(tmp_path, "a.txt", "x\n" * 10)
-    monkeypatch.setattr(lexicons, "MAX_BYTES", 5)
-    with pytest.raises(ValueError):
-        lexicons.load_lexicon(spark, path)
-
-
 def test_config(spark, tmp_path):
     path = put(tmp_path, "c.json", json.dumps({
         "paths": {"output": "out/"}, "sampling": {"vocabulary": 0.5},
@@ -127,3 +120,5 @@ def test_small_tables_are_spread(spark, tmp_path):
     assert tables.read_table(spark, path).rdd.getNumPartitions() == 1
     spread = tables.read_table(spark, path, ["id"], spread_by="id")
     assert spread.rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+    spark.range(100).repartition(2).write.parquet(path + "2")
+    assert tables.read_table(spark, path + "2", spread_by="id").rdd.getNumPartitions() == 2
