@@ -8,7 +8,6 @@ from pyspark.sql import SparkSession
 
 from corpuscope.plans.pipeline import STAGES, Job, run_pipeline
 from corpuscope.sources.config import load_config
-from corpuscope.sources.shards import detect_separator
 
 
 def main(argv: list[str] | None = None) -> None:
@@ -24,9 +23,7 @@ def main(argv: list[str] | None = None) -> None:
     root = args.root.rstrip("/")
     config = load_config(spark, args.config or f"{root}/domain_resources/config.json")
     job = Job(spark, root, config, decompose=args.decompose)
-    reads_shards = "parse" in args.stages or (args.no_parsed and "label" in args.stages)
-    separator = detect_separator(spark, job.path(config.raw)) if reads_shards else "\n\n"
-    run_pipeline(job, separator, not args.no_parsed, args.stages)
+    run_pipeline(job, not args.no_parsed, args.stages)
 
 
 if __name__ == "__main__":

@@ -442,6 +442,12 @@ FROM (SELECT s.* EXCLUDE (sentence_count), n AS sentence_count FROM (
         USING (doc_id)) s)
 WHERE text <> ''"""
 
+ORACLES["parsed_documents_spaced"] = ORACLES["parsed_documents"]
+
+ORACLES["row_keys"] = f"""
+SELECT count(*) AS documents, count(*) AS keys, true AS gapless
+FROM (SELECT array_to_string({lines('text')}, ' ') AS text FROM documents) WHERE text <> ''"""
+
 ORACLES["lexicon_rows"] = f"""
 SELECT list, CAST(row_number() OVER (PARTITION BY list ORDER BY first_at) - 1 AS INTEGER) AS ord, entry,
        CAST(len({tokens('entry')}) AS INTEGER) AS n_words

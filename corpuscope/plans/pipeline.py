@@ -72,14 +72,14 @@ def _read(job: Job, part: str) -> DataFrame:
     return _renamed(job.spark.read.parquet(job.path(part)), back)
 
 
-def parsed_corpus(job: Job, separator: str = "\n\n") -> DataFrame:
+def parsed_corpus(job: Job) -> DataFrame:
     raw = job.path(job.config.raw)
     check_script(job.spark, raw, job.profile)
-    return parse_documents(job.spark, raw, job.profile, separator, with_id=True)
+    return parse_documents(job.spark, raw, job.profile, with_id=True)
 
 
-def parse_stage(job: Job, separator: str = "\n\n") -> None:
-    parsed = parsed_corpus(job, separator)
+def parse_stage(job: Job) -> None:
+    parsed = parsed_corpus(job)
     writers.write_parquet(_renamed(parsed, TABLE_NAMES), job.path(job.config.parsed))
 
 
@@ -266,7 +266,7 @@ STAGES = ("parse", "label", "analytics", "audit")
 
 
 def run_pipeline(
-    job: Job, separator: str = "\n\n", keep_parsed: bool = True, stages: Sequence[str] = STAGES
+    job: Job, keep_parsed: bool = True, stages: Sequence[str] = STAGES
 ) -> None:
     """Runs the stages asked for, in their order; each picks up the tables of the ones before.
 
@@ -277,9 +277,9 @@ def run_pipeline(
     if job.config.shuffle_partitions:
         job.spark.conf.set("spark.sql.shuffle.partitions", str(job.config.shuffle_partitions))
     if "parse" in stages and keep_parsed:
-        parse_stage(job, separator)
+        parse_stage(job)
     if "label" in stages:
-        parsed = _read(job, job.config.parsed) if keep_parsed else parsed_corpus(job, separator)
+        parsed = _read(job, job.config.parsed) if keep_parsed else parsed_corpus(job)
         label_stage(job, parsed, load_model(job), load_gender_lexicon(job))
     if "analytics" in stages:
         analytics(job)

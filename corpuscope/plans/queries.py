@@ -18,7 +18,7 @@ from corpuscope.operators.sampling import keyed_sample
 from corpuscope.plans import fixture as X
 from corpuscope.session import materialize, scratch_path
 from corpuscope.sources.lexicons import lexicon_entries
-from corpuscope.sources.shards import parse_documents
+from corpuscope.sources.shards import parse_documents, read_documents
 from corpuscope.sources.tables import read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -388,6 +388,35 @@ def parsed_documents(spark, sf_dir):
     return parse_documents(spark, shards, X.ACCENTED)
 
 
+def _uneven_shards(spark, sf_dir):
+    """Documents between blank lines of several kinds, half of them with the other line end."""
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    odd = F.col("doc_id") % 2 == 1
+    shards = scratch_path(spark, "shards")
+    spaced = F.concat("text", F.lit("\n \t"), F.when(F.col("doc_id") % 3 == 0, F.lit("\n\n")).otherwise(F.lit("")))
+    docs.where(~odd).select(spaced).write.text(shards + "/unix", lineSep="\n")
+    docs.where(odd).select(F.replace(spaced, F.lit("\n"), F.lit("\r\n"))).write.text(shards + "/dos", lineSep="\r\n")
+    return [shards + "/unix", shards + "/dos"]
+
+
+@query
+def parsed_documents_spaced(spark, sf_dir):
+    return parse_documents(spark, _uneven_shards(spark, sf_dir), X.ACCENTED)
+
+
+@query
+def row_keys(spark, sf_dir):
+    """Documents, their keys, and the files in which the numbers run without a gap."""
+    docs = read_documents(spark, _uneven_shards(spark, sf_dir), with_key=True)
+    parts = F.split("row_key", "#", 2)
+    per_file = docs.groupBy(parts[0].alias("f")).agg(
+        F.count(F.lit(1)).alias("n"), F.count_distinct("row_key").alias("k"), F.max(parts[1].cast("bigint")).alias("last")
+    )
+    return per_file.agg(
+        F.sum("n").alias("documents"), F.sum("k").alias("keys"), F.bool_and(F.col("last") + 1 == F.col("n")).alias("gapless")
+    )
+
+
 @query
 def lexicon_rows(spark, sf_dir):
     """Each document read as a word list of its own."""

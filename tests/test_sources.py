@@ -1,5 +1,6 @@
 import json
 import os
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -25,11 +26,14 @@ def test_documents_survive_small_splits(spark, tmp_path, eol, gap):
     old = spark.conf.get("spark.sql.files.maxPartitionBytes")
     spark.conf.set("spark.sql.files.maxPartitionBytes", "512")
     try:
-        for separator in ("\n\n", "\r\n\r\n"):
-            docs = shards.parse_documents(spark, f"{tmp_path}/*.txt", BENGALI, separator)
-            rows = docs.collect()
-            assert len(rows) == 200 and {r.text for r in rows} == want
-            assert {r.sentence_count for r in rows} == {2}
+        docs = shards.parse_documents(spark, f"{tmp_path}/*.txt", BENGALI, with_key=True)
+        rows = docs.collect()
+        assert len(rows) == 200 and {r.text for r in rows} == want
+        assert {r.sentence_count for r in rows} == {2}
+        number = {int(r.row_key.rpartition("#")[2]): r.text for r in rows}
+        assert [number[i].split()[1] for i in range(200)] == [str(i) for i in range(200)]
+        # No blank line of the plain kind is needed for the work to be split.
+        assert docs.rdd.getNumPartitions() > 1
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", old)
 
@@ -51,11 +55,38 @@ def test_parsed_schema(spark, tmp_path):
     assert files.first()[0].endswith("a.txt")
 
 
-def test_separator_and_script_checks(spark, tmp_path):
+@pytest.mark.parametrize("size", [7, 16, 40, 1 << 20])
+def test_open_ends(spark, tmp_path, size):
+    """Blank lines at both ends of files, documents longer than a split, a file without blank lines,
+    an empty one, and one whose last line has no end."""
+    files = {
+        "a.txt": "\n\n one\ntwo \n\n\n" + "long line of a document\n" * 12 + "\nx\n\n",
+        "b.txt": "only one document\n" * 9,
+        "c.txt": "",
+        "d.txt": "y\n\n \nz\nlast",
+        "e.txt": "\n \n",
+    }
+    for name, content in files.items():
+        put(tmp_path, name, content)
+    want = {}
+    for name, content in files.items():
+        parts = re.split(r"\n\s*\n", content)
+        docs = [[x.strip() for x in p.split("\n") if x.strip()] for p in parts]
+        for i, lines in enumerate(d for d in docs if d):
+            want[f"{name}#{i}"] = (" ".join(lines), len(lines))
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", str(size))
+    try:
+        rows = shards.read_documents(spark, str(tmp_path), with_key=True).collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    got = {r.row_key.rpartition("/")[2]: (r.text, r.sentence_count) for r in rows}
+    assert got == want and len(rows) == len(want)
+
+
+def test_script_checks(spark, tmp_path):
     unix = put(tmp_path, "unix.txt", "ক\n\nখ\n")
     dos = put(tmp_path, "dos.txt", "a\r\n\r\nb\r\n")
-    assert shards.detect_separator(spark, unix) == "\n\n"
-    assert shards.detect_separator(spark, dos) == "\r\n\r\n"
     assert shards.check_script(spark, unix, BENGALI) == 2
     assert shards.check_script(spark, dos, LATIN) == 2
     with pytest.raises(ValueError):
