@@ -87,7 +87,7 @@ def planted(seed=1):
         out += [original, [w.upper() for w in original]]
         for _ in range(14):
             copy = list(original)
-            for _ in range(rng.randrange(1, max(2, n // 18))):
+            for _ in range(rng.randrange(1, max(2, n // 40))):
                 copy[rng.randrange(n)] = f"x{rng.randrange(10**6)}"
             out.append(copy)
     passage = words(110)
