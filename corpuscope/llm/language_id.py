@@ -143,7 +143,8 @@ def fit(docs: DataFrame, trainable: Column) -> Model | None:
         [(k, round(1_000_000 * min(1.0, PER_LANGUAGE / c))) for k, c in sorted(per.items())], "lang string, rate bigint"
     )
     draw = F.pmod(F.xxhash64(F.lit("language"), "doc_id"), F.lit(1_000_000))
-    drawn = known.join(rates, "lang").where((draw < F.col("rate")) & (F.length("text") <= MAX_TRAIN_CHARS))
+    # A row per language, which the driver holds anyway.
+    drawn = known.join(F.broadcast(rates), "lang").where((draw < F.col("rate")) & (F.length("text") <= MAX_TRAIN_CHARS))
     sample = sorted((r.doc_id is None, r.doc_id or 0, r.text, r.lang) for r in drawn.collect())
     languages = sorted(per)
     idf = np.log((n + 1) / (df + 1)) + 1e-3
