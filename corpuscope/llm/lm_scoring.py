@@ -16,10 +16,11 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpuscope.llm.textarrays import Words, chunks, mix, split_words, text_buffer
+from corpuscope.session import materialize
 
 #: Words in the vocabulary, and slots for pairs of words.
 VOCABULARY, PAIR_SLOTS = 32_000, 1 << 19
@@ -61,7 +62,8 @@ def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[Words, pa.Record
             yield split_words(*text_buffer(part.column("text"))), part
 
 
-def _weights(words: Words, part: pa.RecordBatch) -> np.ndarray:
+def _of_target(words: Words, part: pa.RecordBatch) -> np.ndarray:
+    """1 for each word of a target text."""
     target = part.column("target").to_numpy(zero_copy_only=False).astype(np.int64)
     return np.repeat(target, np.diff(words.bounds))
 
@@ -78,7 +80,8 @@ def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     for words, part in _parts(batches):
         h, which, n = np.unique(words.hashes, return_inverse=True, return_counts=True)
-        held.append((h, n, np.bincount(which, weights=_weights(words, part), minlength=len(h))))
+        t = np.bincount(which, weights=_of_target(words, part), minlength=len(h))
+        held.append((h, n - t, t))
         if sum(len(x[0]) for x in held) > _HELD:
             yield merged()
             held.clear()
@@ -91,17 +94,20 @@ def _pair_counter(vocabulary: np.ndarray):
         n, t = np.zeros(PAIR_SLOTS, np.int64), np.zeros(PAIR_SLOTS, np.int64)
         for words, part in _parts(batches):
             slot = pair_slots(word_ids(words.hashes, vocabulary), words.bounds, len(vocabulary))
-            n += np.bincount(slot, minlength=PAIR_SLOTS)
-            t += np.bincount(slot[_weights(words, part) > 0], minlength=PAIR_SLOTS)
-        used = np.flatnonzero(n)
+            good = _of_target(words, part) > 0
+            n += np.bincount(slot[~good], minlength=PAIR_SLOTS)
+            t += np.bincount(slot[good], minlength=PAIR_SLOTS)
+        used = np.flatnonzero(n + t)
         yield pa.RecordBatch.from_arrays([pa.array(x) for x in (used.astype(np.int32), n[used], t[used])], ["slot", "n", "t"])
 
     return run
 
 
-def fit(docs: DataFrame, is_target: Column) -> Models:
-    """Models from all texts of ``docs``; those with ``is_target`` make up the target."""
-    source = docs.select(F.col("text").cast("string").alias("text"), F.coalesce(is_target, F.lit(False)).cast("int").alias("target"))
+def fit(background: DataFrame, target: DataFrame) -> Models:
+    """Models from all texts of both, over the words that are most frequent in the background."""
+    texts = lambda df, flag: df.select(F.col("text").cast("string").alias("text"), F.lit(flag).alias("target"))
+    # Read twice, and often the result of a join.
+    source = texts(background, 0).unionByName(texts(materialize(target.select("text"), "target"), 1))
     counted = source.mapInArrow(_count_words, "h bigint, n bigint, t bigint")
     counted = counted.groupBy("h").agg(F.sum("n").alias("n"), F.sum("t").alias("t"))
     top = counted.orderBy(F.desc("n"), "h").limit(VOCABULARY).toPandas()
@@ -137,16 +143,17 @@ def losses(m: Models, words: Words) -> np.ndarray:
     return out
 
 
-def cross_entropy_difference(docs: DataFrame, is_target: Column) -> DataFrame:
+def cross_entropy_difference(docs: DataFrame, target: DataFrame) -> DataFrame:
     """``docs`` without ``text``, with ``n_tokens``, ``target_loss``, ``background_loss`` (means in
-    nats) and ``score``, their difference.
+    nats) and ``score``, their difference; the background is all of ``docs``, the target the ``text``
+    of another frame.
 
     A null or wordless text has 0 tokens and 0 in all. Without target texts both models know no more
     than the vocabulary's size about the target, and scores still order documents. Repeated rows
     count each; columns with the new names are replaced; an empty table gives no rows."""
     new = ("n_tokens", "target_loss", "background_loss", "score")
     kept = [c for c in docs.columns if c not in (*new, "text")]
-    shared = docs.sparkSession.sparkContext.broadcast(fit(docs, is_target))
+    shared = docs.sparkSession.sparkContext.broadcast(fit(docs, target))
     source = docs.select(*kept, F.col("text").cast("string").alias("text"))
     fields = [f"`{n}` {t}" for n, t in docs.select(kept).dtypes]
 

@@ -46,9 +46,9 @@ def op3_warc_captures(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents", "doc_id", "text")
-    good = _table(spark, sf_dir, "labels", "doc_id", "quality").where("quality = 1").select("doc_id").distinct()
-    docs = docs.join(good.withColumn("good", F.lit(True)), "doc_id", "left")
-    return lm_scoring.cross_entropy_difference(docs, F.col("good")).drop("good")
+    # Labels grow with the documents, so they are never broadcast.
+    good = _table(spark, sf_dir, "labels", "doc_id", "quality").where("quality = 1").hint("merge")
+    return lm_scoring.cross_entropy_difference(docs, docs.join(good, "doc_id", "left_semi"))
 
 
 def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:

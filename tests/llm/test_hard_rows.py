@@ -19,8 +19,8 @@ def labels(docs):
 OPERATORS = {
     "quality": quality_rules.quality_rules,
     "pii": pii.find,
-    "lm": lambda d: lm_scoring.cross_entropy_difference(d, F.col("doc_id") == 5),
-    "lm_no_target": lambda d: lm_scoring.cross_entropy_difference(d, F.lit(False)),
+    "lm": lambda d: lm_scoring.cross_entropy_difference(d, d.where("doc_id = 5")),
+    "lm_no_target": lambda d: lm_scoring.cross_entropy_difference(d, d.where("false")),
     "prints": fingerprints.fingerprints,
     "bpe": lambda d: byte_bpe.decode(byte_bpe.encode(d, RANKS), RANKS),
     "pack": lambda d: packing.pack(d, VOCABULARY),
