@@ -6,7 +6,7 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark import StorageLevel
-from pyspark.ml.clustering import LDA, LDAModel
+from pyspark.ml.clustering import LDA, LDAModel, LocalLDAModel
 from pyspark.ml.feature import CountVectorizerModel, StopWordsRemover
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
@@ -98,6 +98,14 @@ class TopicModel:
         self.vectorizer.write().overwrite().save(f"{root}/count_vectorizer")
 
 
+    @classmethod
+    def load(cls, path: str, tokens: DataFrame) -> TopicModel:
+        """A saved model, with the term vectors of ``tokens`` in its vocabulary."""
+        root = path.rstrip("/")
+        vectorizer = CountVectorizerModel.load(f"{root}/count_vectorizer")
+        return cls(vectorizer, LocalLDAModel.load(f"{root}/lda_model"), vectorizer.transform(tokens).select("features"))
+
+
 def fit_topics(
     tokens: DataFrame,
     k: int = 20,

@@ -72,3 +72,6 @@ SAMPLE_FRACTION = 0.1
 SAMPLE_SALT = "42:"
 COUNTED_PATTERN = "th|the|an"
 COUNTED_WORDS = ("the", "anan", "ee")
+
+# Words after "the", and bare "and"; only the former are in the group.
+GROUP_PATTERN = r"the ([a-z]+)|and"

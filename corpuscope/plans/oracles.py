@@ -448,6 +448,18 @@ ORACLES["row_keys"] = f"""
 SELECT count(*) AS documents, count(*) AS keys, true AS gapless
 FROM (SELECT array_to_string({lines('text')}, ' ') AS text FROM documents) WHERE text <> ''"""
 
+for _sink in ("parquet", "csv", "json_lines"):
+    ORACLES[f"sink_{_sink}"] = "SELECT doc_id, lang, nullif(lang, 'fr') AS not_fr FROM documents"
+ORACLES["sink_json_report"] = "SELECT lang, count(*) AS n FROM documents GROUP BY lang"
+
+ORACLES["topics_reloaded"] = """
+SELECT CAST(t.topic AS INTEGER) AS topic, CAST(r.rank AS INTEGER) AS rank, true AS same
+FROM range(3) t(topic), range(1, 16) r(rank)"""
+
+ORACLES["rule_group"] = f"""
+SELECT doc_id, len(list_filter(regexp_extract_all(text, '{X.GROUP_PATTERN}', 1), lambda x: x <> '')) >= 3 AS fires
+FROM documents"""
+
 ORACLES["lexicon_rows"] = f"""
 SELECT list, CAST(row_number() OVER (PARTITION BY list ORDER BY first_at) - 1 AS INTEGER) AS ord, entry,
        CAST(len({tokens('entry')}) AS INTEGER) AS n_words

@@ -7,6 +7,7 @@ counts, gender evidence), so duplicates and both audits read a few bytes per doc
 
 from __future__ import annotations
 
+import warnings
 import time
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
@@ -144,6 +145,9 @@ def vocabulary_stage(job: Job) -> None:
     docs = _read(job, job.config.labelled)
     sample = keyed_sample(docs, "doc_id", job.config.vocabulary_fraction, SEED)
     counts = materialize(vocab.token_counts(vocab.token_rows(sample, job.profile)), "token-counts")
+    if counts.isEmpty():
+        warnings.warn("the vocabulary sample holds no token of the script; no vocabulary is written", stacklevel=2)
+        return
     writers.write_csv(vocab.type_token_ratio(counts), job.output("ttr"))
     writers.write_parquet(vocab.top_tokens(counts, 100), job.output("token_frequency"))
 

@@ -17,6 +17,7 @@ from corpuscope.operators import aggregates, dedup, docstats, domain, gender, ge
 from corpuscope.operators.sampling import keyed_sample
 from corpuscope.plans import fixture as X
 from corpuscope.session import materialize, scratch_path
+from corpuscope.sources import writers
 from corpuscope.sources.lexicons import lexicon_entries
 from corpuscope.sources.shards import parse_documents, read_documents
 from corpuscope.sources.tables import read_table
@@ -325,6 +326,18 @@ def fit_quality(spark, sf_dir):
     )
 
 
+@query
+def topics_reloaded(spark, sf_dir):
+    """A saved model describes the same topics; terms of one topic and rank, before and after."""
+    tokens = materialize(_topic_tokens(spark, sf_dir), "tokens")
+    model = topics.fit_topics(tokens, k=3, max_iter=2, vocabulary_size=200, min_df=2)
+    path = scratch_path(spark, "topic-model")
+    model.save(path)
+    again = topics.TopicModel.load(path, tokens).topics(15).withColumnRenamed("term", "again")
+    both = model.topics(15).join(again.drop("weight"), ["topic", "rank"])
+    return both.select("topic", "rank", (F.col("term") == F.col("again")).alias("same"))
+
+
 # -- audits ---------------------------------------------------------------------------------
 
 
@@ -417,6 +430,44 @@ def row_keys(spark, sf_dir):
     )
 
 
+def _sunk(spark, sf_dir, write, read):
+    path = scratch_path(spark, write.__name__)
+    write(documents(spark, sf_dir).select("doc_id", "lang", F.nullif("lang", F.lit("fr")).alias("not_fr")), path)
+    return read("doc_id bigint, lang string, not_fr string", path)
+
+
+@query
+def sink_parquet(spark, sf_dir):
+    return _sunk(spark, sf_dir, writers.write_parquet, lambda schema, path: spark.read.schema(schema).parquet(path))
+
+
+@query
+def sink_csv(spark, sf_dir):
+    return _sunk(spark, sf_dir, writers.write_csv, lambda schema, path: spark.read.schema(schema).csv(path, header=True))
+
+
+@query
+def sink_json_lines(spark, sf_dir):
+    return _sunk(spark, sf_dir, writers.write_json_lines, lambda schema, path: spark.read.schema(schema).json(path))
+
+
+@query
+def sink_json_report(spark, sf_dir):
+    """A report of one row per language, read back as text."""
+    path = scratch_path(spark, "report")
+    writers.write_json_report(documents(spark, sf_dir).groupBy("lang").count(), path, pretty=False)
+    row = F.from_json("value", "lang string, count bigint").alias("r")
+    return spark.read.text(path).select(row).select("r.lang", F.col("r.count").alias("n"))
+
+
+@query
+def rule_group(spark, sf_dir):
+    """A rule that counts only the matches in which one group of its pattern holds something."""
+    rule = domain.Rule("x", 1, "count_at_least", pattern=X.GROUP_PATTERN, group=1, threshold=3)
+    fires = rule.fires(F.col("text"), F.lit(0), F.lit(0.0))
+    return documents(spark, sf_dir).select("doc_id", fires.alias("fires"))
+
+
 @query
 def lexicon_rows(spark, sf_dir):
     """Each document read as a word list of its own."""
