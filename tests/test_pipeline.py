@@ -165,8 +165,6 @@ def test_topic_model_quality(spark):
     assert sorted({r.topic for r in rows}) == [0, 1] and sorted({r["rank"] for r in rows}) == [1, 2, 3]
     df = topics.document_frequency(df, 6)
     assert {(r.term, r.document_frequency, r.term_count) for r in df.collect()} == {("aa", 10, 15), ("cc", 10, 10)}
-    with pytest.raises(ValueError):
-        topics.fit_topics(df, vocabulary_size=10**9)
 
 
 def test_stopwords_ignore_case_and_keep_glued_words(spark):
