@@ -209,8 +209,15 @@ def test_decomposed_comparison(spark, tmp_path):
 def test_labelling_is_one_narrow_pass(job):
     job, _ = job
     model, lexicon = load_model(job), load_gender_lexicon(job)
+    # From shards, all that is shuffled is the open ends of splits, file by file.
     df = labelled_corpus(job, parsed_corpus(job), model, lexicon)
     plan = df._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange ") == plan.count("Exchange hashpartitioning(file#") and plan.count("FileScan") == 2
+    parsed = job.spark.createDataFrame([], parsed_corpus(job).schema)
+    path = job.path("parsed-for-plan")
+    parsed.write.mode("overwrite").parquet(path)
+    df = labelled_corpus(job, job.spark.read.parquet(path), model, lexicon)
+    plan = df._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan and plan.count("FileScan") == 1
     # tokens for the counts, tokens for the shingle, normalised tokens, and two splits into lines
     assert plan.count("split(") <= 6
