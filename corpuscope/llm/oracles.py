@@ -51,4 +51,54 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 FROM judged
 """
 
-ORACLES: dict[str, str] = {"op1_quality_rules": _QUALITY}
+# Twenty bits of the digest at a time are four base32 digits.
+_DIGIT = "substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', (v >> {shift}) % 32 + 1, 1)"
+_BASE32 = " || ".join(_DIGIT.format(shift=n) for n in (15, 10, 5, 0))
+_WARC = f"""
+WITH p AS (
+  SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha1(coalesce(html, '')) AS x FROM pages
+), parts AS (
+  SELECT page_id, x, i, ('0x' || substr(x, 5 * i + 1, 5))::BIGINT AS v FROM p, range(8) t(i)
+), digests AS (
+  SELECT page_id, x, string_agg({_BASE32}, '' ORDER BY i) AS payload_digest FROM parts GROUP BY page_id, x
+), first AS (
+  SELECT x, min(page_id) AS first_id FROM p GROUP BY x
+)
+SELECT page_id, payload_bytes, payload_digest,
+       CASE WHEN page_id = first_id THEN 'response' ELSE 'revisit' END AS record_type,
+       nullif(first_id, page_id) AS refers_to
+FROM p JOIN digests USING (page_id, x) JOIN first USING (x)
+"""
+
+_NEAR = r"""
+WITH RECURSIVE t AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+         'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
+), sets AS (
+  SELECT doc_id, CASE WHEN len(w) >= 5 THEN list_distinct(list_transform(range(1, len(w) - 3),
+           lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] || ' ' || w[i + 3] || ' ' || w[i + 4]))
+         WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END AS s FROM t
+), shingles AS (
+  SELECT doc_id, len(s) AS n, unnest(s) AS x FROM sets
+), pairs AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, a.n + b.n AS n, count(*) AS shared
+  FROM shingles a JOIN shingles b ON a.x = b.x AND a.doc_id < b.doc_id GROUP BY ALL
+), links AS (
+  SELECT a, b FROM pairs WHERE 100 * shared >= 75 * (n - shared)
+), edges AS (
+  SELECT a, b FROM links UNION ALL SELECT b, a FROM links
+), reached AS (
+  SELECT doc_id AS a, doc_id AS b FROM documents
+  UNION SELECT r.a, e.b FROM reached r JOIN edges e ON r.b = e.a
+), roots AS (
+  SELECT a AS doc_id, min(b) AS component_id FROM reached GROUP BY a
+)
+SELECT doc_id, len(s) AS n_shingles, component_id, doc_id = component_id AS kept
+FROM sets JOIN roots USING (doc_id)
+"""
+
+ORACLES: dict[str, str] = {
+    "op1_quality_rules": _QUALITY,
+    "op3_warc_captures": _WARC,
+    "op8_minhash_near_duplicates": _NEAR,
+}
