@@ -19,15 +19,20 @@ def lexicon_entries(df: DataFrame, list_col: str, text_col: str) -> DataFrame:
 
 
 def read_lexicons(spark: SparkSession, paths: Mapping[str, str]) -> DataFrame:
-    """The named files as one frame of entries."""
+    """The named files as one frame of entries. A path that stands for several files is one list, in
+    the order of the files' paths."""
     parts = [
-        spark.read.text(path, wholetext=True).select(F.lit(name).alias("name"), "value")
+        spark.read.text(path, wholetext=True).select(
+            F.lit(name).alias("name"), F.col("_metadata.file_path").alias("path"), "value"
+        )
         for name, path in paths.items()
     ]
     whole = parts[0]
     for p in parts[1:]:
         whole = whole.unionByName(p)
-    return lexicon_entries(whole, "name", "value")
+    files = F.array_sort(F.collect_list(F.struct("path", "value")))
+    joined = F.array_join(F.transform(files, lambda f: f["value"]), "\n")
+    return lexicon_entries(whole.groupBy("name").agg(joined.alias("value")), "name", "value")
 
 
 def load_lexicons(spark: SparkSession, paths: Mapping[str, str]) -> dict[str, tuple[str, ...]]:

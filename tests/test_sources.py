@@ -103,6 +103,13 @@ def test_lexicons(spark, tmp_path):
     assert [(r["list"], r["ord"], r.n_words) for r in rows] == [("a", 0, 2), ("a", 1, 1), ("a", 2, 3)]
 
 
+def test_a_list_of_several_files(spark, tmp_path):
+    os.mkdir(tmp_path / "l")
+    put(tmp_path / "l", "2.txt", "c\na\n")
+    put(tmp_path / "l", "1.txt", "a\nb")
+    assert lexicons.load_lexicon(spark, str(tmp_path / "l")) == ("a", "b", "c")
+
+
 def test_config(spark, tmp_path):
     path = put(tmp_path, "c.json", json.dumps({
         "paths": {"output": "out/"}, "sampling": {"vocabulary": 0.5},
