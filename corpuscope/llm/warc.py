@@ -16,6 +16,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corpuscope.session import materialize
+
 END = "\r\n"
 #: Records in one archive at most; bounds what a reading task holds.
 RECORDS_PER_FILE = 3000
@@ -268,7 +270,8 @@ def round_trip(pages: DataFrame, path: str) -> DataFrame:
     with its payload are one capture; a page with two payloads is two; an empty table gives no
     rows. Other columns of ``pages`` are ignored."""
     write_archives(pages, path)
-    captures = assemble(read_archives(pages.sparkSession, path, with_payload=False))
+    # Assembly joins the records with themselves, so they are parsed once and kept without payloads.
+    captures = assemble(materialize(read_archives(pages.sparkSession, path, with_payload=False), "records"))
     page = F.regexp_extract(F.array_join(F.transform("metadata", lambda m: m["fields"]), "\n"), r"(?m)^page-id: (-?[0-9]+)", 1)
     out = captures.select("response.*", F.nullif(page, F.lit("")).cast("bigint").alias("page_id"))
     origin = out.where("record_type = 'response'").select(F.col("capture_id").alias("refers_to"), F.col("page_id").alias("origin"))
