@@ -9,7 +9,10 @@ temperature fitted to texts left out of training makes the scores probabilities.
 from __future__ import annotations
 
 import re
+import sys
+import unicodedata
 from collections.abc import Iterator
+from functools import cache
 from typing import NamedTuple
 
 import numpy as np
@@ -17,7 +20,6 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpuscope.llm.bpe import _LETTER, _LIMIT, CLASSES
 from corpuscope.llm.textarrays import chunks, mix
 
 UNKNOWN = "und"
@@ -29,17 +31,24 @@ _LETTERS = re.compile(r"[^\W\d_]")
 _PART = 1 << 20
 
 
+@cache
+def letters() -> np.ndarray:
+    """For every code point whether it is kept: letters and marks of all scripts, and what this
+    version of Unicode does not know."""
+    kinds = map(unicodedata.category, map(chr, range(sys.maxunicode + 1)))
+    return np.fromiter((k[0] in "LM" or k in ("Cn", "Co") for k in kinds), dtype=bool, count=sys.maxunicode + 1)
+
+
 def slots(text: str) -> Iterator[np.ndarray]:
-    """Table rows of all n-grams of a text, a bounded number at a time. Letters are lower case and
-    all else is a blank; the text stands between blanks."""
+    """Table rows of all n-grams of a text, a bounded number at a time. Letters, with their marks, are
+    lower case and all else is a blank; the text stands between blanks."""
     low, overlap = text.lower(), max(ORDERS) - 1
     for begin in range(0, max(len(low), 1), _PART):
         last = begin + _PART >= len(low)
         part = low[begin : begin + _PART + (0 if last else overlap)]
         part = (" " if begin == 0 else "") + part + (" " * overlap if last else "")
         c = np.frombuffer(part.encode("utf-32-le"), dtype=np.uint32)
-        known = CLASSES[np.minimum(c, _LIMIT)]
-        c = np.where((known == _LETTER) | (c >= _LIMIT), c, 32).astype(np.uint64)
+        c = np.where(letters()[c], c, 32).astype(np.uint64)
         size, rows, h = len(c) - overlap, [], np.uint64(0)
         for n in range(1, overlap + 2):
             h = h * np.uint64(0x100000001B3) + c[n - 1 : n - 1 + size]
