@@ -48,6 +48,8 @@ HUBS = (4, 4)
 #: At most so many bits tell which documents' sets are needed (16 MB).
 MAX_FILTER_BITS = 1 << 27
 
+#: Values are stored as signed numbers; with this bit flipped they keep the order of the hashes.
+_TOP_BIT = np.uint64(1 << 63)
 _MULTIPLIERS = mix(np.arange(11, 111, dtype=np.uint64)) | np.uint64(1)
 
 
@@ -88,7 +90,7 @@ def _sketcher(k: int, width: int, bitmap=None, bits: int = 0):
                 sets = list(shingle_sets(words, width))
                 keys = [_key(words.hashes[s:e]) for s, e in zip(words.bounds[:-1], words.bounds[1:])]
                 kept = sets if bitmap is not None else [x[:k] for x in sets]
-                values = np.concatenate(kept) if kept else np.zeros(0, np.uint64)
+                values = (np.concatenate(kept) if kept else np.zeros(0, np.uint64)) ^ _TOP_BIT
                 out = [pa.array(keys, pa.binary()), lists(values, np.array([len(x) for x in kept]))]
                 if bitmap is not None:
                     yield pa.RecordBatch.from_arrays(out, ["key", "values"])

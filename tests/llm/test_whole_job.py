@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from corpuscope.llm import language_id
+from corpuscope.llm import language_id, near_duplicates
 
 #: Words of languages in pairs that share a script.
 WORDS = {
@@ -40,3 +40,34 @@ def test_languages_of_many_scripts(spark):
 def test_letters_of_every_script_are_kept(text):
     assert not np.array_equal(language_id.counts_of(text), language_id.counts_of("." * len(text)))
     assert np.array_equal(language_id.counts_of(text + "。"), language_id.counts_of(text + "."))
+
+
+def nested(n_inner, n_outer, seed):
+    """Two texts whose shingle sets hold so many, one inside the other."""
+    rng = random.Random(seed)
+    words = [f"w{rng.randrange(10**9)}" for _ in range(n_outer + 4)]
+    return " ".join(words[: n_inner + 4]), " ".join(words)
+
+
+NESTED = [(75, 100), (90, 120), (105, 140), (120, 160), (144, 192), (150, 200), (144, 192)]
+
+
+def test_estimate_is_that_of_the_union(spark):
+    pairs = [(i, *nested(*NESTED[i % len(NESTED)], i)) for i in range(700)]
+    frame = spark.createDataFrame(pairs, "i bigint, x string, y string")
+    rows = frame.select((F.col("i") * 2).alias("doc_id"), F.col("x").alias("text"))
+    rows = rows.unionByName(frame.select((F.col("i") * 2 + 1).alias("doc_id"), F.col("y").alias("text")))
+    made = rows.mapInArrow(near_duplicates._sketcher(near_duplicates.K, 5), "doc_id bigint, n bigint, key binary, values array<bigint>")
+    made = made.select(F.shiftright("doc_id", 1).alias("i"), (F.col("doc_id") % 2).alias("outer"), "values")
+    both = made.where("outer = 0").select("i", F.col("values").alias("x")).join(made.where("outer = 1").select("i", F.col("values").alias("y")), "i")
+    got = np.array([r.e for r in both.select(near_duplicates.estimate(near_duplicates.K).alias("e")).collect()])
+    assert len(got) == 700 and abs(got.mean() - 0.75) < 0.01
+    assert got.min() >= near_duplicates.MIN_ESTIMATE
+
+
+def test_nested_pairs_are_linked(spark):
+    texts = [t for i in range(560) for t in nested(*NESTED[i % len(NESTED)], i)]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    got = near_duplicates.near_duplicates(frame).collect()
+    assert len(got) == len(texts)
+    assert [r.doc_id for r in got if r.component_id != r.doc_id // 2 * 2] == []
