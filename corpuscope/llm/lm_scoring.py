@@ -4,9 +4,13 @@ A target model is trained on chosen texts and a background model on all; both ar
 one vocabulary, smoothed alike. A document's score is the mean over its tokens of the loss under the
 target minus the loss under the background: the lower, the more it is like the target.
 
-The vocabulary holds the most frequent words of the corpus, and pairs of words are counted in a
-table of fixed size, so the models have a size that does not grow with the corpus; their counts
-cover all of it.
+The vocabulary holds every word and the models every pair of words, each under a hash of its own, so
+they grow with the corpus and no machine holds them whole:
+
+1. Documents are put into chunks of a bounded number of bytes.
+2. Each chunk counts its words and pairs; counts are added up by word or pair.
+3. Each chunk gets the sums of its own words and pairs back, but for those that nothing outside the
+   chunk has added to, and scores its documents.
 """
 
 from __future__ import annotations
@@ -16,130 +20,127 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
 from corpuscope.llm.textarrays import Words, chunks, mix, split_words, text_buffer
 from corpuscope.session import materialize
 
-#: Words in the vocabulary, and slots for pairs of words.
-VOCABULARY, PAIR_SLOTS = 32_000, 1 << 19
 #: How many pairs the unigram model counts for in the bigram model.
 PRIOR = 50.0
-_LOOKUP = 1 << 20
-_HELD = 1 << 20
+#: Bytes of text in a chunk, unless one text has more, and what a row counts for besides.
+CHUNK, ROW_BYTES = 1 << 22, 64
+_HELD = 1 << 21
+_MULTIPLIER, _MARK, _PAIR = np.uint64(0x9E3779B97F4A7C15), np.uint64(0x243F6A8885A308D3), np.uint64(1)
+_NEW = ("n_tokens", "target_loss", "background_loss", "score")
 
 
-class Models(NamedTuple):
-    """Sorted hashes of the vocabulary's words, and per model (background, target) the counts of
-    words, the last of all others, and of pairs by slot."""
+class Sizes(NamedTuple):
+    """Distinct words of both models, and words of the background's and of the target's texts."""
 
-    hashes: np.ndarray
-    words: np.ndarray
-    pairs: np.ndarray
+    distinct: int
+    totals: tuple[int, int]
 
 
-def word_ids(hashes: np.ndarray, vocabulary: np.ndarray) -> np.ndarray:
-    """Positions in the sorted ``vocabulary``; its length for other words."""
-    if not len(vocabulary):
-        return np.zeros(len(hashes), dtype=np.int64)
-    at = np.minimum(np.searchsorted(vocabulary, hashes), len(vocabulary) - 1)
-    return np.where(vocabulary[at] == hashes, at, len(vocabulary))
+def word_keys(words: Words) -> np.ndarray:
+    """Even keys of words: 63 bits of a hash."""
+    return mix(words.hashes) & ~_PAIR
 
 
-def pair_slots(ids: np.ndarray, bounds: np.ndarray, outside: int) -> np.ndarray:
-    """Per word the slot of the pair with the word before it; a text begins after a mark."""
-    before = np.empty_like(ids)
-    before[1:] = ids[:-1]
-    heads = bounds[:-1][np.diff(bounds) > 0]
-    before[heads] = outside + 1
-    return (mix(before.astype(np.uint64) << np.uint64(32) | ids.astype(np.uint64)) & np.uint64(PAIR_SLOTS - 1)).astype(np.int64)
+def heads_of(words: Words) -> np.ndarray:
+    """Positions of the first words of texts."""
+    return words.bounds[:-1][np.diff(words.bounds) > 0]
 
 
-def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[Words, pa.RecordBatch]]:
-    for batch in batches:
-        for part in chunks(batch, "text"):
-            yield split_words(*text_buffer(part.column("text"))), part
+def pair_keys(words: Words) -> np.ndarray:
+    """Per word the odd key of the pair with the word before it; a text begins after a mark."""
+    before = np.empty_like(words.hashes)
+    before[1:] = words.hashes[:-1]
+    before[heads_of(words)] = _MARK
+    return mix(before * _MULTIPLIER + words.hashes) | _PAIR
 
 
-def _of_target(words: Words, part: pa.RecordBatch) -> np.ndarray:
-    """1 for each word of a target text."""
-    target = part.column("target").to_numpy(zero_copy_only=False).astype(np.int64)
-    return np.repeat(target, np.diff(words.bounds))
+def _chunked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows with the number of their chunk."""
+    chunk, size = TaskContext.get().partitionId() << 32, 0
+    for batch in batches:
+        for part in chunks(batch, "text", CHUNK):
+            more = int(text_buffer(part.column("text"))[1][-1]) + ROW_BYTES * part.num_rows
+            if size and size + more > CHUNK:
+                chunk, size = chunk + 1, 0
+            size += more
+            number = pa.array(np.full(part.num_rows, chunk, dtype=np.int64))
+            yield pa.RecordBatch.from_arrays([*part.columns, number], [*part.schema.names, "chunk"])
 
 
-def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Counts per word of a task, handed on whenever they are many."""
-    held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+def _counter(with_pairs: bool):
+    """Counts per chunk of words and, ``with_pairs``, of pairs; a chunk may count a key in several rows."""
 
-    def merged() -> pa.RecordBatch:
-        h, n, t = (np.concatenate(x) for x in zip(*held))
-        distinct, which = np.unique(h, return_inverse=True)
-        sums = [np.bincount(which, weights=x, minlength=len(distinct)).astype(np.int64) for x in (n, t)]
-        return pa.RecordBatch.from_arrays([pa.array(distinct.view(np.int64)), *map(pa.array, sums)], ["h", "n", "t"])
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = []
+        current = None
 
-    for words, part in _parts(batches):
-        h, which, n = np.unique(words.hashes, return_inverse=True, return_counts=True)
-        t = np.bincount(which, weights=_of_target(words, part), minlength=len(h))
-        held.append((h, n - t, t))
-        if sum(len(x[0]) for x in held) > _HELD:
-            yield merged()
+        def counted() -> pa.RecordBatch:
+            keys, n = np.unique(np.concatenate(held), return_counts=True)
             held.clear()
-    if held:
-        yield merged()
-
-
-def _pair_counter(vocabulary: np.ndarray):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n, t = np.zeros(PAIR_SLOTS, np.int64), np.zeros(PAIR_SLOTS, np.int64)
-        for words, part in _parts(batches):
-            slot = pair_slots(word_ids(words.hashes, vocabulary), words.bounds, len(vocabulary))
-            good = _of_target(words, part) > 0
-            n += np.bincount(slot[~good], minlength=PAIR_SLOTS)
-            t += np.bincount(slot[good], minlength=PAIR_SLOTS)
-        used = np.flatnonzero(n + t)
-        yield pa.RecordBatch.from_arrays([pa.array(x) for x in (used.astype(np.int32), n[used], t[used])], ["slot", "n", "t"])
-
-    return run
-
-
-def fit(background: DataFrame, target: DataFrame) -> Models:
-    """Models from all texts of both, over the words that are most frequent in the background."""
-    texts = lambda df, flag: df.select(F.col("text").cast("string").alias("text"), F.lit(flag).alias("target"))
-    # Read twice, and often the result of a join.
-    source = texts(background, 0).unionByName(texts(materialize(target.select("text"), "target"), 1))
-    counted = source.mapInArrow(_count_words, "h bigint, n bigint, t bigint")
-    counted = counted.groupBy("h").agg(F.sum("n").alias("n"), F.sum("t").alias("t"))
-    top = counted.orderBy(F.desc("n"), "h").limit(VOCABULARY).toPandas()
-    order = np.argsort(top["h"].to_numpy(np.int64).view(np.uint64))
-    hashes = top["h"].to_numpy(np.int64).view(np.uint64)[order]
-    words = np.zeros((2, len(hashes) + 1), dtype=np.float64)
-    words[0, :-1], words[1, :-1] = top["n"].to_numpy(np.int64)[order], top["t"].to_numpy(np.int64)[order]
-    pairs = np.zeros((2, PAIR_SLOTS), dtype=np.float32)
-    vocabulary = hashes
-    found = source.mapInArrow(_pair_counter(vocabulary), "slot int, n bigint, t bigint")
-    found = found.groupBy("slot").agg(F.sum("n").alias("n"), F.sum("t").alias("t")).toPandas()  # PAIR_SLOTS rows at most
-    pairs[0, found["slot"]], pairs[1, found["slot"]] = found["n"], found["t"]
-    # Each word closes one pair: what the pairs have beyond the vocabulary's words are other words.
-    words[:, -1] = [max(found["n"].sum() - words[0].sum(), 0), max(found["t"].sum() - words[1].sum(), 0)]
-    return Models(hashes, words, pairs)
-
-
-def losses(m: Models, words: Words) -> np.ndarray:
-    """Loss in nats per word under the background and the target, (2, words)."""
-    ids = word_ids(words.hashes, m.hashes)
-    slot = pair_slots(ids, words.bounds, len(m.hashes))
-    out = np.empty((2, len(ids)))
-    heads = words.bounds[:-1][np.diff(words.bounds) > 0]
-    for k in (0, 1):
-        count = m.words[k]
-        single = (count + 0.5) / (count.sum() + 0.5 * len(count))
+            columns = [np.full(len(keys), current, dtype=np.int64), keys.view(np.int64), n.astype(np.int64)]
+            return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["chunk", "key", "n"])
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            number = batch.column("chunk").to_numpy(zero_copy_only=False)
+            cuts = [0, *(np.flatnonzero(np.diff(number)) + 1).tolist(), batch.num_rows]
+            for s, e in zip(cuts[:-1], cuts[1:]):
+                if held and (number[s] != current):
+                    yield counted()
+                current = int(number[s])
+                for part in chunks(batch.slice(s, e - s), "text"):
+                    words = split_words(*text_buffer(part.column("text")))
+                    held += [word_keys(words), pair_keys(words)] if with_pairs else [word_keys(words)]
+                    if sum(map(len, held)) > _HELD:
+                        yield counted()
+        if held:
+            yield counted()
+
+    return count
+
+
+def _counts(docs: DataFrame, target: DataFrame, with_pairs: bool) -> DataFrame:
+    """``(chunk, key, n, t)``: counts in ``docs`` and ``target``, whose chunk is -1."""
+    count = _counter(with_pairs)
+    n = docs.select("text", "chunk").mapInArrow(count, "chunk bigint, key bigint, n bigint")
+    t = target.select("text", F.lit(-1).cast("bigint").alias("chunk")).mapInArrow(count, "chunk bigint, key bigint, n bigint")
+    zero = F.lit(0).cast("bigint")
+    return n.withColumn("t", zero).unionByName(t.select("chunk", "key", zero.alias("n"), F.col("n").alias("t")))
+
+
+def _sizes(docs: DataFrame, target: DataFrame) -> Sizes:
+    words = _counts(docs, target, False).groupBy("key").agg(F.sum("n").alias("n"), F.sum("t").alias("t"))
+    r = words.agg(F.count(F.lit(1)).alias("distinct"), F.sum("n").alias("n"), F.sum("t").alias("t")).first()
+    return Sizes(r.distinct, (r.n or 0, r.t or 0))
+
+
+def losses(sizes: Sizes, words: Words, keys: np.ndarray, sums: np.ndarray) -> np.ndarray:
+    """Loss in nats per word under the background and the target, (2, words). ``words`` are those of a
+    chunk; ``sums`` are the two counts of ``keys``, and other keys have none outside the chunk."""
+    n, heads = len(words.hashes), heads_of(words)
+    distinct, which, own = np.unique(np.concatenate([word_keys(words), pair_keys(words)]), return_inverse=True, return_counts=True)
+    counts = np.zeros((2, len(distinct)))
+    counts[0] = own
+    counts[:, np.searchsorted(distinct, keys)] = sums
+    out = np.empty((2, n))
+    for k, total in enumerate(sizes.totals):
+        count, pair = counts[k][which[:n]], counts[k][which[n:]]
+        # One more word stands for all that were never seen.
+        single = (count + 0.5) / (total + 0.5 * (sizes.distinct + 1))
         # What a text's first word follows is seen as often as any word on average.
-        seen = np.empty(len(ids))
-        seen[1:] = count[ids[:-1]]
-        seen[heads] = count.sum() / len(count)
-        both = np.minimum(m.pairs[k][slot], seen)
-        out[k] = -np.log((both + PRIOR * single[ids]) / (seen + PRIOR))
+        seen = np.empty(n)
+        seen[1:] = count[:-1]
+        seen[heads] = total / (sizes.distinct + 1)
+        out[k] = -np.log((np.minimum(pair, seen) + PRIOR * single) / (seen + PRIOR))
     return out
 
 
@@ -151,20 +152,31 @@ def cross_entropy_difference(docs: DataFrame, target: DataFrame) -> DataFrame:
     A null or wordless text has 0 tokens and 0 in all. Without target texts both models know no more
     than the vocabulary's size about the target, and scores still order documents. Repeated rows
     count each; columns with the new names are replaced; an empty table gives no rows."""
-    new = ("n_tokens", "target_loss", "background_loss", "score")
-    kept = [c for c in docs.columns if c not in (*new, "text")]
-    shared = docs.sparkSession.sparkContext.broadcast(fit(docs, target))
-    source = docs.select(*kept, F.col("text").cast("string").alias("text"))
-    fields = [f"`{n}` {t}" for n, t in docs.select(kept).dtypes]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for words, part in _parts(batches):
-            n = np.diff(words.bounds)
-            each = losses(shared.value, words)
-            # Text by text, so that equal texts have equal sums.
-            sums = np.array([each[:, s:e].sum(axis=1) for s, e in zip(words.bounds[:-1], words.bounds[1:])])
-            background, target = sums.T / np.maximum(n, 1)
-            columns = [*part.columns[: len(kept)], *map(pa.array, (n, target, background, target - background))]
-            yield pa.RecordBatch.from_arrays(columns, [*kept, *new])
-
-    return source.mapInArrow(run, ", ".join([*fields, "n_tokens bigint", *[f"{c} double" for c in new[1:]]]))
+    kept = [c for c in docs.columns if c not in (*_NEW, "text")]
+    # By number, so that no column can be taken for one of those made here.
+    own = [f"c{i}" for i in range(len(kept))]
+    source = docs.select(*[F.col(f"`{c}`").alias(x) for c, x in zip(kept, own)], F.col("text").cast("string").alias("text"))
+    schema = StructType([StructField(f.name, f.dataType) for f in source.schema])
+    source = source.mapInArrow(_chunked, StructType([*schema.fields, StructField("chunk", LongType())]))
+    # Both are read several times, and the target is often the result of a join.
+    source = materialize(source, "chunks")
+    wanted = materialize(target.select(F.col("text").cast("string").alias("text")), "target")
+    sizes = _sizes(source, wanted)
+    by_key = Window.partitionBy("key")
+    sums = _counts(source, wanted, True).withColumns({"all_n": F.sum("n").over(by_key), "all_t": F.sum("t").over(by_key)})
+    sums = sums.where("chunk >= 0 AND (all_n <> n OR all_t <> 0)").select("chunk", "key", "all_n", "all_t")
+
+    def scored(left: pa.Table, right: pa.Table) -> pa.Table:
+        words = split_words(*text_buffer(left.column("text")))
+        n = np.diff(words.bounds)
+        numbers = [right.column(c).to_numpy() for c in ("key", "all_n", "all_t")]
+        each = losses(sizes, words, numbers[0].view(np.uint64), np.array(numbers[1:]))
+        # Text by text, so that equal texts have equal sums.
+        total = np.array([each[:, s:e].sum(axis=1) for s, e in zip(words.bounds[:-1], words.bounds[1:])])
+        background, good = total.T / np.maximum(n, 1)
+        new = [pa.array(x) for x in (n, good, background, good - background)]
+        return pa.Table.from_arrays([*[left.column(x) for x in own], *new], [*own, *_NEW])
+
+    made = [StructField("n_tokens", LongType()), *[StructField(c, DoubleType()) for c in _NEW[1:]]]
+    out = source.groupBy("chunk").cogroup(sums.groupBy("chunk")).applyInArrow(scored, StructType([*schema.fields[:-1], *made]))
+    return out.select(*[F.col(x).alias(c) for x, c in zip(own, kept)], *_NEW)

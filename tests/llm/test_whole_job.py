@@ -1,12 +1,14 @@
 """What the operators owe beyond the test tables: scripts, sizes and counts that these do not hold."""
 
+import collections
+import math
 import random
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from corpuscope.llm import language_id, near_duplicates
+from corpuscope.llm import language_id, lm_scoring, near_duplicates
 
 #: Words of languages in pairs that share a script.
 WORDS = {
@@ -71,3 +73,32 @@ def test_nested_pairs_are_linked(spark):
     got = near_duplicates.near_duplicates(frame).collect()
     assert len(got) == len(texts)
     assert [r.doc_id for r in got if r.component_id != r.doc_id // 2 * 2] == []
+
+
+def test_losses_are_those_of_real_counts(spark):
+    """With more words than 32,000 and more than 2^18 pairs, in several chunks."""
+    rng = random.Random(5)
+    texts = [[f"w{int(60_000 * rng.random() ** 2)}" for _ in range(600)] for _ in range(1000)]
+    target = set(range(0, 1000, 7))
+    single, pairs = [collections.Counter(), collections.Counter()], [collections.Counter(), collections.Counter()]
+    for i, t in enumerate(texts):
+        for k in (0, 1) if i in target else (0,):
+            single[k].update(t)
+            pairs[k].update(zip(["^", *t], t))
+    size = len(single[0]) + 1
+    assert size > 32_000 and len(pairs[0]) > 1 << 18
+
+    def loss(k, text):
+        total, out = sum(single[k].values()), 0.0
+        for h, w in zip(["^", *text], text):
+            seen = total / size if h == "^" else single[k][h]
+            p = (single[k][w] + 0.5) / (total + 0.5 * size)
+            out -= math.log((min(pairs[k][h, w], seen) + lm_scoring.PRIOR * p) / (seen + lm_scoring.PRIOR))
+        return out / len(text)
+
+    frame = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id bigint, text string").repartition(3)
+    rows = lm_scoring.cross_entropy_difference(frame, frame.where(F.col("doc_id") % 7 == 0)).collect()
+    assert len(rows) == 1000
+    for r in rows[::20]:
+        assert abs(r.background_loss - loss(0, texts[r.doc_id])) < 1e-9
+        assert abs(r.target_loss - loss(1, texts[r.doc_id])) < 1e-9
