@@ -39,7 +39,8 @@ def _classes() -> np.ndarray:
 CLASSES = _classes()
 _CODES = mix(np.arange(1, _LIMIT + 2, dtype=np.uint64) * np.uint64(0xA0761D6478BD642F))
 _LONGEST = 64
-_POOL = 1 << 24
+#: Ids that a worker remembers (16 MB).
+_POOL = 1 << 22
 
 
 def split_long(text: str, size: int = BLOCK) -> list[str]:
@@ -70,6 +71,12 @@ def piece_starts(c: np.ndarray, cls: np.ndarray, offsets: np.ndarray) -> np.ndar
     last = np.zeros(n, dtype=bool)
     last[:-1] = space[:-1] & ~space[1:] & ~head[1:n]
     start |= last
+    _cut_contractions(c, cls, head, start)
+    return np.flatnonzero(start)
+
+
+def _cut_contractions(c: np.ndarray, cls: np.ndarray, head: np.ndarray, start: np.ndarray) -> None:
+    """Joins an apostrophe that begins a piece to the ending after it, which is a piece with it."""
     q = np.flatnonzero((c == 0x27) & start)
     q = q[~head[q + 1]]
     if len(q):
@@ -83,7 +90,51 @@ def piece_starts(c: np.ndarray, cls: np.ndarray, offsets: np.ndarray) -> np.ndar
         after = np.concatenate([q[one] + 2, q[two] + 3])
         after = after[(kind[after] == _LETTER) & ~head[after]]
         start[after] = True
-    return np.flatnonzero(start)
+
+
+class ByteLevel:
+    """Pieces of byte-level vocabularies: everything, white space too, in the case it has."""
+
+    classes = CLASSES
+
+    @staticmethod
+    def cut(c: np.ndarray, cls: np.ndarray, heads: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        starts = piece_starts(c, cls, heads)
+        return c, starts, np.append(starts[1:], len(c))
+
+
+def _fold() -> tuple[np.ndarray, np.ndarray]:
+    """Classes and lower-case forms of the characters that normalisation and lower-casing change one by
+    one, whatever stands around them; the others have class 0."""
+    classes, lower = CLASSES.copy(), np.arange(_LIMIT + 1, dtype=np.uint32)
+    for i in np.flatnonzero(CLASSES).tolist():
+        small = chr(i).lower()
+        alone = unicodedata.category(chr(i))[0] != "M" and unicodedata.normalize("NFC", chr(i)) == chr(i)
+        if not alone or len(small) > 1 or ord(small) > _LIMIT or small == "\u03c3" != chr(i):
+            classes[i] = 0
+        else:
+            lower[i] = ord(small)
+    return classes, lower
+
+
+class WordEnds:
+    """Pieces of lower-cased vocabularies with word ends: contractions, runs of letters, single digits
+    and runs of other characters; white space is dropped."""
+
+    classes, lower = _fold()
+
+    @classmethod
+    def cut(cls_, c: np.ndarray, cls: np.ndarray, heads: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        n, c = len(c), cls_.lower[c]
+        head = np.zeros(n + 3, dtype=bool)
+        head[heads] = True
+        head[n:] = True
+        start = head[:n] | (cls == _NUMBER)
+        start[1:] |= cls[1:] != cls[:-1]
+        _cut_contractions(c, cls, head, start)
+        starts = np.flatnonzero(start)
+        inked = cls[starts] != _SPACE
+        return c, starts[inked], np.append(starts[1:], n)[inked]
 
 
 def ragged(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
@@ -93,26 +144,15 @@ def ragged(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
 
 
 class BatchEncoder:
-    """Encodes lists of texts by an ``encode`` function for lists of strings."""
+    """Encodes lists of texts by an ``encode`` function for lists of strings, piece by piece as ``pieces``
+    cuts them."""
 
-    def __init__(self, encode: Callable[[list[str]], list[list[int]]], slots: int = 1 << 20):
-        self.encode, self.mask = encode, np.uint64(slots - 1)
+    def __init__(self, encode: Callable[[list[str]], list[list[int]]], pieces=ByteLevel, slots: int = 1 << 20, pool: int = _POOL):
+        self.encode, self.pieces, self.mask = encode, pieces, np.uint64(slots - 1)
         self.keys = np.zeros(slots, dtype=np.uint64)
-        self.at = np.zeros(slots, dtype=np.int64)
+        self.at = np.zeros(slots, dtype=np.int32)
         self.size = np.zeros(slots, dtype=np.int32)
-        self.pool, self.filled = np.zeros(1 << 16, dtype=np.int32), 0
-
-    def _store(self, lists: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
-        sizes = np.array([len(x) for x in lists], dtype=np.int32)
-        total = int(sizes.sum())
-        if self.filled + total > len(self.pool):
-            grown = np.zeros(max(2 * len(self.pool), self.filled + total), dtype=np.int32)
-            grown[: self.filled] = self.pool[: self.filled]
-            self.pool = grown
-        self.pool[self.filled : self.filled + total] = [i for x in lists for i in x]
-        at = self.filled + np.cumsum(sizes) - sizes
-        self.filled += total
-        return at.astype(np.int64), sizes
+        self.pool, self.filled = np.zeros(pool, dtype=np.int32), 0
 
     def __call__(self, texts: Sequence[str]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts one after the other, and where each text's ids begin and end."""
@@ -142,7 +182,7 @@ class BatchEncoder:
         c = np.frombuffer("".join(texts).encode("utf-32-le"), dtype=np.uint32)
         sizes = np.array([len(t) for t in texts])
         offsets = np.cumsum(sizes) - sizes
-        cls = CLASSES[np.minimum(c, _LIMIT)]
+        cls = self.pieces.classes[np.minimum(c, _LIMIT)]
         unsure = np.flatnonzero(cls == 0)
         if len(unsure):
             odd = np.zeros(len(texts), dtype=bool)
@@ -159,31 +199,37 @@ class BatchEncoder:
         if not len(c):
             return np.zeros(0, np.int32), sizes
         heads = offsets[sizes > 0]
-        s = piece_starts(c, cls, heads)
-        e = np.append(s[1:], len(c))
+        c, s, e = self.pieces.cut(c, cls, heads)
         up, down = powers(len(c))
         sums = np.zeros(len(c) + 1, dtype=np.uint64)
         np.cumsum(_CODES[c] * up[: len(c)], out=sums[1:])
         key = mix((sums[e] - sums[s]) * down[s] + (e - s).astype(np.uint64) * np.uint64(_BASE))
-        if self.filled > _POOL:
-            self.keys[:] = 0
-            self.filled = 0
         slot = (key & self.mask).astype(np.int64)
         long = e - s > _LONGEST
         miss = np.flatnonzero((self.keys[slot] != key) | long)
-        at, size = self.at[slot], self.size[slot]
+        at, size, pool = self.at[slot].astype(np.int64), self.size[slot], self.pool
         if len(miss):
             text = "".join(texts)
             mine = np.where(long[miss], miss.astype(np.uint64), key[miss] | np.uint64(1 << 63))
             _, first, which = np.unique(mine, return_index=True, return_inverse=True)
             new = miss[first]
-            new_at, new_size = self._store(self.encode([text[i:j] for i, j in zip(s[new].tolist(), e[new].tolist())]))
+            made = self.encode([text[i:j] for i, j in zip(s[new].tolist(), e[new].tolist())])
+            new_size = np.array([len(x) for x in made], dtype=np.int32)
+            flat = np.fromiter((i for x in made for i in x), dtype=np.int32, count=int(new_size.sum()))
+            new_at = self.filled + np.cumsum(new_size) - new_size
             at[miss], size[miss] = new_at[which], new_size[which]
-            keep = ~long[new]
-            where = slot[new][keep]
-            self.keys[where], self.at[where], self.size[where] = key[new][keep], new_at[keep], new_size[keep]
-            # Two new keys may want one slot; the last one written holds it in all three tables.
-        ids = self.pool[ragged(at, size.astype(np.int64))]
+            if self.filled + len(flat) > len(pool):  # full: these texts still use it, then it starts anew
+                pool = np.concatenate([pool[: self.filled], flat])
+                self.keys[:] = 0
+                self.filled = 0
+            else:
+                pool[self.filled : self.filled + len(flat)] = flat
+                self.filled += len(flat)
+                keep = ~long[new]
+                where = slot[new][keep]
+                self.keys[where], self.at[where], self.size[where] = key[new][keep], new_at[keep], new_size[keep]
+                # Two new keys may want one slot; the last one written holds it in all three tables.
+        ids = pool[ragged(at, size.astype(np.int64))]
         before = np.append(0, np.cumsum(size))
         first_piece = np.searchsorted(s, np.append(offsets, len(c)))
         return ids, np.diff(before[first_piece])
@@ -248,7 +294,8 @@ _encoders: dict = {}
 
 
 def batch_encoder(kind: str, path: str) -> tuple[BatchEncoder, list[bytes]]:
-    """The encoder for a file, made once per Python worker; with ``kind`` ``ranks``, its tokens too."""
+    """The encoder for a file, made once per Python worker; with ``kind`` ``ranks``, its tokens too.
+    ``words`` is for tokenizer files that lower-case and mark word ends, ``file`` for byte-level ones."""
     if (kind, path) not in _encoders:
         tokens = load_ranks(path) if kind == "ranks" else []
         model = ranked_tokenizer(tokens) if kind == "ranks" else file_tokenizer(path)
@@ -256,5 +303,6 @@ def batch_encoder(kind: str, path: str) -> tuple[BatchEncoder, list[bytes]]:
         def encode(texts: list[str]) -> list[list[int]]:
             return [x.ids for x in model.encode_batch_fast(texts, add_special_tokens=False)]
 
-        _encoders[kind, path] = BatchEncoder(encode), tokens
+        _encoders.clear()  # a worker that goes on to another vocabulary lets the last one go
+        _encoders[kind, path] = BatchEncoder(encode, WordEnds if kind == "words" else ByteLevel), tokens
     return _encoders[kind, path]
