@@ -2,7 +2,7 @@
 
 The ids of all documents, one after the other by ascending ``doc_id``, are cut into sequences of one
 length and written in Arrow's file format: record batches of two fixed-size lists, ``ids`` and
-``mask`` (1 for an id, 0 for the padding after the last one of a file), uncompressed. A batch has a
+``mask`` (a bit: true for an id, false for the padding after the last one of a file), uncompressed. A batch has a
 fixed number of sequences, so the place of sequence ``i`` follows from ``i`` alone, and a reader that
 maps a file into memory gets any sequence without a copy.
 
@@ -48,7 +48,7 @@ def id_type(largest: int) -> pa.DataType:
 
 def file_schema(kind: pa.DataType, length: int) -> pa.Schema:
     item = lambda t: pa.list_(pa.field("item", t, nullable=False), length)
-    return pa.schema([pa.field("ids", item(kind), nullable=False), pa.field("mask", item(pa.uint8()), nullable=False)])
+    return pa.schema([pa.field("ids", item(kind), nullable=False), pa.field("mask", item(pa.bool_()), nullable=False)])
 
 
 class SequenceWriter:
@@ -76,8 +76,7 @@ class SequenceWriter:
     def _flush(self) -> None:
         n = -(-self.filled // self.length)
         self.held[self.filled : n * self.length] = 0
-        mask = np.zeros(n * self.length, dtype=np.uint8)
-        mask[: self.filled] = 1
+        mask = np.arange(n * self.length) < self.filled
         columns = [self.held[: n * self.length], mask]
         arrays = [pa.FixedSizeListArray.from_arrays(pa.array(v), type=f.type) for v, f in zip(columns, self.schema)]
         self.file.write_batch(pa.RecordBatch.from_arrays(arrays, schema=self.schema))
@@ -111,14 +110,14 @@ class SequenceFile:
         last = self.file.num_record_batches - 1
         return last * self.rows + self.file.get_batch(last).num_rows if last >= 0 else 0
 
-    def _values(self, batch: int, column: str) -> np.ndarray:
-        return self.file.get_batch(batch).column(column).values.to_numpy(zero_copy_only=True)
+    def _slice(self, batch: int, at: int, n: int) -> tuple[np.ndarray, pa.BooleanArray]:
+        ids, mask = (c.values.slice(at, n) for c in self.file.get_batch(batch).columns)
+        return ids.to_numpy(zero_copy_only=True), mask
 
-    def sequence(self, i: int) -> tuple[np.ndarray, np.ndarray]:
+    def sequence(self, i: int) -> tuple[np.ndarray, pa.BooleanArray]:
         """Ids and mask of a sequence, as views of the file."""
         b, r = divmod(i, self.rows)
-        cut = slice(r * self.length, (r + 1) * self.length)
-        return self._values(b, "ids")[cut], self._values(b, "mask")[cut]
+        return self._slice(b, r * self.length, self.length)
 
     def tokens(self, position: int, n: int) -> Iterator[np.ndarray]:
         """The ``n`` ids from a position on, as views, batch by batch."""
@@ -126,9 +125,10 @@ class SequenceFile:
         while n:
             b, r = divmod(position, per)
             take = min(n, per - r)
-            if not self._values(b, "mask")[r : r + take].all():
+            ids, mask = self._slice(b, r, take)
+            if mask.true_count < take:
                 raise ValueError("padding inside a document")
-            yield self._values(b, "ids")[r : r + take]
+            yield ids
             position, n = position + take, n - take
 
 

@@ -64,7 +64,7 @@ def test_sequences_are_views_of_equal_length(spark, hard, library):
                 ids, mask = file.sequence(i)
                 own = want[16 * i : 16 * i + 16]
                 assert len(ids) == len(mask) == 16 and not ids.flags.owndata
-                assert ids.tolist() == own + [0] * (16 - len(own)) and mask.tolist() == [1] * len(own) + [0] * (16 - len(own))
+                assert ids.tolist() == own + [0] * (16 - len(own)) and mask.to_pylist() == [True] * len(own) + [False] * (16 - len(own))
 
 
 def test_pieces_are_those_of_the_library(library):
