@@ -97,8 +97,52 @@ SELECT doc_id, len(s) AS n_shingles, component_id, doc_id = component_id AS kept
 FROM sets JOIN roots USING (doc_id)
 """
 
+# The remainders of CRC-32 for every byte, then the checksum of a number's digits.
+_TRIE = r"""
+WITH remainders AS (
+  SELECT list(v ORDER BY i) AS t FROM (
+    SELECT i, list_reduce([i] || range(8),
+      lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS v
+    FROM range(256) r(i))
+), turns AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role,
+         substr(sha256(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')), 1, 32) AS digest,
+         len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS words
+  FROM conversations WHERE conv_id IS NOT NULL
+), own AS (
+  SELECT conv_id, list({'d': digest, 'w': words} ORDER BY turn NULLS FIRST, role, digest, words) AS t FROM turns GROUP BY conv_id
+), heads AS (
+  SELECT o.conv_id, o.t, coalesce(b.t, []) AS b,
+         xor(list_reduce([4294967295::BIGINT] || list_transform(string_split(o.conv_id::VARCHAR, ''), lambda x: ascii(x)::BIGINT),
+           lambda a, x: xor(a >> 8, r.t[(xor(a, x) & 255) + 1])), 4294967295) % 4 AS h
+  FROM own o CROSS JOIN remainders r LEFT JOIN own b ON b.conv_id = o.conv_id - o.conv_id % 20
+), rebuilt AS (
+  SELECT conv_id, list_concat(b[1:h], t[h + 1:]) AS t FROM heads
+), prefixes AS (
+  SELECT conv_id, depth, array_to_string(list_transform(t[1:depth], lambda x: x.d), '') AS key,
+         array_to_string(list_transform(t[1:depth - 1], lambda x: x.d), '') AS parent,
+         CASE WHEN depth > 0 THEN t[depth].w ELSE 0 END AS words, len(t) AS size
+  FROM (SELECT conv_id, t, unnest(range(0, len(t) + 1)) AS depth FROM rebuilt)
+), nodes AS (
+  SELECT key, min(depth) AS depth, min(parent) AS parent, min(conv_id) AS conv_id, count(*) AS n, min(words) AS words,
+         sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (WHERE size = depth), '')) AS ends
+  FROM prefixes GROUP BY key
+), children AS (
+  SELECT parent AS key, count(*) AS k FROM nodes WHERE depth > 0 GROUP BY parent
+), sums AS (
+  SELECT p.key, count(*) FILTER (WHERE c.k IS NULL) AS leaves, sum((n.n - 1) * n.words) AS saved
+  FROM nodes n LEFT JOIN children c ON c.key = n.key
+  JOIN prefixes p ON p.conv_id = n.conv_id AND p.depth <= n.depth GROUP BY p.key
+)
+SELECT n.conv_id, n.depth::BIGINT AS depth, up.conv_id AS parent_conv_id, n.n AS n_convs, coalesce(c.k, 0) AS n_children,
+       s.leaves AS n_leaves, s.saved::BIGINT AS saved_tokens, n.ends AS ends_sha256
+FROM nodes n JOIN sums s ON s.key = n.key LEFT JOIN children c ON c.key = n.key
+LEFT JOIN nodes up ON n.depth > 0 AND up.key = n.parent
+"""
+
 ORACLES: dict[str, str] = {
     "op1_quality_rules": _QUALITY,
     "op3_warc_captures": _WARC,
     "op8_minhash_near_duplicates": _NEAR,
+    "op12_conversation_trie": _TRIE,
 }
