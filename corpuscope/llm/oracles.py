@@ -140,9 +140,49 @@ FROM nodes n JOIN sums s ON s.key = n.key LEFT JOIN children c ON c.key = n.key
 LEFT JOIN nodes up ON n.depth > 0 AND up.key = n.parent
 """
 
+_DIVERGENCE = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+         translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t
+  FROM documents
+), words AS (
+  SELECT r, lang, source, unnest(regexp_extract_all(t, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM d
+), kept AS (
+  SELECT lang, term, count(*) AS n FROM words GROUP BY lang, term HAVING count(DISTINCT r) >= 30
+), langs AS (
+  SELECT lang, count(*)::HUGEINT AS v, sum(n)::HUGEINT AS n FROM kept GROUP BY lang
+), groups AS (
+  SELECT DISTINCT lang, source FROM d
+), counts AS (
+  SELECT w.lang, w.source, w.term, count(*) AS n FROM words w JOIN kept USING (lang, term) GROUP BY ALL
+), full_counts AS (
+  SELECT g.lang, g.source, k.term, k.n AS n_lang, coalesce(c.n, 0) AS n
+  FROM groups g JOIN kept k USING (lang) LEFT JOIN counts c USING (lang, source, term)
+), totals AS (
+  SELECT lang, source, sum(n)::HUGEINT AS total FROM full_counts GROUP BY ALL
+), prices AS (
+  SELECT f.lang, f.source, f.term, f.n, 1 + 1000000000::HUGEINT * (f.n + 5) // (t.total + 5 * l.v) AS p,
+         1 + 1000000000::HUGEINT * (f.n_lang + 5) // (l.n + 5 * l.v) AS q
+  FROM full_counts f JOIN totals t USING (lang, source) JOIN langs l USING (lang)
+), pairs AS (
+  SELECT a.lang, a.source, b.source AS item, sum(abs(x.p - y.p)) AS value
+  FROM groups a JOIN groups b ON a.lang = b.lang AND a.source <> b.source
+  LEFT JOIN prices x ON x.lang = a.lang AND x.source = a.source
+  LEFT JOIN prices y ON y.lang = b.lang AND y.source = b.source AND y.term = x.term
+  GROUP BY ALL
+), both_parts AS (
+  SELECT lang, source, 'pair' AS part, item, coalesce(value, 0)::BIGINT AS value FROM pairs
+  UNION ALL SELECT lang, source, 'term', term, (p - q)::BIGINT FROM prices WHERE n > 0 AND p > q
+)
+SELECT lang, source, part, item, value,
+       row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item)::INTEGER AS rank
+FROM both_parts QUALIFY part = 'pair' OR rank <= 50
+"""
+
 ORACLES: dict[str, str] = {
     "op1_quality_rules": _QUALITY,
     "op3_warc_captures": _WARC,
     "op8_minhash_near_duplicates": _NEAR,
+    "op11_source_divergence": _DIVERGENCE,
     "op12_conversation_trie": _TRIE,
 }

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from corpuscope.llm import byte_bpe, conversation_trie, fingerprints, language_id, lm_scoring, near_duplicates, packing, pii, quality_rules, sequence_files, toxicity, warc
+from corpuscope.llm import byte_bpe, conversation_trie, divergence, fingerprints, language_id, lm_scoring, near_duplicates, packing, pii, quality_rules, sequence_files, toxicity, warc
 from corpuscope.session import scratch_path
 
 
@@ -100,6 +100,10 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (_crc(5) == 0).alias("held_out"), "score", "predicted")
 
 
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.divergence(_table(spark, sf_dir, "documents", "lang", "source", "text"))
+
+
 def op12_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = _table(spark, sf_dir, "conversations", "conv_id", "turn", "role", "text")
     return conversation_trie.prefix_trie(conversation_trie.conversations(turns))
@@ -123,6 +127,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_minhash_near_duplicates": op8_minhash_near_duplicates,
     "op9_language_id": op9_language_id,
     "op10_toxicity": op10_toxicity,
+    "op11_source_divergence": op11_source_divergence,
     "op12_conversation_trie": op12_conversation_trie,
     "op13_token_files": op13_token_files,
 }
