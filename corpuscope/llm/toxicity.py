@@ -33,6 +33,9 @@ EPOCHS, RATE, BATCH = 8, 0.01, 64
 HARD_WINDOWS = 3
 #: Words and n-grams of fewer training texts have no embedding, so that none is learnt by heart.
 MIN_TEXTS = 6
+#: Windows that are scored at a time.
+HEIGHT = 1024
+_UNIT = float(1 << 20)
 _SEED = 7
 #: Bytes of text that are scored at a time.
 _CHUNK = 1 << 18
@@ -118,12 +121,18 @@ def places(coded: Coded, first: np.ndarray, owner: np.ndarray) -> tuple[np.ndarr
     return rows, there.astype(np.float32)
 
 
+def _product(x: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """``x @ w`` of numbers rounded to multiples of 2**-20. Sums of their products are exact in double
+    precision (below 2**13), so a row's result depends neither on the shape nor on the rows around it."""
+    return ((np.rint(x * _UNIT).astype(np.float64) @ np.rint(w * _UNIT).astype(np.float64)) / _UNIT**2).astype(np.float32)
+
+
 def _run(p: Params, side: str, gates: np.ndarray, rows: np.ndarray, mask: np.ndarray, trace: list | None) -> np.ndarray:
     """States of one direction, (WINDOW, n, HIDDEN)."""
     h, n = HIDDEN, rows.shape[1]
     state, out, u = np.zeros((n, h), np.float32), np.zeros((WINDOW, n, h), np.float32), p[f"u_{side}"]
     for t in range(WINDOW) if side == "f" else range(WINDOW - 1, -1, -1):
-        a, b = gates[rows[t]], state @ u
+        a, b = gates[rows[t]], _product(state, u)
         rz = _sigmoid(a[:, : 2 * h] + b[:, : 2 * h])
         r, z = rz[:, :h], rz[:, h:]
         new = np.tanh(a[:, 2 * h :] + r * b[:, 2 * h :])
@@ -140,16 +149,16 @@ def forward(p: Params, x: np.ndarray, rows: np.ndarray, mask: np.ndarray, trace:
     sides = {}
     for side in "fb":
         steps = None if trace is None else trace.setdefault(side, [])
-        sides[side] = _run(p, side, x @ p[f"wx_{side}"] + p[f"wb_{side}"], rows, mask, steps)
+        sides[side] = _run(p, side, _product(x, p[f"wx_{side}"]) + p[f"wb_{side}"], rows, mask, steps)
     hs = np.concatenate([sides["f"], sides["b"]], axis=2)
-    look = np.tanh(hs @ p["att_w"] + p["att_b"])
-    e = look @ p["att_v"] - 1e9 * (1 - mask)
+    look = np.tanh(_product(hs, p["att_w"]) + p["att_b"])
+    e = _product(look, p["att_v"]) - 1e9 * (1 - mask)
     e = np.exp(e - e.max(axis=0))
     share = e / e.sum(axis=0)
     pooled = (share[:, :, None] * hs).sum(axis=0)
     if trace is not None:
         trace |= {"hs": hs, "look": look, "share": share, "pooled": pooled}
-    return pooled @ p["out_w"] + p["out_b"][0]
+    return _product(pooled, p["out_w"]) + p["out_b"][0]
 
 
 def gradients(p: Params, x: np.ndarray, rows: np.ndarray, mask: np.ndarray, d_logit: np.ndarray, trace: dict) -> tuple[Params, np.ndarray]:
@@ -306,11 +315,15 @@ def _threshold(logits: np.ndarray, y: np.ndarray, clean_weight: float) -> float:
     return float(edges[best[np.argmax(gaps[best])]])
 
 
-def score_windows(p: Params, coded: Coded, first: np.ndarray, owner: np.ndarray, batch: int = 2048) -> np.ndarray:
-    x, out = inputs(p, coded), np.zeros(len(first), np.float32)
-    for i in range(0, len(first), batch):
-        rows, mask = places(coded, first[i : i + batch], owner[i : i + batch])
-        out[i : i + batch] = forward(p, x, rows, mask)
+def score_windows(p: Params, coded: Coded, first: np.ndarray, owner: np.ndarray) -> np.ndarray:
+    """Logits of windows, in blocks of ``HEIGHT`` whose last is filled up with copies of its first window:
+    sums along an axis go in one order, and a window has one logit wherever it stands."""
+    x, out = inputs(p, coded), np.zeros(len(first))
+    for i in range(0, len(first), HEIGHT):
+        at = np.arange(i, min(i + HEIGHT, len(first)))
+        some = np.append(at, np.full(HEIGHT - len(at), i))
+        rows, mask = places(coded, first[some], owner[some])
+        out[at] = forward(p, x, rows, mask)[: len(at)]
     return out
 
 

@@ -1,5 +1,6 @@
 """Every operator over hard rows and over no rows, with columns of its own names around."""
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -112,6 +113,16 @@ def test_toxicity(hard):
     assert all(0 <= r[0] <= 1 and r[1] == (r[0] >= 0.5) for rows in got.values() for r in rows)
 
 
+def test_toxicity_of_a_text_is_the_same_alone_and_in_any_batch(texts):
+    """Bit for bit, among other texts, in another order, by itself."""
+    made = toxicity.fit(["you vile idiot", "what a fine day"] * 20, [1, 0] * 20)
+    some = [t or "" for t in list(texts.values())[:150]]
+    together = toxicity.score_texts(made, pa.array(some))
+    assert len(set(together.tolist())) > 100
+    assert (toxicity.score_texts(made, pa.array(some[::-1]))[::-1] == together).all()
+    assert [toxicity.score_texts(made, pa.array([t]))[0] for t in some] == together.tolist()
+
+
 @pytest.mark.parametrize("name,stage", corpus_pipeline.STAGES)
 def test_stages(spark, tables, hard, nothing, name, stage):
     assert stage(spark, nothing, tables).count() == 0
