@@ -13,8 +13,9 @@ of their union, and the share of that sketch which lies in both sets estimates t
 3. A list names pairs without naming all of them: every member is first paired with a few hubs of
    the list, those most typical of it, and what turns out to be linked needs no further pairs among
    itself. Documents that stay outside in lists of the others, as those do that share no more than
-   a long passage, are listed anew by wider sketches, which few of them survive; those that do are
-   paired with all others of their list.
+   a long passage, are listed anew by wider sketches, which few of them survive. Those that do are
+   paired with the others of their list whose parity bitmaps differ in no more bits than linked sets
+   may differ in values.
 4. Pairs pass the union-sketch estimate and then the exact comparison of the full sets.
 5. Components of the links.
 """
@@ -45,6 +46,8 @@ MIN_ESTIMATE = 0.45
 SIZE_STEP = 1.34
 #: Hubs per list in each round before the remaining pairs are compared one by one.
 HUBS = (4, 4)
+#: Numbers of 64 bits in a parity bitmap.
+PARITY = 8
 #: At most so many bits tell which documents' sets are needed (16 MB).
 MAX_FILTER_BITS = 1 << 27
 
@@ -165,8 +168,10 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.75, width: int = 5, k:
         if hubs_per_list is None:
             undecided = _undecided(members, roots).select("node").distinct()
             wide = sets.join(undecided, "node", "left_semi").withColumn("n", F.size("values").cast("bigint"))
-            wide = wide.withColumn("values", F.slice("values", 1, WIDE_K))
-            members = _lists(wide, WIDE_K, WIDE_OVERLAP, threshold)
+            wide = wide.withColumns(_parity()).withColumn("values", F.slice("values", 1, WIDE_K))
+            members = _distinct_lists(_lists(wide, WIDE_K, WIDE_OVERLAP, threshold))
+            # Bitmaps are for the lists of this round only; one row per node, read by all its lists.
+            members = members.join(materialize(wide.select("node", *_BITS), "parity"), "node")
         state = _undecided(members, roots)
         hubs = state if roots is None else state.where("root <> top_root")
         if hubs_per_list:
@@ -175,8 +180,10 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.75, width: int = 5, k:
                 F.max(F.struct("typical", "node", "n", "root", "place", "leads")).alias("p")
             )
             hubs = hubs.select("list", "p.*")
-        hubs = hubs.select("list", *[F.col(c).alias(f"hub_{c}") for c in ("node", "n", "root", "place", "leads")])
-        pairs = state.join(hubs, "list").where(_may_link(threshold, WIDE_K if hubs_per_list is None else k))
+        bits = [] if hubs_per_list else _BITS
+        hubs = hubs.select("list", *[F.col(c).alias(f"hub_{c}") for c in ("node", "n", "root", "place", "leads", *bits)])
+        may_link = _may_link(threshold, k) if hubs_per_list else _may_link(threshold, WIDE_K) & _few_differ(threshold)
+        pairs = state.join(hubs, "list").where(may_link)
         pairs = pairs.withColumnRenamed("hub_node", "hub")
         pairs = pairs.select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct()
         if tried is not None:
@@ -225,6 +232,39 @@ def _lists(sketches: DataFrame, k: int, overlap: float, threshold: float) -> Dat
     return materialize(members.join(several, "list", "left_semi"), "lists")
 
 
+_BITS = [f"bits_{i}" for i in range(PARITY)]
+
+
+def _parity() -> dict[str, Column]:
+    """A bitmap of a set in which every value flips one bit. What two sets have in common flips the same
+    bits, so their bitmaps differ in no more bits than the sets differ in values."""
+    word = lambda x: F.shiftrightunsigned(x, 6).bitwiseAND(F.lit(PARITY - 1))
+    bit = lambda x: F.call_function("shiftleft", F.lit(1).cast("bigint"), x.bitwiseAND(F.lit(63)).cast("int"))
+
+    def flipped(i: int) -> Column:
+        mine = F.filter("values", lambda x: word(x) == i)
+        return F.aggregate(mine, F.lit(0).cast("bigint"), lambda a, x: a.bitwiseXOR(bit(x)))
+
+    return {name: flipped(i) for i, name in enumerate(_BITS)}
+
+
+def _few_differ(threshold: float) -> Column:
+    """Whether the bitmaps of a member and a hub leave room for a link: two sets with a similarity of
+    ``threshold`` differ in no more than ``(1 - threshold) / (1 + threshold)`` of their sizes' sum."""
+    differ = sum((F.bit_count(F.col(b).bitwiseXOR(F.col(f"hub_{b}"))) for b in _BITS), F.lit(0))
+    return differ <= (F.col("n") + F.col("hub_n")) * (1 - threshold) / (1 + threshold) + 1e-6
+
+
+def _distinct_lists(members: DataFrame) -> DataFrame:
+    """``members`` without lists that hold the same nodes as another one. Of values in the same sets the
+    smallest comes first in all of them, which is where two of these sets first meet."""
+    of_list = members.groupBy("list").agg(
+        F.count(F.lit(1)).alias("size"), F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("nodes"), F.sum("place").alias("places")
+    )
+    first = of_list.groupBy("size", "nodes").agg(F.min(F.struct("places", "list")).alias("p")).select("p.list")
+    return materialize(members.join(first, "list", "left_semi"), "lists")
+
+
 def _may_link(threshold: float, k: int) -> Column:
     """Whether a member and a hub of a list may be linked and meet here first, by their components,
     their sizes and the value's places in them."""

@@ -137,3 +137,14 @@ def test_quality_stage_keeps_own_columns(spark, tables, hard):
     fine = hard.where("doc_id = 4").withColumns({"text": F.lit(" ".join(f"w{i}" for i in range(60))), "kept": F.lit("mine")})
     row = corpus_pipeline.quality(spark, fine, tables).first()
     assert row.kept == "mine" and row.n_words is None and row.text.startswith("w0 w1")
+
+
+def test_duplicate_stage_keeps_one_row_of_each_group(spark, tables):
+    """Repeated ids, null ids, and an id that stands for two different texts."""
+    other = " ".join(f"w{i}" for i in range(80))
+    rows = [(5, PROSE * 3), (5, PROSE * 3), (None, PROSE * 3), (5, other), (3, other), (None, "a b c d e f g")] + [(None, "x y z x y w")] * 3
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").withColumns({c: F.lit("mine") for c in ("row", "id", "first", "none")})
+    got = corpus_pipeline.duplicates(spark, docs.coalesce(1), tables)
+    assert got.columns == docs.columns
+    kept = sorted((r.doc_id or -1, r.text) for r in got.collect())
+    assert kept == sorted([(5, PROSE * 3), (3, other), (-1, "a b c d e f g"), (-1, "x y z x y w")])
