@@ -33,12 +33,17 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the smallest id of each group. An id stays if one of its rows does, and
-    rows without an id stay."""
-    found = near_duplicates.near_duplicates(docs)
-    gone = found.groupBy("doc_id").agg(F.bool_or("kept").alias("kept")).where("NOT kept").select("doc_id")
-    # The table of ids is broadcast where its file is small, and shuffled with the documents otherwise.
-    return docs.join(materialize(gone, "duplicates"), "doc_id", "left_anti").select(docs.columns)
+    """Keeps one row of each group: the one with the smallest id; of several such rows, and of rows
+    without an id, where a group has no others, the first. Rows are told apart by their place in
+    ``docs``, a written table, so repeated and null ids make no difference."""
+    rows = docs.withColumn("_row", F.monotonically_increasing_id())
+    found = near_duplicates.near_duplicates(rows.select(F.col("_row").alias("doc_id"), "text"))
+    ids = rows.select(F.col("_row").alias("row"), F.col("doc_id").cast("bigint").alias("id"))
+    groups = found.select(F.col("doc_id").alias("row"), "component_id").join(ids, "row")
+    # The smallest of a group is an aggregate: nothing is joined by group, however large one is.
+    first = groups.groupBy("component_id").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "row")).alias("first"))
+    kept = materialize(first.select(F.col("first.row").alias("_row")), "kept")
+    return rows.join(kept, "_row", "left_semi").select(docs.columns)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
