@@ -69,6 +69,7 @@ PLACES = {"g1": ("the", "this"), "g2": ("der", "die"), "g3": ("la", "las")}
 
 SHINGLE = 8
 SAMPLE_FRACTION = 0.1
+ODD_FRACTION = 0.37
 SAMPLE_SALT = "42:"
 COUNTED_PATTERN = "th|the|an"
 COUNTED_WORDS = ("the", "anan", "ee")

@@ -187,6 +187,11 @@ SELECT doc_id, lang FROM documents
 WHERE CAST('0x' || substr(md5('{X.SAMPLE_SALT}' || doc_id), 1, 8) AS UBIGINT) / 4294967296.0
       < {X.SAMPLE_FRACTION}"""
 
+ORACLES["keyed_sample_texts"] = f"""
+SELECT doc_id, text FROM documents
+WHERE CAST('0x' || substr(md5('{X.SAMPLE_SALT}' || doc_id), 1, 8) AS UBIGINT) / 4294967296.0
+      < {X.ODD_FRACTION}"""
+
 # -- vocabulary -----------------------------------------------------------------------------
 
 COUNTS = f"SELECT lang, token, count(*) AS count FROM ({TOKEN_ROWS}) GROUP BY lang, token"

@@ -26,7 +26,7 @@ from corpuscope.operators.bengali import (
     bengali_model,
 )
 from corpuscope.operators.domain import DomainModel, domain_distribution, infer_domain
-from corpuscope.operators.sampling import keyed_sample
+from corpuscope.operators.sampling import keyed_sample, sample_bucket
 from corpuscope.session import materialize
 from corpuscope.sources import writers
 from corpuscope.sources.config import JobConfig
@@ -36,6 +36,8 @@ from corpuscope.sources.shards import check_script, parse_documents
 # Column names of the written tables, where they differ from the operators'.
 TABLE_NAMES = {"primary_token_count": "bangla_token_count", "mix_rate": "banglish_rate"}
 SEED = "42:"
+#: The folders of the labelled table. A row is sampled by its key, whatever its text.
+BUCKET = "sample_bucket"
 
 
 @dataclass(frozen=True)
@@ -73,10 +75,21 @@ def _read(job: Job, part: str) -> DataFrame:
     return _renamed(job.spark.read.parquet(job.path(part)), back)
 
 
+def _row_key(docs: DataFrame) -> str:
+    """Documents from elsewhere need not have keys of rows; their text must do then."""
+    return "row_key" if "row_key" in docs.columns else "text"
+
+
+def _sample(job: Job, fraction: float) -> DataFrame:
+    """A sample of the labelled table, from its first folders."""
+    docs = _read(job, job.config.labelled)
+    return keyed_sample(docs, _row_key(docs), fraction, SEED, BUCKET if BUCKET in docs.columns else None)
+
+
 def parsed_corpus(job: Job) -> DataFrame:
     raw = job.path(job.config.raw)
     check_script(job.spark, raw, job.profile)
-    return parse_documents(job.spark, raw, job.profile, with_id=True)
+    return parse_documents(job.spark, raw, job.profile, with_id=True, with_key=True)
 
 
 def parse_stage(job: Job) -> None:
@@ -131,7 +144,8 @@ def label_stage(
 ) -> None:
     table = job.config.labelled
     labelled = labelled_corpus(job, parsed, model, lexicon, places)
-    writers.write_parquet(_renamed(labelled, TABLE_NAMES), job.path(table))
+    labelled = labelled.withColumn(BUCKET, sample_bucket(_row_key(labelled), SEED))
+    writers.write_parquet(_renamed(labelled, TABLE_NAMES), job.path(table), partition_by=BUCKET)
     writers.write_csv(domain_distribution(_read(job, table)), job.output("domain_distribution"))
 
 
@@ -142,8 +156,7 @@ def statistics_stage(job: Job) -> None:
 
 
 def vocabulary_stage(job: Job) -> None:
-    docs = _read(job, job.config.labelled)
-    sample = keyed_sample(docs, "doc_id", job.config.vocabulary_fraction, SEED)
+    sample = _sample(job, job.config.vocabulary_fraction)
     counts = materialize(vocab.token_counts(vocab.token_rows(sample, job.profile)), "token-counts")
     if counts.isEmpty():
         warnings.warn("the vocabulary sample holds no token of the script; no vocabulary is written", stacklevel=2)
@@ -184,7 +197,7 @@ def topic_stage(job: Job) -> float:
     """Writes topics and model; returns the log perplexity."""
     cfg = job.config
     stopwords = load_lexicon(job.spark, job.path(cfg.stopwords))
-    sample = keyed_sample(_read(job, cfg.labelled), "doc_id", cfg.lda_fraction, SEED)
+    sample = _sample(job, cfg.lda_fraction)
     tokens = topics.topic_tokens(sample, job.profile, stopwords)
     model = topics.fit_topics(
         tokens, cfg.topics, cfg.max_iterations, cfg.vocabulary_size, cfg.min_df

@@ -13,8 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corpuscope.functions import text as T
-from corpuscope.operators import aggregates, dedup, docstats, domain, gender, geo, topics, vocab
-from corpuscope.operators.sampling import keyed_sample
+from corpuscope.operators import aggregates, dedup, docstats, domain, gender, geo, sampling, topics, vocab
 from corpuscope.plans import fixture as X
 from corpuscope.session import materialize, scratch_path
 from corpuscope.sources import writers
@@ -165,9 +164,21 @@ def corpus_totals(spark, sf_dir):
 
 @query
 def keyed_sample_docs(spark, sf_dir):
+    return _bucketed_sample(spark, sf_dir, X.SAMPLE_FRACTION).select("doc_id", "lang")
+
+
+def _bucketed_sample(spark, sf_dir, fraction):
+    """A sample of the documents as a table in folders by bucket: only the first of them are read."""
     docs = documents(spark, sf_dir)
-    sample = keyed_sample(docs, "doc_id", X.SAMPLE_FRACTION, X.SAMPLE_SALT)
-    return sample.select("doc_id", "lang")
+    table = docs.withColumn("bucket", sampling.sample_bucket("doc_id", X.SAMPLE_SALT))
+    table = materialize(table, "bucketed", partition_by="bucket")
+    return sampling.keyed_sample(table, "doc_id", fraction, X.SAMPLE_SALT, "bucket")
+
+
+@query
+def keyed_sample_texts(spark, sf_dir):
+    """A fraction that ends inside a bucket, with the texts."""
+    return _bucketed_sample(spark, sf_dir, X.ODD_FRACTION).select("doc_id", "text")
 
 
 # -- vocabulary -----------------------------------------------------------------------------

@@ -31,9 +31,11 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{scratch_root(spark)}/corpuscope/{name}-{uuid.uuid4().hex}"
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
+def materialize(df: DataFrame, name: str, partition_by: str | None = None) -> DataFrame:
     """Write once, read many times. Unlike a cached frame the result outlives lost executors, and
-    it cuts the lineage; unlike a row checkpoint it can be read column by column."""
+    it cuts the lineage; unlike a row checkpoint it can be read column by column and, with
+    ``partition_by``, folder by folder."""
     path = scratch_path(df.sparkSession, name)
-    df.write.parquet(path)
+    writer = df.write
+    (writer.partitionBy(partition_by) if partition_by else writer).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

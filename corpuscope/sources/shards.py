@@ -14,6 +14,7 @@ from corpuscope.functions import text as T
 from corpuscope.functions.profiles import ScriptProfile
 from corpuscope.operators.docstats import with_doc_stats
 from corpuscope.operators.domain import UNKNOWN
+from corpuscope.session import materialize
 
 Paths = str | Sequence[str]
 
@@ -119,7 +120,7 @@ def _stitched(pieces: DataFrame) -> DataFrame:
     """Documents put together from the open ends of neighbouring splits: a tail, the splits that are
     one piece, and the head that follows. Of a split two short rows come here at most, or one that is
     part of a document longer than the split."""
-    ends = pieces.where(F.col("kind") != WHOLE)
+    ends = pieces.where("whole = 0")
     order = Window.partitionBy("file").orderBy("block", "kind").rowsBetween(Window.unboundedPreceding, 0)
     runs = ends.withColumn("run", F.sum((F.col("kind") == TAIL).cast("int")).over(order))
     part = F.struct("block", "kind", "lines", "n", "seq")
@@ -157,14 +158,18 @@ def read_documents(
     Blank lines, of whatever white space and with whatever line end, separate documents. Lines are
     read split by split and documents cut where they lie; only the open ends of splits travel, to be
     joined to their other half. So a file of any size is read by many tasks, and a document is never
-    cut where a split ends. The files are read once for whole documents and once for open ends."""
+    cut where a split ends.
+
+    The files are read once: what they are cut into is written, open ends apart from whole documents,
+    and documents, their stitching and their numbers all come from that table. A job runs to write it."""
     raw = spark.read.text(_listed(paths)).select(
         F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), T.strip("value").alias("line")
     )
-    pieces = raw.mapInArrow(_cut, _PIECES)
+    cut = raw.mapInArrow(_cut, _PIECES).withColumn("whole", (F.col("kind") == WHOLE).cast("int"))
+    pieces = materialize(cut, "pieces", partition_by="whole")
     columns = ["file", "block", "seq", "lines", "n"]
     # The head of a split that begins with a blank line is empty and counts for nothing.
-    docs = pieces.where(F.col("kind") == WHOLE).select(columns).unionByName(_stitched(pieces).select(columns))
+    docs = pieces.where("whole = 1").select(columns).unionByName(_stitched(pieces).select(columns))
     if with_key:
         docs = _numbered(docs)
     return docs.select(

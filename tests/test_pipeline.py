@@ -7,10 +7,13 @@ import shutil
 import pytest
 from pyspark.ml.clustering import LocalLDAModel
 from pyspark.ml.feature import CountVectorizerModel
+from pyspark.sql import functions as F
 
 from corpuscope.__main__ import main
+from corpuscope.functions import text as T
 from corpuscope.operators import gender, topics
 from corpuscope.operators.bengali import DOMAINS, bengali_model
+from corpuscope.plans import pipeline
 from corpuscope.plans.pipeline import (
     Job,
     label_stage,
@@ -80,7 +83,7 @@ def test_parsed_and_labelled_tables(job):
     parsed = job.spark.read.parquet(job.path("corpus/parsed/"))
     assert parsed.columns == [
         "doc_id", "text", "sentence_count", "token_count", "char_count", "bangla_token_count",
-        "latin_token_count", "banglish_rate", "sha256", "predicted_domain", "id",
+        "latin_token_count", "banglish_rate", "sha256", "predicted_domain", "row_key", "id",
     ]
     assert {r.text for r in parsed.select("text").collect()} == {d.replace("\n", " ") for d in docs}
     assert parsed.select("id").distinct().count() == len(docs)
@@ -89,6 +92,21 @@ def test_parsed_and_labelled_tables(job):
     assert counts == {d: 20 + 3 * (d == "news") for d in DOMAINS}
 
 
+def test_samples_read_their_share_of_the_files_and_copies_one_by_one(job):
+    job, docs = job
+    labelled = job.spark.read.parquet(job.path("corpus/labelled/"))
+    for fraction, folders in ((0.1, 1), (0.2, 2), (0.25, 3), (1.0, 10)):
+        sample = pipeline._sample(job, fraction)
+        want = {r.row_key for r in labelled.where(T.keyed_uniform("row_key", pipeline.SEED) < fraction).collect()}
+        assert {r.row_key for r in sample.collect()} == want
+        read = {os.path.dirname(r[0]) for r in sample.select(F.input_file_name()).collect()}
+        assert len(read) <= folders
+        plan = sample._jdf.queryExecution().executedPlan().toString()
+        assert fraction == 1.0 or "PartitionFilters: [isnotnull(sample_bucket" in plan
+    copies = {r.row_key for r in labelled.where(F.col("text") == docs[0].replace("\n", " ")).collect()}
+    assert len(copies) == 2  # each drawn by its own key
+
+
 def test_statistics(job):
     job, docs = job
     stats = table(job, "domain_stats")
@@ -209,10 +227,14 @@ def test_decomposed_comparison(spark, tmp_path):
 def test_labelling_is_one_narrow_pass(job):
     job, _ = job
     model, lexicon = load_model(job), load_gender_lexicon(job)
-    # From shards, all that is shuffled is the open ends of splits, file by file.
+    # From shards, all that is shuffled is the open ends of splits and counts of documents, file by file.
     df = labelled_corpus(job, parsed_corpus(job), model, lexicon)
     plan = df._jdf.queryExecution().executedPlan().toString()
-    assert plan.count("Exchange ") == plan.count("Exchange hashpartitioning(file#") and plan.count("FileScan") == 2
+    assert plan.count("Exchange ") == plan.count("Exchange hashpartitioning(file#") + plan.count("BroadcastExchange ")
+    # The files themselves were read once, to write the table of pieces that is scanned here.
+    assert "FileScan text" not in plan and "MapInArrow" not in plan
+    texts = [line for line in plan.splitlines() if "FileScan" in line and "lines:string" in line]
+    assert sum("whole#" in t and "= 1)" in t for t in texts) == 1  # the others scan open ends
     parsed = job.spark.createDataFrame([], parsed_corpus(job).schema)
     path = job.path("parsed-for-plan")
     parsed.write.mode("overwrite").parquet(path)
