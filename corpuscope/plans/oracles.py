@@ -261,9 +261,14 @@ _VOCABULARY = f"""
 SELECT term FROM (SELECT doc_id, unnest({_content}) AS term FROM documents)
 GROUP BY term HAVING count(DISTINCT doc_id) >= 2 ORDER BY count(*) DESC, term LIMIT 1000"""
 
+_DICTIONARY = f"""
+SELECT term, row_number() OVER (ORDER BY term_count DESC, term) - 1 AS term_id, document_frequency, term_count
+FROM ({ORACLES["vocab_df"]})"""
+ORACLES["term_dictionary"] = _DICTIONARY
+
 ORACLES["term_vectors"] = f"""
-SELECT doc_id, term, count(*) AS n FROM (SELECT doc_id, unnest({_content}) AS term FROM documents)
-WHERE term IN ({_VOCABULARY}) GROUP BY doc_id, term"""
+SELECT doc_id, term_id, term, count(*) AS n FROM (SELECT doc_id, unnest({_content}) AS term FROM documents)
+JOIN ({_DICTIONARY}) USING (term) GROUP BY doc_id, term_id, term"""
 
 # What holds of any topics that were fitted; the weights themselves are drawn.
 ORACLES["lda_topics"] = """

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corpuscope.functions import text as T
-from corpuscope.operators import aggregates, dedup, docstats, domain, gender, geo, sampling, topics, vocab
+from corpuscope.operators import aggregates, dedup, dictionary, docstats, domain, gender, geo, sampling, topics, vocab
 from corpuscope.plans import fixture as X
 from corpuscope.session import materialize, scratch_path
 from corpuscope.sources import writers
@@ -292,17 +292,23 @@ def vocab_df(spark, sf_dir):
     return topics.document_frequency(_topic_tokens(spark, sf_dir), 2)
 
 
+def _keyed_tokens(spark, sf_dir):
+    raw = documents(spark, sf_dir).select("doc_id", T.script_tokens("text", X.PROFILE).alias("raw_tokens"))
+    return materialize(topics.remove_stopwords(raw, X.STOPWORDS).select("doc_id", "tokens"), "tokens")
+
+
+@query
+def term_dictionary(spark, sf_dir):
+    """All terms of two documents or more, numbered by falling count."""
+    return dictionary.dictionary(topics.document_frequency(_topic_tokens(spark, sf_dir), 2))
+
+
 @query
 def term_vectors(spark, sf_dir):
-    """How often each vocabulary term occurs in a document."""
-    raw = documents(spark, sf_dir).select("doc_id", T.script_tokens("text", X.PROFILE).alias("raw_tokens"))
-    tokens = materialize(topics.remove_stopwords(raw, X.STOPWORDS).select("doc_id", "tokens"), "tokens")
-    terms = topics.vocabulary(tokens, 1000, 2)
-    model = topics.CountVectorizerModel.from_vocabulary(terms, inputCol="tokens", outputCol="v")
-    counts = F.posexplode(vector_to_array("v")).alias("i", "n")
-    long = model.transform(tokens).select("doc_id", counts).where("n > 0")
-    named = F.array(*[F.lit(t) for t in terms])
-    return long.select("doc_id", F.get(named, F.col("i")).alias("term"), F.col("n").cast("bigint").alias("n"))
+    """How often each term of the whole dictionary occurs in a document."""
+    tokens = _keyed_tokens(spark, sf_dir)
+    terms = materialize(dictionary.dictionary(topics.document_frequency(tokens, 2)), "dictionary")
+    return dictionary.term_rows(tokens, terms, "doc_id")
 
 
 @query
