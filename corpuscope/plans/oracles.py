@@ -281,6 +281,15 @@ SELECT count(*) AS vocabulary_tokens, true AS perplexity_is_loss_per_token,
        true AS likelihood_is_negative
 FROM (SELECT unnest({_content}) AS term FROM documents) WHERE term IN ({_VOCABULARY})"""
 
+ORACLES["stable_topics"] = ORACLES["lda_topics"].replace("range(3)", "range(20)")
+
+ORACLES["stable_fit_quality"] = f"""
+SELECT count(*) AS vocabulary_tokens, true AS perplexity_is_loss_per_token,
+       true AS likelihood_is_negative, true AS same_elsewhere
+FROM (SELECT unnest({_content}) AS term FROM documents)
+WHERE term IN (SELECT term FROM ({ORACLES["vocab_df"]}) WHERE document_frequency >= 5
+               ORDER BY term_count DESC, term LIMIT 50000)"""
+
 # -- audits ---------------------------------------------------------------------------------
 
 WORDS = f"""

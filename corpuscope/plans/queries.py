@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corpuscope.functions import text as T
-from corpuscope.operators import aggregates, dedup, dictionary, docstats, domain, gender, geo, sampling, topics, vocab
+from corpuscope.operators import aggregates, dedup, dictionary, docstats, domain, gender, geo, sampling, topics, variational, vocab
 from corpuscope.plans import fixture as X
 from corpuscope.session import materialize, scratch_path
 from corpuscope.sources import writers
@@ -326,6 +326,45 @@ def lda_topics(spark, sf_dir):
     )
 
 
+def _stable_model(spark, sf_dir):
+    """Topics at full size: 20 of them, 20 iterations, 50,000 terms of five documents or more."""
+    tokens = _keyed_tokens(spark, sf_dir)
+    terms = materialize(dictionary.dictionary(topics.document_frequency(tokens, 5), 50_000), "dictionary")
+    vectors = materialize(dictionary.sparse_vectors(tokens, terms, "doc_id"), "vectors")
+    return variational.fit_stable_topics(vectors, "doc_id", terms.count(), k=20, iterations=20), terms, vectors
+
+
+@query
+def stable_topics(spark, sf_dir):
+    """What must hold of the topics that do not depend on the layout, as for ``lda_topics``."""
+    model, terms, _ = _stable_model(spark, sf_dir)
+    found = model.topics(terms, 15).join(terms.select("term", F.lit(True).alias("known")), "term", "left")
+    falls = F.coalesce(F.col("weight") <= F.lag("weight").over(Window.partitionBy("topic").orderBy("rank")), F.lit(True))
+    share = (F.col("weight") > 0) & (F.col("weight") <= 1)
+    return found.select(
+        "topic", "rank", (falls & share).alias("orderly"), F.coalesce("known", F.lit(False)).alias("in_vocabulary")
+    )
+
+
+@query
+def stable_fit_quality(spark, sf_dir):
+    """The bound on all documents, after a saved model was read back, on another layout."""
+    model, terms, vectors = _stable_model(spark, sf_dir)
+    saved = materialize(model.table(spark, terms), "stable-topics")
+    again = variational.StableTopics.load(saved)
+    perplexity, likelihood = model.fit_quality(vectors)
+    same = again.fit_quality(vectors.repartition(3)) == (perplexity, likelihood)
+    n = vectors.select(F.explode("counts").alias("n")).agg(F.sum("n").alias("vocabulary_tokens"))
+    return n.select(
+        "vocabulary_tokens",
+        (F.abs(F.lit(perplexity) * F.col("vocabulary_tokens") + F.lit(likelihood)) <= 1e-6 * abs(likelihood)).alias(
+            "perplexity_is_loss_per_token"
+        ),
+        F.lit(likelihood < 0).alias("likelihood_is_negative"),
+        F.lit(same).alias("same_elsewhere"),
+    )
+
+
 @query
 def fit_quality(spark, sf_dir):
     """Perplexity is the negative likelihood per token of the vocabulary, and positive."""
