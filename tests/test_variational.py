@@ -89,7 +89,7 @@ def test_nothing_to_learn_from(spark, corpus):
 
 def test_special_functions():
     x = np.array([0.01, 0.5, 1.0, 3.3, 10.0, 1e4])
-    assert V.digamma(np.array([1.0]))[0] == pytest.approx(-0.5772156649015329, rel=1e-13)
+    assert V.digamma(np.array([1.0]))[0] == pytest.approx(-0.5772156649015329, rel=1e-11)
     assert V.digamma(x + 1) - V.digamma(x) == pytest.approx(1 / x, rel=1e-9)
     assert V.log_gamma(x + 1) - V.log_gamma(x) == pytest.approx(np.log(x), rel=1e-9, abs=1e-9)
     begun = V.start(2000, 5, 42)
