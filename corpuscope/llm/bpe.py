@@ -17,7 +17,7 @@ from collections.abc import Callable, Sequence
 
 import numpy as np
 
-from corpuscope.llm.textarrays import _BASE, BLOCK, mix, powers
+from corpuscope.llm.textarrays import _BASE, mix, powers
 
 _LETTER, _NUMBER, _SPACE, _OTHER = 1, 2, 3, 4
 #: Scripts whose character classes have not changed for long; white space lies in the second range.
@@ -39,11 +39,14 @@ def _classes() -> np.ndarray:
 CLASSES = _classes()
 _CODES = mix(np.arange(1, _LIMIT + 2, dtype=np.uint64) * np.uint64(0xA0761D6478BD642F))
 _LONGEST = 64
+#: Characters that are worked on at a time, and pieces that the library gets in one call: what it hands
+#: back takes some hundred bytes per token.
+_GROUP, _CALL = 1 << 18, 2048
 #: Ids that a worker remembers (16 MB).
 _POOL = 1 << 22
 
 
-def split_long(text: str, size: int = BLOCK) -> list[str]:
+def split_long(text: str, size: int = 1 << 18) -> list[str]:
     """Parts of a text whose encodings, one after the other, are the encoding of the text: cut
     before a single blank between two characters that are none."""
     parts, gap = [], re.compile(r"(?<=\S) (?=\S)")
@@ -158,14 +161,14 @@ class BatchEncoder:
         """The ids of all texts one after the other, and where each text's ids begin and end."""
         groups, begin, chars = [], 0, 0
         for i, t in enumerate(texts):
-            if chars and chars + len(t) > BLOCK:
+            if chars and chars + len(t) > _GROUP:
                 groups.append(texts[begin:i])
                 begin, chars = i, 0
             chars += len(t)
         groups.append(texts[begin:])
         ids, sizes = [], []
         for g in groups:
-            if len(g) == 1 and len(g[0]) > BLOCK:
+            if len(g) == 1 and len(g[0]) > _GROUP:
                 parts = [self._group([p])[0] for p in split_long(g[0])]
                 ids += parts
                 sizes.append(np.array([sum(map(len, parts))]))
@@ -301,7 +304,8 @@ def batch_encoder(kind: str, path: str) -> tuple[BatchEncoder, list[bytes]]:
         model = ranked_tokenizer(tokens) if kind == "ranks" else file_tokenizer(path)
 
         def encode(texts: list[str]) -> list[list[int]]:
-            return [x.ids for x in model.encode_batch_fast(texts, add_special_tokens=False)]
+            parts = (texts[i : i + _CALL] for i in range(0, len(texts), _CALL))
+            return [x.ids for part in parts for x in model.encode_batch_fast(part, add_special_tokens=False)]
 
         _encoders.clear()  # a worker that goes on to another vocabulary lets the last one go
         _encoders[kind, path] = BatchEncoder(encode, WordEnds if kind == "words" else ByteLevel), tokens

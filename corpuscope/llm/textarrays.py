@@ -141,6 +141,7 @@ def chunks(batch: pa.RecordBatch, column: str, max_bytes: int = BLOCK) -> Iterat
         end = min(max(end, begin + 1), batch.num_rows)
         yield batch.slice(begin, end - begin)
         begin = end
+    pa.default_memory_pool().release_unused()
 
 
 def lists(values: np.ndarray, sizes: np.ndarray) -> pa.Array:
