@@ -35,8 +35,8 @@ def digamma(x: np.ndarray) -> np.ndarray:
     """The derivative of the logarithm of the gamma function, for positive numbers."""
     x = np.array(x, dtype=np.float64)
     out = np.zeros_like(x)
-    for _ in range(6):  # up to where the series is exact to double precision
-        small = x < 6
+    for _ in range(10):  # up to where the series is exact to double precision
+        small = x < 10
         out[small] -= 1 / x[small]
         x[small] += 1
     y = 1 / (x * x)
