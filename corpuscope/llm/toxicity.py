@@ -130,9 +130,10 @@ def _product(x: np.ndarray, w: np.ndarray) -> np.ndarray:
 def _run(p: Params, side: str, gates: np.ndarray, rows: np.ndarray, mask: np.ndarray, trace: list | None) -> np.ndarray:
     """States of one direction, (WINDOW, n, HIDDEN)."""
     h, n = HIDDEN, rows.shape[1]
+    product = _product if trace is None else np.matmul
     state, out, u = np.zeros((n, h), np.float32), np.zeros((WINDOW, n, h), np.float32), p[f"u_{side}"]
     for t in range(WINDOW) if side == "f" else range(WINDOW - 1, -1, -1):
-        a, b = gates[rows[t]], _product(state, u)
+        a, b = gates[rows[t]], product(state, u)
         rz = _sigmoid(a[:, : 2 * h] + b[:, : 2 * h])
         r, z = rz[:, :h], rz[:, h:]
         new = np.tanh(a[:, 2 * h :] + r * b[:, 2 * h :])
@@ -145,20 +146,21 @@ def _run(p: Params, side: str, gates: np.ndarray, rows: np.ndarray, mask: np.nda
 
 
 def forward(p: Params, x: np.ndarray, rows: np.ndarray, mask: np.ndarray, trace: dict | None = None) -> np.ndarray:
-    """Logits of windows."""
+    """Logits of windows. A ``trace`` is for training, which needs no exact products."""
+    product = _product if trace is None else np.matmul
     sides = {}
     for side in "fb":
         steps = None if trace is None else trace.setdefault(side, [])
-        sides[side] = _run(p, side, _product(x, p[f"wx_{side}"]) + p[f"wb_{side}"], rows, mask, steps)
+        sides[side] = _run(p, side, product(x, p[f"wx_{side}"]) + p[f"wb_{side}"], rows, mask, steps)
     hs = np.concatenate([sides["f"], sides["b"]], axis=2)
-    look = np.tanh(_product(hs, p["att_w"]) + p["att_b"])
-    e = _product(look, p["att_v"]) - 1e9 * (1 - mask)
+    look = np.tanh(product(hs, p["att_w"]) + p["att_b"])
+    e = product(look, p["att_v"]) - 1e9 * (1 - mask)
     e = np.exp(e - e.max(axis=0))
     share = e / e.sum(axis=0)
     pooled = (share[:, :, None] * hs).sum(axis=0)
     if trace is not None:
         trace |= {"hs": hs, "look": look, "share": share, "pooled": pooled}
-    return _product(pooled, p["out_w"]) + p["out_b"][0]
+    return product(pooled, p["out_w"]) + p["out_b"][0]
 
 
 def gradients(p: Params, x: np.ndarray, rows: np.ndarray, mask: np.ndarray, d_logit: np.ndarray, trace: dict) -> tuple[Params, np.ndarray]:
