@@ -6,7 +6,7 @@ a hash nor a shingle that holds a large share of all documents meets in one task
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpuscope.functions import text as T
@@ -60,40 +60,50 @@ def distinct_documents(
     order_by: str | None = None,
     digest: bool = False,
 ) -> DataFrame:
-    """``(label, shingle)`` of every distinct text; the shingle is null for short ones.
+    """``(label, shingle, copies)`` of every distinct text; the shingle is null for short ones, and
+    ``copies`` is the number of rows that hold the text.
 
     Copies of one text share the hash and the shingle. With ``order_by`` the copy that has the
     smallest value there lends its label. Without it labels must be a function of the text, as
-    inferred domains are, and this is a plain distinct. ``digest`` replaces the shingle by its
-    SHA-256 before anything is shuffled: 32 bytes, whatever the script."""
+    inferred domains are. ``digest`` replaces the shingle by its SHA-256 before anything is
+    shuffled: 32 bytes, whatever the script."""
     key = F.unhex(F.sha2("shingle", 256)) if digest else F.col("shingle")
     columns = [F.unhex(hash_col).alias("_hash"), key.alias("shingle"), label_col]
+    copies = F.count(F.lit(1)).alias("copies")
     if order_by is None:
-        return df.select(*columns).distinct().select(label_col, "shingle")
-    first = F.min_by(label_col, order_by).alias(label_col)
-    kept = df.select(*columns, order_by).groupBy("_hash", "shingle").agg(first)
-    return kept.select(label_col, "shingle")
-
-
-def shingle_label_counts(distinct: DataFrame, label_col: str = "predicted_domain") -> DataFrame:
-    """``(shingle, label, n)``: the one table behind every duplicate report. Rows without a shingle
-    stand for the short texts, which are distinct documents but in no near-duplicate group."""
-    return distinct.groupBy("shingle", label_col).agg(F.count(F.lit(1)).alias("n"))
+        kept = df.select(*columns).groupBy("_hash", "shingle", label_col).agg(copies)
+    else:
+        first = F.min_by(label_col, order_by).alias(label_col)
+        kept = df.select(*columns, order_by).groupBy("_hash", "shingle").agg(first, copies)
+    return kept.select(label_col, "shingle", "copies")
+
+
+def shingle_groups(distinct: DataFrame, label_col: str = "predicted_domain") -> DataFrame:
+    """``(shingle, size, doc_count, copies, labels)``: the one table behind every duplicate report.
+
+    A row per shingle: its distinct texts, those of them with a label, the rows that hold them, and an
+    array of ``(label, n)``, as long as there are labels. Texts are folded by shingle and label before
+    they are put together, so a shingle of any size arrives as a few numbers. The row without a shingle
+    stands for the short texts, which are distinct documents but in no near-duplicate group."""
+    per_label = distinct.groupBy("shingle", label_col).agg(
+        F.count(F.lit(1)).alias("n"), F.sum("copies").alias("copies")
+    )
+    labelled = F.when(F.col(label_col).isNotNull(), F.col("n")).otherwise(F.lit(0))
+    return per_label.groupBy("shingle").agg(
+        F.sum("n").alias("size"),
+        F.sum(labelled).alias("doc_count"),
+        F.sum("copies").alias("copies"),
+        F.collect_list(F.struct(F.col(label_col).alias("label"), "n")).alias("labels"),
+    )
 
 
-def _grouped(counts: DataFrame) -> DataFrame:
-    return counts.filter(F.col("shingle").isNotNull())
+def _shared(groups: DataFrame) -> DataFrame:
+    return groups.filter(F.col("shingle").isNotNull() & (F.col("size") > 1))
 
 
-def near_dup_clusters(counts: DataFrame, label_col: str = "predicted_domain") -> DataFrame:
+def near_dup_clusters(groups: DataFrame) -> DataFrame:
     """Shingles shared by two or more documents. ``doc_count`` leaves out null labels."""
-    labelled = F.when(F.col(label_col).isNotNull(), F.col("n")).otherwise(F.lit(0))
-    clusters = (
-        _grouped(counts)
-        .groupBy("shingle")
-        .agg(F.sum("n").alias("cluster_size"), F.sum(labelled).alias("doc_count"))
-    )
-    return clusters.filter(F.col("cluster_size") > 1)
+    return _shared(groups).select("shingle", F.col("size").alias("cluster_size"), "doc_count")
 
 
 def top_dup_clusters(clusters: DataFrame, n: int = 50) -> DataFrame:
@@ -112,33 +122,34 @@ def with_shingle_text(top: DataFrame, docs: DataFrame) -> DataFrame:
     return found.orderBy(F.desc("cluster_size"), F.asc("shingle"))
 
 
-def near_dup_summary(counts: DataFrame) -> DataFrame:
-    """One row: eligible documents, clusters, redundant documents (all but one per cluster) and
-    their share in the eligible ones."""
-    sizes = _grouped(counts).groupBy("shingle").agg(F.sum("n").alias("size"))
-    dup = F.col("size") > 1
-    totals = sizes.agg(
-        F.coalesce(F.sum("size"), F.lit(0)).alias("eligible_documents"),
+def dup_summary(groups: DataFrame) -> DataFrame:
+    """One row: documents before and after exact deduplication, eligible documents, clusters,
+    redundant documents (all but one per cluster) and their share in the eligible ones."""
+    size, listed = F.col("size"), F.col("shingle").isNotNull()
+    dup = listed & (size > 1)
+
+    def total(x: Column, when: Column | None = None) -> Column:
+        return F.coalesce(F.sum(x if when is None else F.when(when, x)), F.lit(0))
+
+    totals = groups.agg(
+        total(F.col("copies")).alias("documents_before"),
+        total(size).alias("documents_after"),
+        total(size, listed).alias("eligible_documents"),
         F.count_if(dup).alias("near_duplicate_clusters"),
-        F.coalesce(F.sum(F.when(dup, F.col("size") - 1)), F.lit(0)).alias(
-            "near_duplicate_documents"
-        ),
+        total(size - 1, dup).alias("near_duplicate_documents"),
     )
     rate = T.safe_ratio(F.col("near_duplicate_documents"), F.col("eligible_documents"))
     return totals.withColumn("near_duplicate_rate", rate)
 
 
-def near_dup_by_domain(counts: DataFrame, label_col: str = "predicted_domain") -> DataFrame:
-    """Documents taking part in a cluster, per label. The window sees one row per label and
-    shingle, so its groups are as small as the label set."""
-    size = F.sum("n").over(Window.partitionBy("shingle"))
-    per_label = (
-        _grouped(counts)
-        .withColumn("_size", size)
-        .filter(F.col("_size") > 1)
-        .groupBy(label_col)
-        .agg(F.sum("n").alias("near_dup_doc_count"))
-    )
+def near_dup_summary(groups: DataFrame) -> DataFrame:
+    return dup_summary(groups).drop("documents_before", "documents_after")
+
+
+def near_dup_by_domain(groups: DataFrame, label_col: str = "predicted_domain") -> DataFrame:
+    """Documents taking part in a cluster, per label."""
+    members = _shared(groups).select(F.inline("labels"))
+    per_label = members.groupBy(F.col("label").alias(label_col)).agg(F.sum("n").alias("near_dup_doc_count"))
     return per_label.orderBy(F.desc("near_dup_doc_count"), F.asc(label_col))
 
 

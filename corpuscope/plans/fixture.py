@@ -49,6 +49,7 @@ WIDE_MODEL = DomainModel(tuple(WIDE_SEEDS), WIDE_SEEDS)
 STOPWORDS = ("the", "of", "and", "le", "la", "der", "die", "el", "de", "que")
 
 PHRASES = ("the", "of the", "in the", "with", "that", "and the of")
+OPENINGS = (2, 3, 4)
 WORD_LEXICON = GenderLexicon.of(
     ("with", "that", "für", "never-seen-word"),
     ("the", "der", "with"),

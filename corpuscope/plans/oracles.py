@@ -201,6 +201,9 @@ ORACLES["ttr"] = f"""
 SELECT lang, count(*) AS total_tokens, count(DISTINCT token) AS unique_tokens,
        round(count(DISTINCT token) / count(*), 6) AS ttr FROM ({TOKEN_ROWS}) GROUP BY lang"""
 
+ORACLES["ttr_sketched"] = f"""
+SELECT lang, count(*) AS total_tokens, true AS within_bound FROM ({TOKEN_ROWS}) GROUP BY lang"""
+
 ORACLES["top_tokens"] = f"""
 SELECT * FROM (SELECT lang, token, count, CAST(row_number() OVER
        (PARTITION BY lang ORDER BY count DESC, token) AS INTEGER) AS rank FROM ({COUNTS}))
@@ -234,6 +237,10 @@ SELECT e AS eligible_documents, c AS near_duplicate_clusters, s - c AS near_dupl
 FROM (SELECT (SELECT count(*) FROM ({SURVIVORS})) AS e, count(*) AS c,
              CAST(sum(cluster_size) AS BIGINT) AS s FROM ({CLUSTERS}))"""
 
+ORACLES["dup_report"] = f"""
+SELECT * FROM (SELECT count(*) AS documents_before, count(DISTINCT text) AS documents_after FROM documents),
+              ({ORACLES["near_dup_summary"]})"""
+
 MEMBERS = f"SELECT * FROM ({SURVIVORS}) SEMI JOIN ({CLUSTERS}) USING (shingle)"
 ORACLES["near_dup_members"] = f"SELECT doc_id, lang, shingle FROM ({MEMBERS})"
 ORACLES["near_dup_by_domain"] = f"""
@@ -327,6 +334,16 @@ ORACLES["phrase_hits"] = f"""
 WITH words AS MATERIALIZED ({WORDS}) SELECT doc_id, start, n, phrase FROM ({hits(X.PHRASES)})"""
 
 
+_openings = " UNION ".join(
+    f"SELECT {n} AS n, array_to_string(k[1:{n}], ' ') AS phrase FROM "
+    f"(SELECT {norm_tokens('text')} AS k FROM documents) WHERE len(k) >= {n}"
+    for n in X.OPENINGS
+)
+ORACLES["phrase_table_hits"] = f"""
+WITH words AS MATERIALIZED ({WORDS}), e AS MATERIALIZED ({_openings})
+SELECT doc_id, start, n, phrase FROM (SELECT g.* FROM ({grams(max(X.OPENINGS))}) g SEMI JOIN e USING (phrase, n))"""
+
+
 def one_word_scores(lex) -> str:
     """With one-word lists every marker inside the window counts, the one on the occupation too."""
     return f"""
@@ -486,3 +503,11 @@ FROM (SELECT list, entry, min(line_at) AS first_at
       FROM (SELECT doc_id AS list, unnest(l) AS entry, unnest(range(len(l))) AS line_at
             FROM (SELECT doc_id, {lines('text')} AS l FROM documents))
       GROUP BY list, entry)"""
+
+ORACLES["largest_label_texts"] = """
+SELECT doc_id, lang, text FROM documents WHERE lang = (
+  SELECT lang FROM documents GROUP BY lang ORDER BY count(*) DESC, lang NULLS FIRST LIMIT 1)"""
+
+ORACLES["sink_csv_texts"] = ORACLES["sink_json_texts"] = """
+SELECT doc_id, CASE WHEN doc_id % 7 = 0 THEN NULL WHEN doc_id % 5 = 0 THEN ''
+       ELSE '"a", ' || text || chr(10) || chr(92) || '"b" ' END AS cell FROM documents"""

@@ -169,14 +169,13 @@ def duplicate_stage(job: Job) -> None:
     k = job.config.shingle_size
     docs = _read(job, job.config.labelled)
     distinct = dedup.distinct_documents(docs, digest=True)
-    counts = materialize(dedup.shingle_label_counts(distinct), "shingle-counts")
-    writers.write_csv(dedup.near_dup_by_domain(counts), job.output("domain_dup_breakdown"))
-    top = materialize(dedup.top_dup_clusters(dedup.near_dup_clusters(counts), 50), "top-clusters")
+    groups = materialize(dedup.shingle_groups(distinct), "shingle-groups")
+    writers.write_csv(dedup.near_dup_by_domain(groups), job.output("domain_dup_breakdown"))
+    top = materialize(dedup.top_dup_clusters(dedup.near_dup_clusters(groups), 50), "top-clusters")
     writers.write_csv(dedup.with_shingle_text(top, docs), job.output("top_dup_clusters"))
-    # One row each. The distinct documents have been counted with their shingles.
-    before = docs.count()
-    after = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first().n
-    near = dedup.near_dup_summary(counts).first()
+    # All documents have been counted with their shingles.
+    near = dedup.dup_summary(groups).first()
+    before, after = near.documents_before, near.documents_after
     report = job.spark.range(1).select(
         F.lit(before).alias("documents_before_exact_deduplication"),
         F.lit(after).alias("documents_after_exact_deduplication"),

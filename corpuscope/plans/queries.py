@@ -13,13 +13,13 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corpuscope.functions import text as T
-from corpuscope.operators import aggregates, dedup, dictionary, docstats, domain, gender, geo, sampling, topics, variational, vocab
+from corpuscope.operators import aggregates, dedup, dictionary, docstats, domain, gender, geo, phrases, sampling, topics, variational, vocab
 from corpuscope.plans import fixture as X
 from corpuscope.session import materialize, scratch_path
 from corpuscope.sources import writers
 from corpuscope.sources.lexicons import lexicon_entries
 from corpuscope.sources.shards import parse_documents, read_documents
-from corpuscope.sources.tables import read_table
+from corpuscope.sources.tables import read_labels, read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, Query] = {}
@@ -193,6 +193,23 @@ def ttr(spark, sf_dir):
     return rounded(vocab.type_token_ratio(_token_counts(spark, sf_dir), LABEL), "ttr")
 
 
+@query
+def ttr_sketched(spark, sf_dir):
+    """Sketches of two runs over halves of the documents, written apart and merged: totals, and whether
+    the number of distinct tokens is within the bound of the exact one."""
+    docs = documents(spark, sf_dir)
+    runs = []
+    for half in (0, 1):
+        rows = vocab.token_rows(docs.where(F.pmod("doc_id", F.lit(2)) == half), X.PROFILE, label_col=LABEL)
+        runs.append(materialize(vocab.token_sketches(rows, LABEL), "token-sketches"))
+    merged = vocab.type_token_ratio_sketched(runs[0].unionByName(runs[1]), LABEL)
+    exact = vocab.type_token_ratio(_token_counts(spark, sf_dir), LABEL).select(LABEL, F.col("unique_tokens").alias("exact"))
+    off = F.abs(F.col("unique_tokens") - F.col("exact"))
+    return merged.join(exact, LABEL).select(
+        LABEL, "total_tokens", (off <= F.col("exact") * vocab.SKETCH_BOUND).alias("within_bound")
+    )
+
+
 @query
 def token_frequency(spark, sf_dir):
     return _token_counts(spark, sf_dir)
@@ -226,34 +243,40 @@ def _shingled(spark, sf_dir):
     return docs.drop("text")
 
 
-def _shingle_counts(spark, sf_dir, digest=False):
+def _shingle_groups(spark, sf_dir, digest=False):
     distinct = dedup.distinct_documents(
         _shingled(spark, sf_dir), LABEL, order_by="doc_id", digest=digest
     )
-    return dedup.shingle_label_counts(distinct, LABEL)
+    return dedup.shingle_groups(distinct, LABEL)
 
 
 @query
 def near_dup_clusters(spark, sf_dir):
-    return dedup.near_dup_clusters(_shingle_counts(spark, sf_dir), LABEL)
+    return dedup.near_dup_clusters(_shingle_groups(spark, sf_dir))
 
 
 @query
 def near_dup_summary(spark, sf_dir):
-    summary = dedup.near_dup_summary(_shingle_counts(spark, sf_dir, digest=True))
+    summary = dedup.near_dup_summary(_shingle_groups(spark, sf_dir, digest=True))
     return rounded(summary, "near_duplicate_rate")
 
 
+@query
+def dup_report(spark, sf_dir):
+    """All counts of the duplicate report out of the one table of shingles."""
+    return rounded(dedup.dup_summary(_shingle_groups(spark, sf_dir, digest=True)), "near_duplicate_rate")
+
+
 @query
 def near_dup_by_domain(spark, sf_dir):
-    return dedup.near_dup_by_domain(_shingle_counts(spark, sf_dir, digest=True), LABEL)
+    return dedup.near_dup_by_domain(_shingle_groups(spark, sf_dir, digest=True), LABEL)
 
 
 @query
 def near_dup_members(spark, sf_dir):
     narrow = _shingled(spark, sf_dir).filter(F.col("shingle").isNotNull())
     survivors = dedup.exact_dedup(narrow, "doc_id")
-    clusters = dedup.near_dup_clusters(_shingle_counts(spark, sf_dir), LABEL)
+    clusters = dedup.near_dup_clusters(_shingle_groups(spark, sf_dir))
     return dedup.near_dup_members(survivors, clusters).select("doc_id", "lang", "shingle")
 
 
@@ -265,7 +288,7 @@ def top_dup_clusters(spark, sf_dir):
 @query
 def dup_cluster_texts(spark, sf_dir):
     """Three digests and the texts they stand for."""
-    clusters = dedup.near_dup_clusters(_shingle_counts(spark, sf_dir, digest=True), LABEL)
+    clusters = dedup.near_dup_clusters(_shingle_groups(spark, sf_dir, digest=True))
     top = dedup.top_dup_clusters(clusters, 3)
     return dedup.with_shingle_text(top, _shingled(spark, sf_dir))
 
@@ -405,6 +428,16 @@ def phrase_hits(spark, sf_dir):
     )
 
 
+@query
+def phrase_table_hits(spark, sf_dir):
+    """A list that grows with the table: the first two, three and four words of every document."""
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    opening = F.transform(F.array(*map(F.lit, X.OPENINGS)), lambda n: F.when(F.size("k") >= n, F.array_join(F.slice("k", 1, n), " ")))
+    listed = docs.select(T.normalized_tokens("text").alias("k")).select(F.explode(opening).alias("entry"))
+    found = phrases.phrase_occurrences(docs, phrases.phrase_lexicon(listed, "entry"), ["doc_id"])
+    return found.withColumn("start", F.col("start").cast("bigint"))
+
+
 def _gender_scores(spark, sf_dir, lexicon=X.WORD_LEXICON):
     docs = gender.with_gender_evidence(documents(spark, sf_dir), lexicon)
     return gender.gender_scores(docs, LABEL, key_cols=["doc_id"])
@@ -486,6 +519,19 @@ def row_keys(spark, sf_dir):
     )
 
 
+@query
+def largest_label_texts(spark, sf_dir):
+    """Documents of the most frequent label, from a table in folders by label: which one it is shows
+    when the query runs, and the others' folders are not read."""
+    folder = scratch_path(spark, "by-label")
+    writers.write_parquet(documents(spark, sf_dir), folder, partition_by=LABEL)
+    table = spark.read.parquet(folder)
+    sizes = materialize(table.groupBy(LABEL).count(), "label-sizes")
+    rank = F.row_number().over(Window.orderBy(F.desc("count"), F.asc_nulls_first(LABEL)))
+    wanted = materialize(sizes.withColumn("rank", rank), "label-ranks").where("rank = 1")
+    return read_labels(table, wanted, LABEL).select("doc_id", LABEL, "text")
+
+
 def _sunk(spark, sf_dir, write, read):
     path = scratch_path(spark, write.__name__)
     write(documents(spark, sf_dir).select("doc_id", "lang", F.nullif("lang", F.lit("fr")).alias("not_fr")), path)
@@ -516,6 +562,27 @@ def sink_json_report(spark, sf_dir):
     return spark.read.text(path).select(row).select("r.lang", F.col("r.count").alias("n"))
 
 
+def _hard_cells(spark, sf_dir):
+    """Texts with quotes, commas and line ends; every fifth is empty, every seventh null."""
+    hard = F.concat(F.lit('"a", '), "text", F.lit('\n\\"b" '))
+    cell = F.when(F.col("doc_id") % 7 == 0, F.lit(None)).when(F.col("doc_id") % 5 == 0, F.lit("")).otherwise(hard)
+    return documents(spark, sf_dir).select("doc_id", cell.alias("cell"))
+
+
+@query
+def sink_csv_texts(spark, sf_dir):
+    path = scratch_path(spark, "csv-texts")
+    writers.write_csv(_hard_cells(spark, sf_dir), path)
+    return writers.read_csv(spark, path, "doc_id bigint, cell string")
+
+
+@query
+def sink_json_texts(spark, sf_dir):
+    path = scratch_path(spark, "json-texts")
+    writers.write_json_lines(_hard_cells(spark, sf_dir), path)
+    return spark.read.schema("doc_id bigint, cell string").json(path)
+
+
 @query
 def rule_group(spark, sf_dir):
     """A rule that counts only the matches in which one group of its pattern holds something."""

@@ -18,3 +18,11 @@ def read_table(
     if spread_by and df.rdd.getNumPartitions() == 1:
         df = df.repartition(spark.sparkContext.defaultParallelism, spread_by)
     return df
+
+
+def read_labels(table: DataFrame, wanted: DataFrame, label_col: str) -> DataFrame:
+    """Rows of a table that lies in folders by ``label_col``, for the labels of another frame, once each.
+
+    The labels are broadcast if Spark finds their frame small; with a filter on it, the folders to read
+    are picked when it has been worked out. Rows without a label are never wanted."""
+    return table.join(wanted.select(label_col), label_col, "left_semi")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -11,8 +11,31 @@ def write_parquet(df: DataFrame, path: str, partition_by: str | None = None) ->
     (writer.partitionBy(partition_by) if partition_by else writer).parquet(path)
 
 
+#: Quotes are doubled, as other readers expect; an empty cell is quoted and a null is not. Cells keep
+#: their blanks and line ends.
+_CSV = {
+    "header": "true",
+    "quote": '"',
+    "escape": '"',
+    "emptyValue": '""',
+    "nullValue": "",
+    "ignoreLeadingWhiteSpace": "false",
+    "ignoreTrailingWhiteSpace": "false",
+}
+
+_EMPTY = "\0"
+
+
 def write_csv(df: DataFrame, path: str) -> None:
-    df.write.mode("overwrite").csv(path, header=True)
+    df.write.mode("overwrite").options(**_CSV).csv(path)
+
+
+def read_csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """What ``write_csv`` wrote, cells of several lines included. Spark's reader takes an empty cell for
+    a null where both are written alike, so empty cells get a mark first."""
+    df = spark.read.schema(schema).options(**{**_CSV, "emptyValue": _EMPTY, "multiLine": "true"}).csv(path)
+    texts = [f.name for f in df.schema if f.dataType.simpleString() == "string"]
+    return df.withColumns({c: F.when(F.col(c) == _EMPTY, F.lit("")).otherwise(F.col(c)) for c in texts})
 
 
 def write_json_lines(df: DataFrame, path: str) -> None:

@@ -51,21 +51,23 @@ def test_near_duplicates(corpus, parts):
     dup = {s: n for s, n in sizes.items() if n > 1}
     cut = dedup.with_leading_shingle(df, LATIN, k)
     for digest in (False, True):
-        counts = dedup.shingle_label_counts(
+        groups = dedup.shingle_groups(
             dedup.distinct_documents(cut, order_by="id", digest=digest)
         )
-        summary = dedup.near_dup_summary(counts).first()
+        summary = dedup.near_dup_summary(groups).first()
         assert summary.eligible_documents == len(eligible)
         assert summary.near_duplicate_clusters == len(dup)
         assert summary.near_duplicate_documents == sum(dup.values()) - len(dup)
         assert summary.near_duplicate_rate == pytest.approx(
             summary.near_duplicate_documents / len(eligible)
         )
-        by = {r.predicted_domain: r.near_dup_doc_count for r in dedup.near_dup_by_domain(counts).collect()}
+        whole = dedup.dup_summary(groups).first()
+        assert (whole.documents_before, whole.documents_after) == (len(rows), len(survivors(rows)))
+        by = {r.predicted_domain: r.near_dup_doc_count for r in dedup.near_dup_by_domain(groups).collect()}
         assert by == Counter(lab for _, s, lab in eligible if s in dup)
         assert sum(by.values()) - len(dup) == summary.near_duplicate_documents
-    counts = dedup.shingle_label_counts(dedup.distinct_documents(cut, order_by="id"))
-    clusters = dedup.near_dup_clusters(counts)
+    groups = dedup.shingle_groups(dedup.distinct_documents(cut, order_by="id"))
+    clusters = dedup.near_dup_clusters(groups)
     assert {r.shingle: r.cluster_size for r in clusters.collect()} == dup
     labelled = Counter(s for _, s, lab in eligible if s in dup and lab)
     assert {r.shingle: r.doc_count for r in clusters.collect() if r.doc_count} == labelled
@@ -91,12 +93,12 @@ def test_texts_of_digests_and_members_of_many_clusters(corpus):
     rows, df = corpus
     cut = dedup.with_leading_shingle(df, LATIN, 4)
     sizes = Counter(s for _, s, _ in shingles(rows, 4))
-    counts = dedup.shingle_label_counts(dedup.distinct_documents(cut, order_by="id", digest=True))
-    top = dedup.top_dup_clusters(dedup.near_dup_clusters(counts), 100)
+    groups = dedup.shingle_groups(dedup.distinct_documents(cut, order_by="id", digest=True))
+    top = dedup.top_dup_clusters(dedup.near_dup_clusters(groups), 100)
     got = {r.shingle: r.cluster_size for r in dedup.with_shingle_text(top, cut).collect()}
     assert got == {s: n for s, n in sizes.items() if n > 1}
-    counts = dedup.shingle_label_counts(dedup.distinct_documents(cut, order_by="id"))
-    members = dedup.near_dup_members(cut.select("id", "shingle"), dedup.near_dup_clusters(counts))
+    groups = dedup.shingle_groups(dedup.distinct_documents(cut, order_by="id"))
+    members = dedup.near_dup_members(cut.select("id", "shingle"), dedup.near_dup_clusters(groups))
     want = [i for i, text, _ in rows for s in [" ".join(text.split()[:4])] if sizes.get(s, 0) > 1]
     assert sorted(r.id for r in members.collect()) == want
 
@@ -105,8 +107,8 @@ def test_members_of_one_large_cluster(spark):
     rows = [(i, "same first words " + str(i) if i % 2 else f"other {i} words {i}") for i in range(400)]
     df = dedup.with_leading_shingle(spark.createDataFrame(rows, "id int, text string"), LATIN, 3)
     df = df.withColumn("label", F.lit("x")).withColumn("sha256", F.sha2("text", 256))
-    counts = dedup.shingle_label_counts(dedup.distinct_documents(df, "label", order_by="id"), "label")
-    members = dedup.near_dup_members(df.select("id", "shingle"), dedup.near_dup_clusters(counts, "label"))
+    groups = dedup.shingle_groups(dedup.distinct_documents(df, "label", order_by="id"), "label")
+    members = dedup.near_dup_members(df.select("id", "shingle"), dedup.near_dup_clusters(groups))
     assert sorted(r.id for r in members.collect()) == list(range(1, 400, 2))
 
 
@@ -137,8 +139,9 @@ def test_vocabulary(spark):
     top = sorted(tuple(r) for r in vocab.top_tokens(counts, 1).collect())
     # equal counts: the smaller token
     assert top == [("p", "aa", 2, 1), ("q", "aa", 1, 1)]
-    approx = {r.predicted_domain: r.unique_tokens for r in vocab.type_token_ratio_approx(tokens).collect()}
-    assert approx == {"p": 2, "q": 2}
+    sketches = vocab.token_sketches(tokens)
+    merged = vocab.type_token_ratio_sketched(sketches.unionByName(vocab.token_sketches(tokens.where("token = 'aa'"))))
+    assert {r.predicted_domain: tuple(r)[1:3] for r in merged.collect()} == {"p": (6, 2), "q": (3, 2)}
     # the same as joining totals and distinct counts
     totals = tokens.groupBy("predicted_domain").count()
     unique = tokens.distinct().groupBy("predicted_domain").agg(F.count("*").alias("u"))
@@ -146,6 +149,21 @@ def test_vocabulary(spark):
     assert joined == {d: v[:2] for d, v in ttr.items()}
 
 
+def test_merged_sketches_keep_their_bound(spark):
+    """Three runs with common tokens; a label that only one run has."""
+    runs = [
+        spark.range(lo, hi).select(F.lit("p").alias("d"), F.concat(F.lit("w"), "id").alias("token"))
+        for lo, hi in ((0, 60_000), (40_000, 100_000), (0, 1))
+    ]
+    runs[2] = runs[2].withColumn("d", F.lit("q"))
+    tables = [vocab.token_sketches(r, "d") for r in runs]
+    merged = vocab.type_token_ratio_sketched(tables[0].unionByName(tables[1]).unionByName(tables[2]), "d")
+    got = {r.d: (r.total_tokens, r.unique_tokens) for r in merged.collect()}
+    assert got["q"] == (1, 1) and got["p"][0] == 120_000
+    assert abs(got["p"][1] - 100_000) <= 100_000 * vocab.SKETCH_BOUND
+    assert vocab.type_token_ratio_sketched(tables[0].limit(0), "d").count() == 0
+
+
 def test_statistics(spark):
     rows = [("p", 1, 1, 10, 0.0), ("p", 3, 1, 20, 0.5), ("p", 8, 4, 30, 1.0), (None, 5, 2, 7, 0.0)]
     df = spark.createDataFrame(

@@ -160,3 +160,26 @@ def test_small_tables_are_spread(spark, tmp_path):
     assert spread.rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
     spark.range(100).repartition(2).write.parquet(path + "2")
     assert tables.read_table(spark, path + "2", spread_by="id").rdd.getNumPartitions() == 2
+
+
+def test_folders_of_other_labels_are_not_read(spark, tmp_path):
+    """Which label is wanted is known when the query runs; the scan reads that folder."""
+    from corpuscope.sources.tables import read_labels
+
+    rows = [(i, "abcd"[i % 4] if i else None, f"text {i}") for i in range(80)]
+    path = str(tmp_path / "by-label")
+    writers.write_parquet(spark.createDataFrame(rows, "id int, label string, text string"), path, partition_by="label")
+    ranks = str(tmp_path / "ranks")
+    spark.createDataFrame([("a", 2), ("b", 1), ("c", 3), (None, 1)], "label string, rank int").write.parquet(ranks)
+    out = read_labels(spark.read.parquet(path), spark.read.parquet(ranks).where("rank = 1"), "label")
+    assert sorted(r.id for r in out.collect()) == [i for i, label, _ in rows if label == "b"]
+    assert "dynamicpruning" in out._jdf.queryExecution().toString()
+
+
+def test_csv_cells_with_quotes_and_line_ends(spark, tmp_path):
+    cells = ['a "quoted" word', "two\nlines", "comma, semicolon;", "", None, "back\\slash", ' spaces ', '"', "\r\n", '\\"', "é\u2028"]
+    df = spark.createDataFrame([(i, c) for i, c in enumerate(cells)], "id int, cell string")
+    path = str(tmp_path / "hard")
+    writers.write_csv(df, path)
+    got = {r.id: r.cell for r in writers.read_csv(spark, path, "id int, cell string").collect()}
+    assert got == dict(enumerate(cells))
