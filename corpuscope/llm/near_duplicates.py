@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpuscope.llm.graph import components
-from corpuscope.llm.textarrays import chunks, lists, mix, split_words, text_buffer
+from corpuscope.llm.textarrays import chunks, giving_back, lists, mix, split_words, text_buffer
 from corpuscope.session import materialize
 
 #: Retained values of a set, and the share of them that two linked sets have in common at least: with
@@ -146,7 +146,7 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.75, width: int = 5, k:
     null, and such a row is kept then only. An empty table gives no rows."""
     spark = docs.sparkSession
     source = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    made = source.mapInArrow(_sketcher(k, width), "doc_id bigint, n bigint, key binary, values array<bigint>")
+    made = source.mapInArrow(giving_back(_sketcher(k, width)), "doc_id bigint, n bigint, key binary, values array<bigint>")
     rows = materialize(made.withColumn("row", F.monotonically_increasing_id()), "sketches")
     nodes = rows.where("n > 0").groupBy("key").agg(F.min("row").alias("node"))
     sketches = rows.join(nodes.select(F.col("node").alias("row")), "row", "left_semi")
@@ -299,7 +299,7 @@ def _full_sets(source: DataFrame, candidates: DataFrame, nodes: DataFrame, width
     slot = F.pmod(F.xxhash64("doc_id"), F.lit(bits))
     bitmap = spark.sparkContext.broadcast(_positions(candidates.select((slot + 1).alias("slot")), bits))
     named = source.select("text", slot.alias("slot"))
-    made = named.mapInArrow(_sketcher(0, width, bitmap, bits), "key binary, values array<bigint>")
+    made = named.mapInArrow(giving_back(_sketcher(0, width, bitmap, bits)), "key binary, values array<bigint>")
     keys = nodes.join(candidates.select("node"), "node", "left_semi")
     made = made.join(keys, "key")
     return materialize(made.dropDuplicates(["node"]).select("node", "values"), "sets")

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpuscope.llm.bpe import batch_encoder
-from corpuscope.llm.textarrays import chunks, mix
+from corpuscope.llm.textarrays import chunks, giving_back, mix
 from corpuscope.session import materialize
 
 WINDOW = 1024
@@ -213,12 +213,12 @@ def pack(
     little-endian). A null text is empty and still has its end; repeated rows are packed each, a null
     ``doc_id`` stays null; an empty table gives no rows. Ties go by the order of the shard."""
     source = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    cut = source.mapInArrow(_cutter(tokenizer, window, end_id, with_ids), _PIECES + ", sketch bigint, ids binary")
+    cut = source.mapInArrow(giving_back(_cutter(tokenizer, window, end_id, with_ids)), _PIECES + ", sketch bigint, ids binary")
     cut = materialize(cut.withColumn("row", F.monotonically_increasing_id()), "pieces")
     ids = ["ids"] if with_ids else []
     whole = cut.where("sketch IS NULL").withColumns({"sequence_id": F.col("row") * 2, "offset": F.lit(0).cast("bigint")})
     left = cut.where("sketch IS NOT NULL").repartitionByRange("sketch", "row").sortWithinPartitions("sketch", "row")
-    packed = left.mapInArrow(_packer(window, shard, with_ids), _PIECES + ", window bigint, offset bigint, ids binary")
+    packed = left.mapInArrow(giving_back(_packer(window, shard, with_ids)), _PIECES + ", window bigint, offset bigint, ids binary")
     # Windows count up within a partition, whose number makes them unique.
     packed = packed.withColumn(
         "sequence_id", (F.shiftleft(F.spark_partition_id().cast("bigint"), 33) + F.col("window")) * 2 + 1

@@ -7,7 +7,8 @@ nor the length of one text decides how much memory is needed beyond eight bytes
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+from collections.abc import Callable, Iterator
 from typing import NamedTuple
 
 import numpy as np
@@ -18,6 +19,28 @@ _BASE = 0x9E3779B97F4A7C15 | 1
 _WORD = (1 << 64) - 1
 
 
+def give_back() -> None:
+    """Returns freed memory to the machine. A worker serves many tasks, also of later stages, and what
+    it still held of the earlier ones would count against their limits."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
+def giving_back(task: Callable) -> Callable:
+    """The task of a map over batches, with ``give_back`` at its end."""
+
+    def run(batches: Iterator) -> Iterator:
+        try:
+            yield from task(batches)
+        finally:
+            give_back()
+
+    return run
+
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """Spreads 64-bit values; one to one."""
     x = x ^ (x >> np.uint64(30))

@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpuscope.llm.bpe import ragged
-from corpuscope.llm.textarrays import BLOCK, FOLD, PUNCTUATION, Words, chunks, mix, split_words, text_buffer
+from corpuscope.llm.textarrays import BLOCK, FOLD, PUNCTUATION, Words, chunks, giving_back, mix, split_words, text_buffer
 
 #: Words in a window and between the beginnings of two windows.
 WINDOW, STRIDE = 32, 16
@@ -371,7 +371,7 @@ def train(docs: DataFrame, labels: DataFrame, trainable: Column) -> Params | Non
         made = fit([t for _, t, _ in texts], [y for _, _, y in texts], weight)
         yield pd.DataFrame({"params": [pickle.dumps(made)]})
 
-    rows = sample.repartition(1).mapInPandas(run, "params binary").collect()
+    rows = sample.repartition(1).mapInPandas(giving_back(run), "params binary").collect()
     return pickle.loads(bytes(rows[0].params)) if rows else None
 
 
@@ -393,7 +393,7 @@ def score(docs: DataFrame, params: Params | None, name: str = "score") -> DataFr
                 values = pa.array(score_texts(shared.value, part.column("text")), pa.float64())
                 yield pa.RecordBatch.from_arrays([*part.columns, values], [*part.schema.names, name])
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(giving_back(run), schema)
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, trainable: Column) -> DataFrame:
