@@ -203,9 +203,10 @@ def ttr_sketched(spark, sf_dir):
         rows = vocab.token_rows(docs.where(F.pmod("doc_id", F.lit(2)) == half), X.PROFILE, label_col=LABEL)
         runs.append(materialize(vocab.token_sketches(rows, LABEL), "token-sketches"))
     merged = vocab.type_token_ratio_sketched(runs[0].unionByName(runs[1]), LABEL)
-    exact = vocab.type_token_ratio(_token_counts(spark, sf_dir), LABEL).select(LABEL, F.col("unique_tokens").alias("exact"))
+    exact = vocab.type_token_ratio(_token_counts(spark, sf_dir), LABEL)
+    exact = exact.select(F.col(LABEL).alias("of"), F.col("unique_tokens").alias("exact"))
     off = F.abs(F.col("unique_tokens") - F.col("exact"))
-    return merged.join(exact, LABEL).select(
+    return merged.join(exact, F.col(LABEL).eqNullSafe(F.col("of"))).select(
         LABEL, "total_tokens", (off <= F.col("exact") * vocab.SKETCH_BOUND).alias("within_bound")
     )
 
