@@ -21,6 +21,8 @@ from corpuscope.session import materialize
 END = "\r\n"
 #: Records in one archive at most; bounds what a reading task holds.
 RECORDS_PER_FILE = 3000
+#: Tasks that the pages of one payload may be dealt to.
+SALTS = 256
 _DATE = "2020-01-01T00:00:00Z"
 _REVISIT = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 ANCHORS = ("response", "revisit", "resource", "conversion")
@@ -46,6 +48,15 @@ def _record(headers: list[tuple[str, Column]], block: Column) -> Column:
     return F.concat(F.concat_ws(END, *lines), F.lit(END * 2), block)
 
 
+def with_first(page: DataFrame) -> DataFrame:
+    """``page`` with ``first_id``, the smallest ``page_id`` with its ``digest``. The pages of one digest
+    are dealt to ``SALTS`` tasks, and the smallest id is sent to those of them that have any."""
+    page = page.withColumn("_salt", F.pmod(F.xxhash64("page_id", "url"), F.lit(SALTS)))
+    first = page.groupBy("digest").agg(F.min("page_id").alias("first_id"), F.collect_set("_salt").alias("_salts"))
+    first = first.select("digest", "first_id", F.explode("_salts").alias("_salt"))
+    return page.join(first, ["digest", "_salt"]).drop("_salt")
+
+
 def capture_records(pages: DataFrame) -> DataFrame:
     """One ``value`` per record of ``pages`` (``page_id``, ``url``, ``html``), three per page.
 
@@ -56,9 +67,8 @@ def capture_records(pages: DataFrame) -> DataFrame:
         # Line ends would end the header.
         F.regexp_replace(F.regexp_replace(F.col("url").cast("string"), "\r", "%0D"), "\n", "%0A").alias("url"),
         F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"),
-    ).withColumn("digest", sha1_base32(F.col("html")))
-    first = page.groupBy("digest").agg(F.min("page_id").alias("first_id"))
-    page = page.join(first, "digest")
+    )
+    page = with_first(page.withColumn("digest", sha1_base32(F.col("html"))))
     revisits = F.col("first_id").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first_id"))
     kind = F.when(revisits, F.lit("revisit")).otherwise(F.lit("response"))
     name = lambda k, i: _uuid(F.lit(k) if isinstance(k, str) else k, i, F.col("digest"))

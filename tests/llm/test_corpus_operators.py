@@ -207,6 +207,19 @@ def test_warc_hard_payloads(spark, tmp_path):
     assert warc.round_trip(frame.where("false"), str(tmp_path / "none")).count() == 0
 
 
+def test_warc_payload_of_most_pages(spark, tmp_path):
+    pages = {i: "an error" if i % 5 < 3 else f"page {i}" for i in range(4000)}
+    frame = spark.createDataFrame([(i, f"http://h/{i}", b) for i, b in pages.items()], "page_id bigint, url string, html string")
+    check_captures(warc.round_trip(frame.repartition(4), str(tmp_path / "hot")).collect(), pages)
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        placed = warc.with_first(frame.withColumn("digest", warc.sha1_base32(F.col("html")))).groupBy(F.spark_partition_id()).count()
+        sizes = sorted(r["count"] for r in placed.collect())
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    assert sum(sizes) == len(pages) and sizes[-1] <= 2 * sizes[len(sizes) // 2]
+
+
 def test_warc_links_in_any_direction(spark):
     rows = [
         ("r1", "response", ["q1"]),  # names its request
