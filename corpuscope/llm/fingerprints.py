@@ -11,6 +11,7 @@ paragraph as short ones; a slice that can't be peeled is tried again with a larg
 
 from __future__ import annotations
 
+import json
 import math
 
 from pyspark.sql import Column, DataFrame, Window
@@ -196,30 +197,54 @@ def fingerprint(keys: Column) -> Column:
     return F.array_join(cells, "-")
 
 
-def with_next(docs: DataFrame, columns: list[str], ids: DataFrame | None = None) -> DataFrame:
+def _key(h: Column) -> Column:
+    return F.struct(F.col("doc_id").alias("i"), h.alias("h"))
+
+
+def ranged(docs: DataFrame, keys: DataFrame | None = None) -> DataFrame:
+    """``docs`` with ``_range``, ``_first`` (whether the row has the smallest key of its range) and
+    ``_before`` (the range before it, the last one for the first). Keys are ``doc_id`` and the text's
+    hash, in ``_h``; null ids come first. ``keys`` may give the two columns of ``docs`` alone, where
+    that is less work than ``docs``.
+
+    Ranges hold about as many keys each, however ids are spread, and ids that many rows share are cut
+    by hash. Their beginnings, ``MAX_RANGES`` pairs of numbers at most, travel with the plan."""
+    keys = (docs if keys is None else keys).select("doc_id", F.xxhash64("text").alias("_h"))
+    n = min(max(keys.count() // RANGE, 1), MAX_RANGES)
+    cut = keys.repartitionByRange(n, "doc_id", "_h").withColumn("_p", F.spark_partition_id())
+    begin = cut.groupBy("_p").agg(F.min(_key(F.col("_h"))).alias("key")).orderBy("_p").collect()
+    firsts = [r["key"].asDict() for r in begin]
+    # Two steps, so that a lookup costs the root of the number of ranges.
+    step = math.isqrt(len(firsts)) + 1
+    tables = [firsts[i : i + step] for i in range(0, len(firsts), step)]
+    known = F.from_json(F.lit(json.dumps(tables)), "array<array<struct<i:bigint,h:bigint>>>")
+    docs = bind(docs.withColumn("_h", F.xxhash64("text")), _k=_key(F.col("_h")))
+    docs = bind(docs, _c=F.greatest(F.size(F.filter(known, lambda t: F.get(t, F.lit(0)) <= F.col("_k"))), F.lit(1)) - 1)
+    docs = bind(docs, _f=F.greatest(F.size(F.filter(F.get(known, F.col("_c")), lambda x: x <= F.col("_k"))), F.lit(1)) - 1)
+    place = F.col("_c") * step + F.col("_f")
+    docs = docs.withColumns(
+        {
+            "_range": place,
+            "_first": F.get(F.get(known, F.col("_c")), F.col("_f")) == F.col("_k"),
+            "_before": F.when(place > 0, place - 1).otherwise(F.lit(max(len(firsts) - 1, 0))),
+        }
+    )
+    return docs.drop("_k", "_c", "_f")
+
+
+def with_next(docs: DataFrame, columns: list[str], keys: DataFrame | None = None) -> DataFrame:
     """``docs`` with ``next_<column>`` of the document with the next larger ``doc_id``; the first's after
-    the last. Null ids come before all others, equal ids in the order of their texts' hashes. ``ids``
-    may give the ``doc_id`` of ``docs`` alone, where that is less work than ``docs``.
-
-    Ids are cut into ranges of equal width; the first document of a range is also sent to the range
-    before it. What is known of ranges, at most ``MAX_RANGES`` rows of three numbers, is broadcast."""
-    ids = docs.select("doc_id") if ids is None else ids
-    whole = ids.agg(F.count(F.lit(1)), F.min("doc_id"), F.max("doc_id")).first()
-    count, low, high = whole[0], whole[1] or 0, whole[2] or 0
-    ranges = min(max(count // RANGE, 1), MAX_RANGES)
-    width = (high - low) // ranges + 1
-    place = F.coalesce(F.floor((F.col("doc_id").cast("double") - F.lit(float(low))) / F.lit(float(width))), F.lit(-1))
-    ranged = docs.withColumn("_range", place.cast("bigint"))
-    firsts = sorted(ids.groupBy(place.cast("bigint").alias("_range")).agg(F.min("doc_id").alias("first")).collect())
-    before = [(r["_range"], r["first"], firsts[i - 1]["_range"]) for i, r in enumerate(firsts)]
-    known = F.broadcast(docs.sparkSession.createDataFrame(before, "_range bigint, _first bigint, _before bigint"))
-    seat = lambda r, guest: F.struct(r.alias("range"), F.lit(guest).alias("guest"))
-    own = seat(F.col("_range"), 0)
-    seats = F.when(F.col("doc_id").eqNullSafe(F.col("_first")), F.array(own, seat(F.col("_before"), 1))).otherwise(F.array(own))
-    sent = ranged.join(known, "_range").select(*docs.columns, F.explode(seats).alias("_seat"))
-    order = Window.partitionBy("_seat.range").orderBy("_seat.guest", "doc_id", F.xxhash64("text"))
+    the last. Null ids come before all others, equal ids in the order of their texts' hashes. ``keys``
+    as for ``ranged``.
+
+    The first document of a range is also sent to the range before it. Rows that repeat both an id and
+    its text stay in one range."""
+    seat = lambda r, guest: F.struct(F.col(r).alias("range"), F.lit(guest).alias("guest"))
+    seats = F.when(F.col("_first"), F.array(seat("_range", 0), seat("_before", 1))).otherwise(F.array(seat("_range", 0)))
+    sent = ranged(docs, keys).select(*docs.columns, "_h", F.explode(seats).alias("_seat"))
+    order = Window.partitionBy("_seat.range").orderBy("_seat.guest", "doc_id", "_h")
     led = sent.withColumns({f"next_{c}": F.lead(c).over(order) for c in columns})
-    return led.where("_seat.guest = 0").drop("_seat")
+    return led.where("_seat.guest = 0").drop("_seat", "_h")
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
@@ -234,7 +259,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
         F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")
     )
     ready = bind(source, keys=digests(F.col("text")))
-    pair = with_next(ready, ["text", "keys"], source.select("doc_id"))
+    pair = with_next(ready, ["text", "keys"], source)
     n = F.length("text")
     half = F.floor(n / 2).cast("int")
     edited = F.concat(F.left("text", n - half), F.left("next_text", half))

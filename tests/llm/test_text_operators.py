@@ -251,3 +251,21 @@ def test_next_document(spark):
     assert got == {i: f"t{j}" for i, j in zip(ids, ids[1:] + ids[:1])}
     single = fingerprints.with_next(docs.where("doc_id = 2"), ["text"]).first()
     assert single.next_text == "t2"
+
+
+def test_ranges_are_even_however_ids_are_spread(spark, monkeypatch):
+    monkeypatch.setattr(fingerprints, "RANGE", 50)
+    spread = [*range(2000), *[10**15 + i for i in range(500)], *[None] * 700, *[7] * 800]
+    rows = [(d, f"t{n}") for n, d in enumerate(spread)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(5)
+    sizes = sorted(r["count"] for r in fingerprints.ranged(docs).groupBy("_range").count().collect())
+    assert sum(sizes) == len(rows) and sizes[-1] <= 3 * sizes[len(sizes) // 2]
+    got = fingerprints.with_next(docs, ["text"]).select("text", "next_text").collect()
+    # One ring through all rows, ids ascending along it.
+    after, ids = {r.text: r.next_text for r in got}, {t: d for d, t in rows}
+    ring = ["t2500"]
+    while len(ring) <= len(rows) and after[ring[-1]] != "t2500":
+        ring.append(after[ring[-1]])
+    assert len(ring) == len(rows) == len(after)
+    turned = [-1 if ids[t] is None else ids[t] for t in ring]
+    assert sum(x > y for x, y in zip(turned, turned[1:] + turned[:1])) == 1
