@@ -2,7 +2,7 @@
 
 Patterns find spans that are certain by form (``strict``) and looser candidates. Labelers vote on
 every span: its form, lists of known values (gazetteers), the words before it and the characters
-around it. Expectation-maximisation estimates from how the votes agree how reliable each labeler is
+around it. Besides personal data they find secrets: passwords, tokens and keys. Expectation-maximisation estimates from how the votes agree how reliable each labeler is
 (one confusion table per labeler and kind), and its posteriors train a logistic regression that
 decides on the loose spans. Spans and votes are column expressions; what reaches the driver is the
 number of spans per combination of votes and features, a table whose size has a fixed bound.
@@ -19,7 +19,9 @@ from pyspark.sql import functions as F
 
 from corpuscope.functions.rows import bind
 
-KINDS = ("email", "ip", "card", "phone")
+BASE_KINDS = ("email", "ip", "card", "phone")
+#: Passwords, tokens and keys have no form that is certain; all their spans are loose.
+KINDS = (*BASE_KINDS, "secret")
 #: The patterns of the spans that are always reported. They match what the plain forms match, from the
 #: left and without overlap, but take runs of characters whole, so that no text makes them slow.
 STRICT = {
@@ -28,11 +30,21 @@ STRICT = {
     "card": r"[0-9](?:[\x20-]?[0-9])++",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
+#: Gazetteers of secrets: how issued keys begin, and names that secrets are assigned to.
+KEY_BEGINS = "AKIA|ASIA|gh[oprsu]_|github_pat_|glpat-|sk-|[rs]k_live_|xox[abprs]-|AIza|eyJ"
+SECRET_NAMES = "password|passwd|passwort|pwd|secret|token|api[_-]?key|access[_-]?key|private[_-]?key|credential"
+ASSIGNED = rf"(?i:{SECRET_NAMES})[\"']{{0,1}}\x20{{0,2}}[=:]\x20{{0,2}}[\"']{{0,1}}"
 LOOSE = {
     "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++\x20?(?:@|[(\[]at[)\]])\x20?[A-Za-z0-9-]++(?:\x20?(?:\.|[(\[]dot[)\]])\x20?[A-Za-z0-9-]++)++",
     "ip": r"(?<![0-9.])[0-9]{1,3}+(?:\[\.\][0-9]{1,3}+){3}",
     "card": r"(?<![0-9])[0-9]{4}(?:[\x20-][0-9]{4}){3}(?![0-9])",
     "phone": r"(?<![0-9+(])\(?[0-9]{3}\)?[\x20.-][0-9]{3}[.-][0-9]{4}(?![0-9])",
+    # Keys by their beginnings; what is assigned to a telling name, with a digit in it; bare runs of hex digits.
+    "secret": (
+        rf"(?<![A-Za-z0-9_-])(?:{KEY_BEGINS})[A-Za-z0-9_-]{{16,}}+(?:\.[A-Za-z0-9_-]++)*+"
+        rf"|(?<=[=:\"'\x20])(?<={ASSIGNED})(?=[^\s\"',;]{{0,80}}[0-9])[^\s\"',;<>=:]{{8,}}+"
+        r"|(?<![A-Za-z0-9])[0-9a-f]{32,64}+(?![A-Za-z0-9])"
+    ),
 }
 #: Cheap signs without which a text has no such span.
 SIGNS = {
@@ -40,6 +52,7 @@ SIGNS = {
     "ip": r"[0-9]\[?\.",
     "card": r"[0-9][\x20-]?[0-9]",
     "phone": r"\+[0-9]|[0-9][.-][0-9]{4}",
+    "secret": rf"(?<![A-Za-z0-9_-])(?:{KEY_BEGINS})|(?i:{SECRET_NAMES})[\"']?\x20{{0,2}}[=:]|[0-9a-f]{{32}}",
 }
 #: Gazetteers: endings of names of hosts, and beginnings of card numbers by issuer.
 TOP_LEVEL = "com|org|net|edu|gov|mil|int|info|biz|name|io|eu|uk|us|ca|au|de|fr|es|it|nl|be|ch|at|pl|pt|se|no|dk|fi|ie|br|mx|ar|jp|cn|in|ru|za"
@@ -50,7 +63,9 @@ CONTEXT = {
     "ip": r"\bip\b|host|server|login|address|adresse|client",
     "card": r"card|visa|master|amex|credit|karte|tarjeta|carte|pay",
     "phone": r"phone|tel|call|mobile|cell|fax|ruf|handy|llam|appel|contact|kontakt",
+    "secret": rf"{SECRET_NAMES}|auth|login|bearer|signature",
 }
+AGAINST_SECRET = r"\bsha|md5|hash|commit|checksum|digest|revision|uuid"
 AGAINST = r"version|\bv\.?$|isbn|order|invoice|serial|section|chapter|page|figure|token|key|hash"
 LABELERS = ("form", "gazetteer", "context", "edge")
 FEATURES = ("strict", "separated", "plus", "long", "few_digits", "context", "clean_edge", "listed")
@@ -128,14 +143,17 @@ def _voted(kind: str, strict: bool, x: Column) -> Column:
         form = F.when(luhn(digits), 1).otherwise(0)
     if kind == "ip" and not strict:
         form = F.when(is_valid("ip", F.regexp_replace(m, r"[\[\]]", "")), 1).otherwise(0)
+    if kind == "secret":
+        form = F.when(m.rlike("[0-9]") & m.rlike("[A-Za-z]"), 1).otherwise(0)
     known = {
         "email": m.rlike(rf"(?i)[.)\]]\x20?(?:{TOP_LEVEL})\z"),
         "ip": ~F.regexp_replace(m, r"[\[\]]", "").rlike(rf"\A(?:{NOT_PUBLIC_IP})(?:\.|\z)"),
         "card": digits.rlike(rf"\A(?:{ISSUERS})"),
         "phone": digits.rlike(r"\A(?:1?[2-9][0-9]{9}|[2-9][0-9]{10,14})\z"),
+        "secret": m.rlike(rf"\A(?:{KEY_BEGINS})") | x["before"].rlike(rf"{ASSIGNED}\z"),
     }[kind]
     listed = F.when(known, 1).otherwise(0)
-    context = F.when(near.rlike(CONTEXT[kind]), 1).when(near.rlike(AGAINST), 0).otherwise(_ABSTAIN)
+    context = F.when(near.rlike(CONTEXT[kind]), 1).when(near.rlike(AGAINST_SECRET if kind == "secret" else AGAINST), 0).otherwise(_ABSTAIN)
     touching = F.right(x["before"], F.lit(1)).rlike(r"[\p{L}\p{N}_]") | x["after"].rlike(r"[\p{L}\p{N}_]")
     edge = F.when(touching, 0).otherwise(1)
     # A digit per labeler, and a bit per feature.
@@ -167,7 +185,8 @@ def candidates(docs: DataFrame) -> DataFrame:
     df = bind(docs, _t=F.coalesce(F.col("text").cast("string"), F.lit("")))
     t = F.col("_t")
     for kind in KINDS:
-        df = _found(df, f"_s_{kind}", t, STRICT[kind], SIGNS[kind])
+        if kind in STRICT:
+            df = _found(df, f"_s_{kind}", t, STRICT[kind], SIGNS[kind])
         df = _found(df, f"_l_{kind}", t, LOOSE[kind], SIGNS[kind])
 
     def valid(kind: str) -> Column:
@@ -176,12 +195,12 @@ def candidates(docs: DataFrame) -> DataFrame:
     def voted(kind: str, strict: bool, spans: Column) -> Column:
         return F.transform(spans, lambda x: _voted(kind, strict, x))
 
-    base = [voted(k, True, valid(k)) for k in KINDS]
+    base = [voted(k, True, valid(k)) for k in BASE_KINDS]
     df = bind(df, _base=F.sort_array(F.concat(*base)))
     clear = lambda x: ~F.exists("_base", lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"]))
     loose = [voted(k, False, F.filter(f"_l_{k}", clear)) for k in KINDS]
     df = bind(df, _loose=F.sort_array(F.concat(*loose)))
-    return df.drop("_t", *[f"_{p}_{k}" for p in "sl" for k in KINDS])
+    return df.drop("_t", *[f"_{p}_{k}" for p in "sl" for k in KINDS if p == "l" or k in STRICT])
 
 
 class Model(NamedTuple):
@@ -247,7 +266,7 @@ def fit(spans: DataFrame) -> Model:
     """Estimates reliabilities and trains the classifier of each kind on all spans of a
     ``candidates`` frame. A kind without spans has a classifier that refuses."""
     each = spans.select(F.explode(F.concat("_base", "_loose")).alias("s"))
-    # At most 4 kinds x 81 votes x 256 features.
+    # At most 5 kinds x 81 votes x 256 features.
     counted = each.groupBy("s.k", "s.votes", "s.features").count().collect()
     weights, reliability = [], {}
     for k, kind in enumerate(KINDS):

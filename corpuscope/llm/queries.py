@@ -33,9 +33,11 @@ def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.find(_table(spark, sf_dir, "documents", "doc_id", "text"))
     return found.select(
         "doc_id",
-        *[pii.count_of(k, F.col("base_spans")).alias(f"n_{k}") for k in pii.KINDS],
+        *[pii.count_of(k, F.col("base_spans")).alias(f"n_{k}") for k in pii.BASE_KINDS],
         F.sha2(pii.spelled(F.col("base_spans")).cast("binary"), 256).alias("base_sha256"),
         pii.spelled(F.col("spans")).alias("spans"),
+        pii.count_of("secret", F.col("spans")).alias("n_secret"),
+        F.size("spans").cast("bigint").alias("n_spans"),
     )
 
 

@@ -1,6 +1,7 @@
 """Operators inside one document, against plain restatements."""
 
 import hashlib
+import random
 import re
 from collections import Counter
 
@@ -162,6 +163,34 @@ def test_loose_spans_are_decided(spark):
     assert all(not found[i].spans for i, _ in odd)
 
 
+def test_secrets_are_found(spark):
+    rng = random.Random(5)
+    word = lambda alphabet, n: "".join(rng.choice(alphabet) for _ in range(n))
+    made, rows = {}, []
+    upper, hexed, any_ = "ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", "0123456789abcdef", "abcdefghijkABCDEFGH0123456789"
+    forms = [
+        ("the {} here", lambda: "AKIA" + word(upper, 16)),
+        ("as password={} was", lambda: "a1" + word(hexed, 16)),
+        ('with token = "{}" in', lambda: word(hexed, 40)),
+        ("see api_key: '{}'.", lambda: "k9" + word(any_, 22)),
+        ("use ghp_{} now", lambda: word(any_, 36)),
+    ]
+    for i in range(200):
+        frame, make = forms[i % len(forms)]
+        value = make()
+        text = "é😀 Some words before, " + frame.format(value) + " and some behind."
+        value = ("ghp_" if "ghp_" in text else "") + value
+        made[i] = (text.index(value), text.index(value) + len(value))
+        rows.append((i, text))
+    clean = ["no token: here", "the secret of 1234 things", f"commit sha {word(hexed, 40)}", "password = unknown", f"sha256 checksum {word(hexed, 64)}"]
+    rows += [(1000 + i, clean[i % len(clean)]) for i in range(100)]
+    got = {r.doc_id: r for r in pii.find(spark.createDataFrame(rows, "doc_id int, text string")).collect()}
+    secret = pii.KINDS.index("secret")
+    assert all((made[i][0], secret, made[i][1]) in [tuple(x) for x in got[i].spans] for i in made)
+    assert not any(x.k == secret for i in got if i >= 1000 for x in got[i].spans)
+    assert not any(r.base_spans for r in got.values())
+
+
 def test_redaction(spark):
     text = "😀 write a.b@c.org, +1 (555) 123-4567 from 10.0.0.1."
     docs = spark.createDataFrame([(1, text, "x"), (2, None, "y"), (3, "none", "z")], "doc_id int, text string, spans string")
