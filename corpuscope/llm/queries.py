@@ -69,13 +69,15 @@ def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     ranks = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
     docs = _table(spark, sf_dir, "documents", "doc_id", "text")
-    coded = byte_bpe.decode(byte_bpe.encode(docs, ranks, offsets=False), ranks, text=False)
-    listed = F.array_join(F.col("ids").cast("array<string>"), ",")
+    coded = byte_bpe.decode(byte_bpe.encode(docs, ranks), ranks)
+    listed = lambda c: F.array_join(F.col(c).cast("array<string>"), ",")
     return coded.select(
         "doc_id",
         F.size("ids").cast("bigint").alias("n_tokens"),
-        F.sha2(listed.cast("binary"), 256).alias("ids_sha256"),
+        F.sha2(listed("ids").cast("binary"), 256).alias("ids_sha256"),
         F.sha2("bytes", 256).alias("decoded_sha256"),
+        F.sha2(listed("starts").cast("binary"), 256).alias("starts_sha256"),
+        F.length("text").cast("bigint").alias("n_chars"),
     )
 
 

@@ -75,6 +75,7 @@ def test_bpe_query(spark, tables, texts, reference):
         assert r.n_tokens == len(ids)
         assert r.ids_sha256 == hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest()
         assert r.decoded_sha256 == hashlib.sha256(texts[r.doc_id].encode()).hexdigest()
+        assert r.n_chars == len(texts[r.doc_id])
 
 
 def test_offsets(spark):
