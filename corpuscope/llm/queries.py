@@ -90,18 +90,23 @@ def _crc(divisor: int):
     return F.crc32(F.col("doc_id").cast("string").cast("binary")) % divisor
 
 
+def _held_out(divisor: int, remainder: int):
+    """A null id has no remainder, so it is not held out; nothing is learned from it either."""
+    return F.coalesce(_crc(divisor) == remainder, F.lit(False)).alias("held_out")
+
+
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents", "doc_id", "text", "lang")
     model = language_id.fit(docs, _crc(4) != 2)
     found = language_id.identify(docs.select("doc_id", "text"), model)
-    return found.select("doc_id", (_crc(4) == 2).alias("held_out"), "lang_pred", "score")
+    return found.select("doc_id", _held_out(4, 2), "lang_pred", "score")
 
 
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents", "doc_id", "text")
     labels = _table(spark, sf_dir, "labels", "doc_id", "toxic")
     scored = toxicity.toxicity(docs, labels, _crc(5) != 0)
-    return scored.select("doc_id", (_crc(5) == 0).alias("held_out"), "score", "predicted")
+    return scored.select("doc_id", _held_out(5, 0), "score", "predicted")
 
 
 def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
