@@ -29,19 +29,22 @@ MAX_WEIGHTS = 1 << 25
 #: and 2**43 of summed likelihood, still fit.
 _UNIT, _LOSS_UNIT = float(1 << 30), float(1 << 20)
 _TINY = 1e-100
+#: Documents inferred at once have at most so many weights (2 MB), unless one document has more; their
+#: numbers of terms are multiples of the second number.
+GROUP, FILL = 1 << 18, 16
 
 
 def digamma(x: np.ndarray) -> np.ndarray:
     """The derivative of the logarithm of the gamma function, for positive numbers."""
-    x = np.array(x, dtype=np.float64)
-    out = np.zeros_like(x)
-    for _ in range(10):  # up to where the series is exact to double precision
-        small = x < 10
-        out[small] -= 1 / x[small]
-        x[small] += 1
+    x = np.asarray(x, dtype=np.float64)
+    # Ten steps up, to where the series is exact to double precision; the first with the last of them,
+    # the second with the last but one and so on have denominators that differ by constants.
+    ends = x * (x + 9)
+    steps = (2 * x + 9) * (1 / ends + 1 / (ends + 8) + 1 / (ends + 14) + 1 / (ends + 18) + 1 / (ends + 20))
+    x = x + 10
     y = 1 / (x * x)
     series = y * (1 / 12 - y * (1 / 120 - y * (1 / 252 - y * (1 / 240 - y * (1 / 132)))))
-    return out + np.log(x) - 0.5 / x - series
+    return np.log(x) - 0.5 / x - series - steps
 
 
 def log_gamma(x: np.ndarray) -> np.ndarray:
@@ -65,34 +68,55 @@ def expected_log(weights: np.ndarray) -> np.ndarray:
     return digamma(weights) - digamma(weights.sum(axis=0))
 
 
+def _shares(gamma: np.ndarray) -> np.ndarray:
+    return np.exp(digamma(gamma) - digamma(gamma.sum(axis=1, keepdims=True)))
+
+
 def infer(beta: np.ndarray, counts: np.ndarray, alpha: float, steps: int = 100, close: float = 1e-3):
-    """Topics of one document: its weights per topic, their exponential expected logarithms and the
-    share of every term. ``beta`` has the document's terms only, ``counts`` how often it has each."""
-    k = beta.shape[1]
-    gamma = np.ones(k)
-    theta = np.exp(digamma(gamma) - digamma(gamma.sum()))
-    norm = beta @ theta + _TINY
-    for _ in range(steps):
+    """Topics of documents: their weights per topic, their exponential expected logarithms and the share
+    of every term. ``beta`` is ``(documents, terms, k)`` and has each document's terms only, ``counts``
+    how often it has each, none for terms that fill it up to the common number.
+
+    Every document has products of its own and stops by itself, so its numbers are the same alone and
+    among others."""
+    n, terms, k = beta.shape
+    out = np.empty((n, k)), np.empty((n, k)), np.empty((n, terms))
+    at, going = np.arange(n), np.ones(n, dtype=bool)
+    gamma = np.ones((n, k))
+    theta = _shares(gamma)
+    norm = np.matmul(beta, theta[:, :, None])[:, :, 0] + _TINY
+    for step in range(steps):
         last = gamma
-        gamma = alpha + theta * ((counts / norm) @ beta)
-        theta = np.exp(digamma(gamma) - digamma(gamma.sum()))
-        norm = beta @ theta + _TINY
-        if np.abs(gamma - last).mean() < close:
+        gamma = alpha + theta * np.matmul((counts / norm)[:, None, :], beta)[:, 0, :]
+        theta = _shares(gamma)
+        norm = np.matmul(beta, theta[:, :, None])[:, :, 0] + _TINY
+        ends = going & ((np.abs(gamma - last).mean(axis=1) < close) | (step == steps - 1))
+        if not ends.any():
+            continue
+        for kept, found in zip(out, (gamma, theta, norm)):
+            kept[at[ends]] = found[ends]
+        going &= ~ends
+        left = int(going.sum())
+        if not left:
             break
-    return gamma, theta, norm
+        if 2 * left <= len(going):  # the others are done, and nothing is worked out for them any more
+            at, gamma, theta, norm, beta, counts = (x[going] for x in (at, gamma, theta, norm, beta, counts))
+            going = np.ones(left, dtype=bool)
+    return out
 
 
 def contribution(beta: np.ndarray, counts: np.ndarray, theta: np.ndarray, norm: np.ndarray) -> np.ndarray:
-    """How much of each term's count goes to each topic, in whole units."""
-    return np.rint(beta * ((counts / norm)[:, None] * theta) * _UNIT).astype(np.int64)
+    """How much of each term's count goes to each topic, in whole units, per document."""
+    return np.rint(beta * ((counts / norm)[:, :, None] * theta[:, None, :]) * _UNIT).astype(np.int64)
 
 
-def document_bound(counts: np.ndarray, gamma: np.ndarray, norm: np.ndarray, alpha: float) -> float:
-    """What a document adds to the bound of the likelihood."""
-    k = len(gamma)
-    logs = digamma(gamma) - digamma(gamma.sum())
-    prior = ((alpha - gamma) * logs + log_gamma(gamma)).sum() - k * math.lgamma(alpha)
-    return float(counts @ np.log(norm)) + float(prior) + math.lgamma(k * alpha) - math.lgamma(float(gamma.sum()))
+def document_bound(counts: np.ndarray, gamma: np.ndarray, norm: np.ndarray, alpha: float) -> np.ndarray:
+    """What each document adds to the bound of the likelihood."""
+    k = gamma.shape[1]
+    total = gamma.sum(axis=1)
+    logs = digamma(gamma) - digamma(total[:, None])
+    prior = ((alpha - gamma) * logs + log_gamma(gamma)).sum(axis=1) - k * math.lgamma(alpha)
+    return (counts * np.log(norm)).sum(axis=1) + prior + math.lgamma(k * alpha) - log_gamma(total)
 
 
 def topics_bound(weights: np.ndarray, eta: float) -> float:
@@ -103,13 +127,33 @@ def topics_bound(weights: np.ndarray, eta: float) -> float:
     return float(inner + weights.shape[1] * math.lgamma(n * eta) - log_gamma(total).sum())
 
 
-def _documents(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def _groups(batches: Iterator[pa.RecordBatch], beta: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Documents of one number of terms at a time: ``(ids, beta, counts)``. A document is filled up by a
+    few terms without weight, the last of ``beta``, to a number that depends on its own terms only."""
+    none, k = len(beta) - 1, beta.shape[1]
     for batch in batches:
         ids, counts = batch.column("ids"), batch.column("counts")
-        flat_ids, flat = (c.flatten().to_numpy(zero_copy_only=False) for c in (ids, counts))
-        bounds = np.append(0, np.cumsum(ids.value_lengths().to_numpy(zero_copy_only=False)))
-        for s, e in zip(bounds[:-1], bounds[1:]):
-            yield flat_ids[s:e], flat[s:e].astype(np.float64)
+        sizes = ids.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+        ids, counts = (np.append(c.flatten().to_numpy(zero_copy_only=False), 0) for c in (ids, counts))
+        begins = np.cumsum(sizes) - sizes
+        # Steps of an eighth of the power of two below.
+        step = np.maximum(FILL, 1 << np.maximum(np.log2(np.maximum(sizes, 1)).astype(np.int64) - 3, 0))
+        widths = np.maximum(-(-sizes // step) * step, FILL)
+        for width in np.unique(widths).tolist():
+            rows = np.flatnonzero(widths == width)
+            many = max(1, GROUP // (width * k))
+            for some in (rows[i : i + many] for i in range(0, len(rows), many)):
+                place = np.arange(width)
+                own = place < sizes[some, None]
+                place = np.where(own, begins[some, None] + place, 0)
+                group = np.where(own, ids[place], none)
+                yield group, beta[group], np.where(own, counts[place], 0).astype(np.float64)
+
+
+def _shared_beta(spark: SparkSession, weights: np.ndarray):
+    """What tasks know of the topics, with a last term that has no weight."""
+    beta = np.exp(expected_log(weights))
+    return spark.sparkContext.broadcast(np.concatenate([beta, np.zeros((1, beta.shape[1]))]))
 
 
 def _statistics(shared, alpha: float, k: int):
@@ -120,11 +164,11 @@ def _statistics(shared, alpha: float, k: int):
         beta = shared.value
         sums = np.zeros(beta.shape, dtype=np.int64)
         n = 0
-        for ids, counts in _documents(batches):
-            own = beta[ids]
+        for ids, own, counts in _groups(batches, beta):
             _, theta, norm = infer(own, counts, alpha)
-            sums[ids] += contribution(own, counts, theta, norm)
-            n += 1
+            for mine, added in zip(ids, contribution(own, counts, theta, norm)):
+                sums[mine] += added
+            n += len(ids)
         used = np.flatnonzero(sums.any(axis=1))
         rows = np.concatenate([np.full((1, k), n), sums[used]])
         columns = [np.append(-1, used), *rows.T]
@@ -167,14 +211,13 @@ class StableTopics:
     def fit_quality(self, vectors: DataFrame) -> tuple[float, float]:
         """``(log_perplexity, log_likelihood)`` of documents: a bound, in whole units per document."""
         spark = vectors.sparkSession
-        shared = spark.sparkContext.broadcast(np.exp(expected_log(self.weights)))
-        alpha = self.alpha
+        shared, alpha = _shared_beta(spark, self.weights), self.alpha
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             loss, n = 0, 0
-            for ids, counts in _documents(batches):
-                gamma, _, norm = infer(shared.value[ids], counts, alpha)
-                loss += round(document_bound(counts, gamma, norm, alpha) * _LOSS_UNIT)
+            for _, own, counts in _groups(batches, shared.value):
+                gamma, _, norm = infer(own, counts, alpha)
+                loss += sum(round(x * _LOSS_UNIT) for x in document_bound(counts, gamma, norm, alpha).tolist())
                 n += int(counts.sum())
             yield pa.RecordBatch.from_arrays([pa.array([loss], pa.int64()), pa.array([n], pa.int64())], ["loss", "n"])
 
@@ -215,8 +258,7 @@ def fit_stable_topics(
     for i in range(iterations):
         if i % batches not in sizes:
             continue
-        beta = np.exp(expected_log(weights))
-        shared = spark.sparkContext.broadcast(beta)
+        shared = _shared_beta(spark, weights)
         run, schema = _statistics(shared, prior, k)
         some = docs.where(F.col("batch") == i % batches).select("ids", "counts").mapInArrow(run, schema)
         # One row per term comes back, n_terms at most.

@@ -4,6 +4,7 @@ import math
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from corpuscope.operators import variational as V
@@ -94,3 +95,34 @@ def test_special_functions():
     assert V.log_gamma(x + 1) - V.log_gamma(x) == pytest.approx(np.log(x), rel=1e-9, abs=1e-9)
     begun = V.start(2000, 5, 42)
     assert abs(begun.mean() - 1) < 0.01 and abs(begun.std() - 0.1) < 0.01 and (begun > 0).all()
+
+
+def test_documents_are_inferred_together_and_each_as_if_alone(monkeypatch):
+    rng = np.random.default_rng(3)
+    monkeypatch.setattr(V, "GROUP", 1 << 11)
+    sizes = [0, 1, 7, 16, 17, 39, 40, 33, 34, 35, 36, 38, 12, 0, 40]
+    docs = [(np.sort(rng.choice(N_TERMS, s, replace=False)).tolist(), rng.integers(1, 9, s).tolist()) for s in sizes]
+
+    def batch(some):
+        lists = [pa.array([d[i] for d in some], pa.list_(pa.int64())) for i in (0, 1)]
+        return pa.RecordBatch.from_arrays(lists, ["ids", "counts"])
+
+    beta = np.concatenate([np.exp(V.expected_log(V.start(N_TERMS, K, 5))), np.zeros((1, K))])
+
+    def inferred(batches):
+        out, groups = {}, 0
+        for ids, own, counts in V._groups(iter(batches), beta):
+            groups += 1
+            gamma, theta, norm = V.infer(own, counts, 0.1)
+            added, bound = V.contribution(own, counts, theta, norm), V.document_bound(counts, gamma, norm, 0.1)
+            for i, mine in enumerate(ids):
+                known = mine < N_TERMS
+                assert not added[i][~known].any()
+                key = tuple(mine[known]), tuple(counts[i][known])
+                out.setdefault(key, []).append((gamma[i].tolist(), added[i][known].tolist(), bound[i]))
+        return out, groups
+
+    together, groups = inferred([batch(docs)])
+    alone, _ = inferred([batch([d]) for d in docs])
+    assert together == alone and sum(map(len, together.values())) == len(docs)
+    assert groups < len(docs) / 2
