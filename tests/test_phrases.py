@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from corpuscope.operators import gender
+from corpuscope.operators import gender, phrases
 from corpuscope.operators.phrases import phrase_lexicon, phrase_occurrences
 
 
@@ -49,3 +49,22 @@ def test_a_hundred_thousand_phrases(spark):
     assert len(plan) < 60_000 and "p199" not in plan
     got = found(out)
     assert [(r[0], r[1], r[2]) for r in got] == [(i, 1, 2) for i in range(500)]
+
+
+def test_only_what_may_be_listed_is_looked_up(spark):
+    """All words are first words of the list, and few of their pairs are listed."""
+    n = 300
+    listed = spark.range(n).select(F.concat(F.lit("w"), F.col("id"), F.lit(" w"), (F.col("id") * 7 + 1) % n).alias("entry"))
+    docs = spark.range(200).select("id", F.array_join(F.transform(F.sequence(F.lit(0), F.lit(499)), lambda i: F.concat(F.lit("w"), F.pmod(F.xxhash64(i, "id"), F.lit(n)))), " ").alias("text"))
+    lexicon = phrase_lexicon(listed, "entry")
+    pairs = spark.range(n).select(F.explode(F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.concat(F.lit("w"), F.col("id"), F.lit(" w"), i))).alias("phrase"))
+    left = phrases._perhaps_listed(pairs, lexicon)
+    assert left.join(lexicon.phrases, "phrase", "left_semi").count() == n
+    assert left.count() < n * n / 8
+    out = phrase_occurrences(docs, lexicon, ["id"])
+    joins = [x for x in out._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Join" in x]
+    assert "LeftSemi" in joins[0] and len(joins) == 3  # asked last, of what the bitmap leaves
+    got = found(out)
+    texts = {r.id: r.text.split() for r in docs.collect()}
+    want = sorted((i, s, 2, f"{a} {b}") for i, t in texts.items() for s, (a, b) in enumerate(zip(t, t[1:])) if int(b[1:]) == (int(a[1:]) * 7 + 1) % n)
+    assert got == want and want
