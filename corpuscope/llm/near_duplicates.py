@@ -14,8 +14,8 @@ of their union, and the share of that sketch which lies in both sets estimates t
    the list, those most typical of it, and what turns out to be linked needs no further pairs among
    itself. Documents that stay outside in lists of the others, as those do that share no more than
    a long passage, are listed anew by wider sketches, which few of them survive. Those that do are
-   paired with the others of their list whose parity bitmaps differ in no more bits than linked sets
-   may differ in values.
+   paired, in the first list they share, with the others whose parity bitmaps differ in no more bits
+   than those of linked sets do. Bitmaps are of sets thinned out by hash to a size at which the bits tell.
 4. Pairs pass the union-sketch estimate and then the exact comparison of the full sets.
 5. Components of the links.
 """
@@ -46,8 +46,10 @@ MIN_ESTIMATE = 0.45
 SIZE_STEP = 1.34
 #: Hubs per list in each round before the remaining pairs are compared one by one.
 HUBS = (4, 4)
-#: Numbers of 64 bits in a parity bitmap.
-PARITY = 8
+#: Numbers of 64 bits in a parity bitmap, and the size up to which sets are not thinned out for it.
+PARITY, PARITY_SET = 16, 1024
+#: Standard deviations by which bitmaps of linked sets may exceed the mean; the chance to lose one is under 1e-9.
+PARITY_SIGMAS = 6.5
 #: At most so many bits tell which documents' sets are needed (16 MB).
 MAX_FILTER_BITS = 1 << 27
 
@@ -168,10 +170,10 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.75, width: int = 5, k:
         if hubs_per_list is None:
             undecided = _undecided(members, roots).select("node").distinct()
             wide = sets.join(undecided, "node", "left_semi").withColumn("n", F.size("values").cast("bigint"))
-            wide = wide.withColumns(_parity()).withColumn("values", F.slice("values", 1, WIDE_K))
-            members = _distinct_lists(_lists(wide, WIDE_K, WIDE_OVERLAP, threshold))
-            # Bitmaps are for the lists of this round only; one row per node, read by all its lists.
-            members = members.join(materialize(wide.select("node", *_BITS), "parity"), "node")
+            members = _distinct_lists(_lists(wide.withColumn("values", F.slice("values", 1, WIDE_K)), WIDE_K, WIDE_OVERLAP, threshold))
+            # Bitmaps are for the lists of this round only; one row per node and level, read by all its lists.
+            members = _with_earlier(members).withColumn("level", _level(F.col("c")))
+            members = members.join(_parity(wide, members), ["node", "level"])
         state = _undecided(members, roots)
         hubs = state if roots is None else state.where("root <> top_root")
         if hubs_per_list:
@@ -180,12 +182,10 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.75, width: int = 5, k:
                 F.max(F.struct("typical", "node", "n", "root", "place", "leads")).alias("p")
             )
             hubs = hubs.select("list", "p.*")
-        bits = [] if hubs_per_list else _BITS
+        bits = [] if hubs_per_list else [*_BITS, "earlier"]
         hubs = hubs.select("list", *[F.col(c).alias(f"hub_{c}") for c in ("node", "n", "root", "place", "leads", *bits)])
-        may_link = _may_link(threshold, k) if hubs_per_list else _may_link(threshold, WIDE_K) & _few_differ(threshold)
-        pairs = state.join(hubs, "list").where(may_link)
-        pairs = pairs.withColumnRenamed("hub_node", "hub")
-        pairs = pairs.select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct()
+        may_link = _may_link(threshold, k) if hubs_per_list else _may_link(threshold, WIDE_K) & _once() & _few_differ(threshold) & _first_shared()
+        pairs = _meetings(state, hubs, may_link).distinct()
         if tried is not None:
             pairs = pairs.join(tried, ["a", "b"], "left_anti")
         pairs = materialize(pairs, "pairs")
@@ -197,7 +197,8 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.75, width: int = 5, k:
 
 
 def _lists(sketches: DataFrame, k: int, overlap: float, threshold: float) -> DataFrame:
-    """``(list, node, n, typical, place, leads)``: which nodes meet in which inverted list.
+    """``(list, node, n, typical, place, leads, c)``: which nodes meet in which inverted list, ``c`` being
+    the size class that the list is for.
 
     Two linked nodes share a number of retained values that is certain where both sketches hold the
     whole sets, and all but certain otherwise; so the first value they share, by rarity, is among
@@ -227,7 +228,7 @@ def _lists(sketches: DataFrame, k: int, overlap: float, threshold: float) -> Dat
     row = ["node", "n", "typical", "place", "leads"]
     listed = listed.select(*row, "v", F.explode(F.array(size_class, size_class + 1)).alias("c"))
     # A shuffle key of one column: the value and the size class in one hash.
-    members = materialize(listed.select(F.xxhash64("v", "c").alias("list"), *row), "lists")
+    members = materialize(listed.select(F.xxhash64("v", "c").alias("list"), *row, "c"), "lists")
     several = members.groupBy("list").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
     return materialize(members.join(several, "list", "left_semi"), "lists")
 
@@ -235,24 +236,68 @@ def _lists(sketches: DataFrame, k: int, overlap: float, threshold: float) -> Dat
 _BITS = [f"bits_{i}" for i in range(PARITY)]
 
 
-def _parity() -> dict[str, Column]:
-    """A bitmap of a set in which every value flips one bit. What two sets have in common flips the same
-    bits, so their bitmaps differ in no more bits than the sets differ in values."""
-    word = lambda x: F.shiftrightunsigned(x, 6).bitwiseAND(F.lit(PARITY - 1))
-    bit = lambda x: F.call_function("shiftleft", F.lit(1).cast("bigint"), x.bitwiseAND(F.lit(63)).cast("int"))
+def _level(c: Column) -> Column:
+    """By how many halvings the sets of a size class are thinned out for their bitmaps: to some
+    ``PARITY_SET`` values at most, so that the bitmaps do not fill up, however large sets are."""
+    return F.greatest(F.lit(0), F.ceil((c * math.log(SIZE_STEP) - math.log(PARITY_SET)) / math.log(2))).cast("int")
 
-    def flipped(i: int) -> Column:
-        mine = F.filter("values", lambda x: word(x) == i)
-        return F.aggregate(mine, F.lit(0).cast("bigint"), lambda a, x: a.bitwiseXOR(bit(x)))
 
-    return {name: flipped(i) for i, name in enumerate(_BITS)}
+def _bitmaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A bitmap of a set in which every value of its sample flips one bit. What two sets have in common flips
+    the same bits. Bit and sample are chosen by different bits of the value."""
+    for batch in batches:
+        out = np.zeros((batch.num_rows, PARITY * 64), dtype=np.uint8)
+        levels = batch.column("level").to_numpy(zero_copy_only=False)
+        for i, (level, values) in enumerate(zip(levels, batch.column("values"))):
+            x = values.values.to_numpy(zero_copy_only=False).view(np.uint64)
+            x = x[(x >> np.uint64(10)) & np.uint64((1 << int(level)) - 1) == 0]
+            out[i] = np.bincount((x & np.uint64(PARITY * 64 - 1)).astype(np.int64), minlength=PARITY * 64) & 1
+        bits = np.packbits(out, axis=1).view(np.int64)
+        columns = [pa.array(np.ascontiguousarray(bits[:, i])) for i in range(PARITY)]
+        yield pa.RecordBatch.from_arrays([batch.column("node"), batch.column("level"), *columns], ["node", "level", *_BITS])
+
+
+def _parity(sets: DataFrame, members: DataFrame) -> DataFrame:
+    """``(node, level)`` and the bitmap of the set at each level that one of its lists has."""
+    wanted = members.select("node", "level").distinct().join(sets.select("node", "values"), "node")
+    schema = ", ".join(["node bigint", "level int", *[f"{b} bigint" for b in _BITS]])
+    return materialize(wanted.select("node", "level", "values").mapInArrow(giving_back(_bitmaps), schema), "parity")
 
 
 def _few_differ(threshold: float) -> Column:
-    """Whether the bitmaps of a member and a hub leave room for a link: two sets with a similarity of
-    ``threshold`` differ in no more than ``(1 - threshold) / (1 + threshold)`` of their sizes' sum."""
+    """Whether the bitmaps of a member and a hub leave room for a link. Two sets with a similarity of
+    ``threshold`` differ in no more than ``(1 - threshold) / (1 + threshold)`` of their sizes' sum, and
+    whole sets in no more bits than values. Of samples, and of large sets, that is exceeded by chance;
+    each bit then differs as the parity of a Poisson number does."""
     differ = sum((F.bit_count(F.col(b).bitwiseXOR(F.col(f"hub_{b}"))) for b in _BITS), F.lit(0))
-    return differ <= (F.col("n") + F.col("hub_n")) * (1 - threshold) / (1 + threshold) + 1e-6
+    size = float(PARITY * 64)
+    values = (F.col("n") + F.col("hub_n")) * (1 - threshold) / (1 + threshold) / F.pow(F.lit(2.0), F.col("level"))
+    odd = (1 - F.exp(values * (-2 / size))) / 2
+    likely = odd * size + F.sqrt(odd * (1 - odd) * size) * PARITY_SIGMAS + 1
+    return differ <= F.when(F.col("level") == 0, F.least(values + 1e-6, likely)).otherwise(likely)
+
+
+def _meetings(state: DataFrame, hubs: DataFrame, may_link: Column) -> DataFrame:
+    """``(a, b)`` per list, member and hub that may be linked."""
+    pairs = state.join(hubs, "list").where(may_link)
+    return pairs.select(F.least("node", "hub_node").alias("a"), F.greatest("node", "hub_node").alias("b"))
+
+
+def _with_earlier(members: DataFrame) -> DataFrame:
+    """``members`` with the lists in which a node stands with a value before the list's own."""
+    before = Window.partitionBy("node").orderBy("place", "list").rowsBetween(Window.unboundedPreceding, -1)
+    return materialize(members.withColumn("earlier", F.collect_list("list").over(before)), "lists")
+
+
+def _first_shared() -> Column:
+    """Whether a member and a hub share no earlier list. Values stand in one order in all sets, so it is
+    the same list for both, and it is the one in which ``_may_link`` expects linked sets to meet."""
+    return ~F.arrays_overlap("earlier", "hub_earlier")
+
+
+def _once() -> Column:
+    """Outside the list's top component, where every member is a hub too, each pair in one order only."""
+    return (F.col("root") == F.col("top_root")) | (F.col("node") < F.col("hub_node"))
 
 
 def _distinct_lists(members: DataFrame) -> DataFrame:

@@ -102,3 +102,67 @@ def test_losses_are_those_of_real_counts(spark):
     for r in rows[::20]:
         assert abs(r.background_loss - loss(0, texts[r.doc_id])) < 1e-9
         assert abs(r.target_loss - loss(1, texts[r.doc_id])) < 1e-9
+
+
+def sharing(n_docs, n_passages, taken, length, rng):
+    """Texts of some passages each, so that many meet in the same lists and few are linked."""
+    passages = [" ".join(f"p{i}x{j}" for j in range(length)) for i in range(n_passages)]
+    return [" ".join(passages[i] for i in sorted(rng.sample(range(n_passages), taken))) for _ in range(n_docs)]
+
+
+def reachable(sets):
+    """The smallest position reachable through pairs of sets with a similarity of 0.75 or more."""
+    root = list(range(len(sets)))
+    for b in range(len(sets)):
+        for a in range(b):
+            if 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b]):
+                x, y = root[a], root[b]
+                root = [min(x, y) if r in (x, y) else r for r in root]
+    return root
+
+
+@pytest.mark.parametrize("length", [60, 260])
+def test_last_round_pairs_are_few_and_whole(spark, monkeypatch, length):
+    """Documents of shared passages, of more than 1,024 shingles or not: the last round's join puts out no
+    pair twice and hardly one that is not linked, and no link is lost."""
+    rng = random.Random(length)
+    texts = sharing(80, 16, 8, length, rng)
+    for t in texts[:10]:
+        words = t.split()
+        texts.append(" ".join([*words[: len(words) * 8 // 9], *(f"n{rng.random()}" for _ in range(len(words) // 12))]))
+    cut = [t.split() for t in texts]
+    want = reachable([{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in cut])
+    made = []
+
+    def kept(*args):
+        made.append(meetings(*args))
+        return made[-1]
+
+    meetings = near_duplicates._meetings
+    monkeypatch.setattr(near_duplicates, "_meetings", kept)
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(3)
+    got = {r.doc_id: r.component_id for r in near_duplicates.near_duplicates(frame).collect()}
+    assert [got[i] for i in range(len(texts))] == want
+    assert made[-1].count() == made[-1].distinct().count() <= len(texts)
+
+
+def test_bitmaps_of_linked_sets_of_all_sizes(spark):
+    """Sets with a similarity of 0.75 pass by their bitmaps at the levels of all lists they share, others with
+    one of 0.4 do not."""
+    rng, rows = np.random.default_rng(7), []
+    for i, n in enumerate([40, 300, 700, 1100, 2500, 6000, 20000] * 12):
+        near = i % 2 == 0
+        own = n // 7 * (1 if near else 3)
+        both = n // 7 * 7 - own
+        x = rng.integers(-(1 << 63), 1 << 63, both + 2 * own, dtype=np.int64)
+        c = int(math.log(n) / math.log(near_duplicates.SIZE_STEP))
+        rows += [(2 * i, c, x[: both + own].tolist()), (2 * i + 1, c, np.concatenate([x[:both], x[both + own :]]).tolist())]
+    sets = spark.createDataFrame([(i, v) for i, _, v in rows], "node bigint, values array<bigint>")
+    members = spark.createDataFrame([(i, c + d, len(v)) for i, c, v in rows for d in (0, 1)], "node bigint, c bigint, n bigint")
+    members = members.withColumn("level", near_duplicates._level(F.col("c")))
+    full = members.join(near_duplicates._parity(sets, members), ["node", "level"])
+    x = full.where("node % 2 = 0").withColumn("i", F.col("node") / 2)
+    y = full.where("node % 2 = 1").select(((F.col("node") - 1) / 2).alias("i"), "c", *[F.col(k).alias(f"hub_{k}") for k in ("n", *near_duplicates._BITS)])
+    passed = x.join(y, ["i", "c"]).select("i", "n", near_duplicates._few_differ(0.75).alias("few")).collect()
+    assert len(passed) >= 168 and all(r.few for r in passed if r.i % 2 == 0)
+    assert not [r for r in passed if r.few and r.i % 2 and r.n > 100]
