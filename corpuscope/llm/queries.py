@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from corpuscope.llm import byte_bpe, conversation_trie, divergence, fingerprints, language_id, lm_scoring, near_duplicates, packing, pii, quality_rules, sequence_files, toxicity, warc
+from corpuscope.llm import byte_bpe, conversation_trie, divergence, fingerprints, language_id, lm_scoring, marks, near_duplicates, packing, pii, quality_rules, sequence_files, toxicity, warc
 from corpuscope.session import scratch_path
 
 
@@ -48,9 +48,9 @@ def op3_warc_captures(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents", "doc_id", "text")
-    # Labels grow with the documents, so they are never broadcast.
-    good = _table(spark, sf_dir, "labels", "doc_id", "quality").where("quality = 1").hint("merge")
-    return lm_scoring.cross_entropy_difference(docs, docs.join(good, "doc_id", "left_semi"))
+    good = _table(spark, sf_dir, "labels", "doc_id", "quality").where("quality = 1").select("doc_id")
+    docs = marks.marked(docs, "doc_id", good, "_good")
+    return lm_scoring.cross_entropy_difference(docs, "_good").drop("_good")
 
 
 def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:

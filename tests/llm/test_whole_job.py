@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from corpuscope.llm import language_id, lm_scoring, near_duplicates
+from corpuscope.llm import language_id, lm_scoring, marks, near_duplicates
 
 #: Words of languages in pairs that share a script.
 WORDS = {
@@ -104,6 +104,36 @@ def test_losses_are_those_of_real_counts(spark):
         assert abs(r.target_loss - loss(1, texts[r.doc_id])) < 1e-9
 
 
+def test_marks_and_target_texts_say_the_same(spark, monkeypatch):
+    """Chunks and ranges far smaller than the table, texts longer than a chunk; marks and a frame of texts say
+    the same, whether the marks come by a bitmap or by a shuffle."""
+    rng = random.Random(4)
+    rows = [(i if i % 11 else None, " ".join(f"w{int(rng.paretovariate(0.6)) % 3000}" for _ in range(rng.choice([0, 1, 40, 900])))) for i in range(300)]
+    frame = spark.createDataFrame([*rows, *rows[:20], (-7, "w1 w2"), (1 << 40, None)], "doc_id bigint, text string").repartition(3)
+    good = spark.createDataFrame([(i,) for i in (*range(0, 300, 3), 5, 5, -7, 1 << 40, None)], "doc_id bigint")
+    told = lm_scoring.cross_entropy_difference(frame, frame.join(good, "doc_id", "left_semi"))
+    want = sorted(map(tuple, told.collect()), key=str)
+    assert len(want) == 322
+    monkeypatch.setattr(lm_scoring, "CHUNK", 1 << 12)
+    monkeypatch.setattr(lm_scoring, "RANGE", 1 << 13)
+    for most in (marks.MAX_BLOCKS, 0):
+        monkeypatch.setattr(marks, "MAX_BLOCKS", most)
+        found = marks.marked(frame, "doc_id", good, "mark")
+        assert {r.doc_id for r in found.where("mark").collect()} == {i for i, _ in rows if i and i % 3 == 0} | {5, -7, 1 << 40}
+        got = lm_scoring.cross_entropy_difference(found, "mark").drop("mark")
+        assert sorted(map(tuple, got.collect()), key=str) == want
+
+
+def test_counts_are_packed():
+    keys = np.sort(np.random.default_rng(1).integers(0, 1 << 64, 500_000, dtype=np.uint64))
+    steps = np.diff(keys, prepend=np.uint64(0))
+    coded = lm_scoring._coded(steps)
+    assert len(coded) < 6.2 * len(keys) and len(lm_scoring._coded(np.ones(500_000, int))) < 1000
+    assert np.array_equal(np.cumsum(lm_scoring._decoded(coded, len(keys))), keys)
+    cuts = lm_scoring._cuts(keys, 7)
+    assert cuts[0] == 0 and cuts[-1] == len(keys) and np.diff(cuts).min() > 70_000
+
+
 def sharing(n_docs, n_passages, taken, length, rng):
     """Texts of some passages each, so that many meet in the same lists and few are linked."""
     passages = [" ".join(f"p{i}x{j}" for j in range(length)) for i in range(n_passages)]
