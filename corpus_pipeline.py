@@ -12,7 +12,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpuscope.llm import near_duplicates, packing, pii, quality_rules
+from corpuscope.llm import marks, near_duplicates, packing, pii, quality_rules
 from corpuscope.llm import toxicity as toxic
 from corpuscope.session import materialize
 
@@ -42,8 +42,8 @@ def duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     groups = found.select(F.col("doc_id").alias("row"), "component_id").join(ids, "row")
     # The smallest of a group is an aggregate: nothing is joined by group, however large one is.
     first = groups.groupBy("component_id").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "row")).alias("first"))
-    kept = materialize(first.select(F.col("first.row").alias("_row")), "kept")
-    return rows.join(kept, "_row", "left_semi").select(docs.columns)
+    # Only places of rows are shuffled, never the texts.
+    return marks.marked(rows, "_row", first.select("first.row"), "_kept").where("_kept").select(docs.columns)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -17,7 +17,7 @@ from collections.abc import Callable, Sequence
 
 import numpy as np
 
-from corpuscope.llm.textarrays import _BASE, mix, powers
+from corpuscope.llm.textarrays import _BASE, give_back, mix, powers
 
 _LETTER, _NUMBER, _SPACE, _OTHER = 1, 2, 3, 4
 #: Scripts whose character classes have not changed for long; white space lies in the second range.
@@ -296,6 +296,13 @@ def file_tokenizer(path: str):
 _encoders: dict = {}
 
 
+def forget() -> None:
+    """Lets a worker's encoder go, for tasks of a later stage that have no use for it."""
+    if _encoders:
+        _encoders.clear()
+        give_back()
+
+
 def batch_encoder(kind: str, path: str) -> tuple[BatchEncoder, list[bytes]]:
     """The encoder for a file, made once per Python worker; with ``kind`` ``ranks``, its tokens too.
     ``words`` is for tokenizer files that lower-case and mark word ends, ``file`` for byte-level ones."""

@@ -8,6 +8,10 @@ from pyspark.sql import functions as F
 from corpuscope.session import materialize
 
 
+#: So many edges at most are worked on in one partition, where Spark needs no shuffle.
+FEW = 1 << 14
+
+
 def _mark(edges: DataFrame) -> tuple:
     row = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
     return tuple(row)
@@ -20,12 +24,15 @@ def components(edges: DataFrame) -> DataFrame:
     Alternates two steps, each a grouping and a join: link every neighbour that is larger than a
     node to the node's smallest neighbour, then the smaller ones. The edges end up as stars around
     the roots after a number of rounds that grows with the logarithm of the longest path. No
-    neighbourhood is ever collected. Without edges: no rows. Loops and repeated edges don't matter."""
+    neighbourhood is ever collected. Without edges: no rows. Loops and repeated edges don't matter.
+    Every shuffle costs the driver a thread that stays for a minute; once there are few edges, which is
+    all that a small table has, the rounds do without."""
     e = edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     e = materialize(e, "edges")
     mark = _mark(e)
     while mark[0]:
-        both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        e = e.coalesce(1) if mark[0] <= FEW else e
+        both = e.select(F.inline(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))))
         least = both.groupBy("a").agg(F.least("a", F.min("b")).alias("m"))
         large = both.where("b > a").join(least, "a").select(F.col("m").alias("a"), "b")
         large = large.where("a <> b").distinct()

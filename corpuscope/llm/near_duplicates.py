@@ -165,7 +165,7 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.75, width: int = 5, k:
         exact = exact.where(F.col("i") * 100 >= F.lit(round(threshold * 100)) * (F.col("s") - F.col("i")))
         return exact.select("a", "b")
 
-    links, roots, tried = None, None, None
+    roots, tried = None, None
     for hubs_per_list in (*HUBS, None):
         if hubs_per_list is None:
             undecided = _undecided(members, roots).select("node").distinct()
@@ -190,9 +190,14 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.75, width: int = 5, k:
             pairs = pairs.join(tried, ["a", "b"], "left_anti")
         pairs = materialize(pairs, "pairs")
         tried = pairs if tried is None else tried.unionByName(pairs)
+        if roots is not None and pairs.isEmpty():
+            continue
         found = materialize(verified(pairs), "links")
-        links = found if links is None else links.unionByName(found)
-        roots = components(links)
+        if roots is None:
+            roots = components(found)
+        elif not found.isEmpty():
+            # What was linked before is linked to its root already.
+            roots = components(found.unionByName(roots.select(F.col("root").alias("a"), F.col("node").alias("b"))))
     return _verdicts(rows, nodes, roots)
 
 

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpuscope.llm.bpe import batch_encoder
+from corpuscope.llm.bpe import batch_encoder, forget
 from corpuscope.llm.textarrays import chunks, giving_back, mix
 from corpuscope.session import materialize
 
@@ -89,14 +89,24 @@ class Shard:
     def __init__(self, pieces: list[np.ndarray]):
         n = len(pieces)
         sizes = np.array([len(p) for p in pieces])
-        flat = np.concatenate(pieces).astype(np.int64) if n else np.zeros(0, np.int64)
-        entries, tf = np.unique(flat << 20 | np.repeat(np.arange(n), sizes), return_counts=True)
-        term, doc = entries >> 20, entries & 0xFFFFF
-        self.terms, first, df = np.unique(term, return_index=True, return_counts=True)
-        self.first, self.df, self.doc = first, df, doc
-        self.idf = np.log(1 + (n - df + 0.5) / (df + 0.5))
-        norm = K1 * (1 - B + B * sizes / max(sizes.mean(), 1)) if n else sizes
-        self.weight = np.repeat(self.idf, df) * tf * (K1 + 1) / (tf + norm[doc])
+        entries = np.concatenate(pieces).astype(np.int64) if n else np.zeros(0, np.int64)
+        entries <<= 20
+        entries |= np.repeat(np.arange(n), sizes)
+        entries, tf = np.unique(entries, return_counts=True)
+        self.doc = (entries & 0xFFFFF).astype(np.int32)
+        entries >>= 20
+        # Equal terms stand together. In place, for two shards at a time are most of what an executor holds.
+        self.first = np.flatnonzero(np.append(True, entries[1:] != entries[:-1])[: len(entries)])
+        self.terms = entries[self.first]
+        self.df = np.diff(np.append(self.first, len(entries)))
+        self.idf = np.log(1 + (n - self.df + 0.5) / (self.df + 0.5))
+        norm = K1 * (1 - B + B * sizes / max(sizes.mean(), 1)) if n else sizes.astype(float)
+        self.weight = np.repeat(self.idf, self.df)
+        self.weight *= tf
+        self.weight *= K1 + 1
+        below = norm[self.doc]
+        below += tf
+        self.weight /= below
         self.n = n
 
     def scores(self, piece: np.ndarray) -> np.ndarray:
@@ -162,6 +172,7 @@ def _packer(window: int, shard: int, with_ids: bool):
         return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema)], schema=schema)
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         docs: list[tuple] = []
         pieces: list[np.ndarray] = []
         number = 0
